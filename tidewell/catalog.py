@@ -1,8 +1,15 @@
-"""Queries over the test tables and their SQL, by name."""
+"""All registered queries of the library: each operator over the test tables, with its SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+from .plans import function_queries, list_queries, relation_queries, state_queries
+
+_MODULES = (list_queries, relation_queries, function_queries, state_queries)
+QUERIES = {name: query for m in _MODULES for name, query in m.REGISTRY.queries.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.REGISTRY.sql.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return list_queries.admin_page(spark, sf_dir)
