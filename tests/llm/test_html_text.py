@@ -1,0 +1,65 @@
+import html as entities
+import re
+
+from tidewell.llm import html_text, queries
+
+ARTICLE = "<p>" + "Long words of an article stand here. " * 6 + "</p><p>Short.</p><p>" + "And there is even more to read. " * 5 + "</p>"
+TEXT = " ".join(re.sub("<[^>]*>", " ", ARTICLE).split())
+
+
+def test_query(spark, sf_dir):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    found = queries.op6_html_text(spark, sf_dir).collect()
+    assert len(found) == len(pages)
+    for r in found:
+        page = pages[r.page_id].html
+        inner = page[page.index("<article>") : page.index("</article>")]
+        blocks = re.sub(r"</?(?:p|h1|br|article)>", " ", inner)
+        assert r.text == " ".join(entities.unescape(re.sub(r"<[^>]*>", "", blocks)).split())
+        assert r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+
+
+def test_layouts_without_article():
+    nav = "<ul class='main-nav'><li><a href=x>Home</a><li><a href=y>News</a></ul>"
+    for page in (
+        f"<body><header>Site</header>{nav}<div id=content>{ARTICLE}</div><div class='sidebar'><p>{'Buy this now. ' * 9}</div><footer>(c)</footer>",
+        f"<body><div role=navigation>{'menu words ' * 20}</div><main>{ARTICLE}<section id=comments><p>{'Nice! ' * 30}</p></section></main></body>",
+        f"<article>{ARTICLE}<aside>{'Read also. ' * 20}</aside><form><label>Mail</label></form><div class=cookie-notice>{'We use it. ' * 20}</div></article>",
+        f"<div class='has-sidebar'>{ARTICLE}</div><div class='ad-box'>{'Adv. ' * 50}</div><ol class=commentlist><li>{'Me too. ' * 30}</ol>",
+        f"<article>{ARTICLE}</article><div class=comments><article class=comment><p>{'I disagree with it. ' * 20}</p></article></div>",
+    ):
+        assert html_text.main_text(page) == TEXT, page
+
+
+def test_menus_without_marks_are_cut_by_ratio():
+    links = "".join(f"<li><a href={i}>L{i}</a></li>" for i in range(12))
+    assert html_text.main_text(f"<ul>{links}</ul><div>{ARTICLE}</div><ul>{links}</ul>") == TEXT
+
+
+def test_markup_details():
+    of = lambda inner: html_text.main_text(f"<article>{inner}</article>")
+    assert of("<p>a&nbsp;&amp;&lt;b&gt;&#233;&eacute;  c\n\td</p>") == "a &<b>éé c d"
+    assert of("<p>wo<b>rd</b>s and<br>lines<p>next") == "words and lines next"
+    assert of("<p><b>open <p>never closed</b> <i>x") == "open never closed x"
+    assert of("<script>if (a < b) {'</p>'}</script><style>p{}</style>x<!-- y --><noscript>z</noscript>") == "x"
+    assert of("<p class=ad>buy<p>read</p>") == "read"
+    assert of("a<table><tr><td>b<td>c<tr><td>d</table>e") == "a b c d e"
+    assert of("<![foo bar> x") is not None
+    assert of("&#xD800;x") == "\ufffdx"
+
+
+def test_edges(spark):
+    rows = [(1, None), (2, ""), (3, "<html>"), (4, "plain text"), (4, "plain text"), (5, "<p>" + "x y " * 200_000), (None, "<div>" * 3000 + "deep")]
+    pages = spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "'t' as TEXT")
+    out = html_text.extract_text(pages)
+    assert out.columns == ["page_id", "html", "text", "n_chars"]
+    assert [(r.page_id, r.n_chars) for r in out.collect()] == [(1, 0), (2, 0), (3, 0), (4, 10), (4, 10), (5, 799_999), (None, 4)]
+    assert html_text.extract_text(pages.limit(0)).count() == 0
+
+
+def test_smoothing_and_threshold():
+    import numpy as np
+
+    assert np.allclose(html_text.smoothed(np.ones(5)), 1)
+    assert html_text.threshold(np.array([1.0, 1.0])) == 1.0
+    assert 2 < html_text.threshold(np.array([1.0, 2.0, 9.0, 10.0])) < 9
