@@ -18,7 +18,7 @@ def list_objects(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
 
 def read_json_maps(spark: SparkSession, path: str, value: str = "double") -> DataFrame:
     """(path, document): each JSON file as a map of strings to values; null if it isn't one."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.from_json("value", f"map<string,{value}>").alias("document"))
 
 
@@ -29,7 +29,7 @@ def read_binaries(spark: SparkSession, path: str, pattern: str = "*") -> DataFra
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """(path, log), a row a file."""
-    return spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("log"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("log"))
 
 
 def file_outputs(listing: DataFrame, base_url: str, submission: str) -> DataFrame:
