@@ -45,7 +45,7 @@ def test_offending_sentences(spark):
     frame = spark.createDataFrame(toxic_rows(), "doc_id long, text string, toxic int")
     model = toxicity.fit_toxicity(frame)
     assert b"blorgface" in model.weights and b"weather" not in model.weights
-    extra = [(1000, None), (1001, ""), (1002, "Ünd so. What a BLORGFACE, they said. Fine."), (1003, "fine. " * 100_000), (None, "blorgface")]
+    extra = [(1000, None), (1001, ""), (1002, "Ünd so. What a BLORGFACE, they said. Fine."), (1003, "fine. " * 100_000), (None, "You are a blorgface number 9")]
     docs = spark.createDataFrame(extra, "doc_id long, text string").selectExpr("*", "1 as Score", "2 as offending")
     out = toxicity.score_toxicity(docs, model)
     assert out.columns == ["doc_id", "text", "score", "predicted", "offending"]
@@ -79,7 +79,7 @@ def test_quality_edges(spark):
     rows += [(1000, None, 1), (1001, "", 0), (1002, "x", None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
     model = quality.fit_quality(frame)
-    extra = [(1, None), (2, ""), (3, "the river under a silver window " * 20000), (4, "### $$$ " * 30), (4, "### $$$ " * 30), (None, "green stone garden letter morning quiet")]
+    extra = [(1, None), (2, ""), (3, " ".join(rng.choice(words, 20000))), (4, "### $$$ " * 30), (4, "### $$$ " * 30), (None, "green stone garden letter morning quiet")]
     docs = spark.createDataFrame(extra, "doc_id long, text string").selectExpr("*", "1 as SCORE", "2 as difference", "3 as predicted")
     out = quality.score_quality(docs, model)
     assert out.columns == ["doc_id", "text", "score", "predicted"]

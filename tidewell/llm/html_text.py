@@ -99,7 +99,7 @@ class _Lines(HTMLParser):
             if not self.skip:
                 self.end_line()
             self._imply_ends(tag)
-        self.tags += 1
+        self.tags += not self.skip
         if tag == "br" and not self.skip:
             self.text.append(" ")
         if tag in VOID:
@@ -172,8 +172,8 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach:-reach] / np.convolve(np.ones(len(ratios)), kernel)[reach:-reach]
 
 
-def threshold(values: np.ndarray) -> float:
-    """Where two means part the values; the least value if they are all alike."""
+def threshold(values: np.ndarray, apart: float = 1.4) -> float:
+    """Where two means part the values; the least value if these aren't ``apart`` (four times, of logarithms)."""
     low, high = float(values.min()), float(values.max())
     for _ in range(100):
         cut = (low + high) / 2
@@ -184,7 +184,7 @@ def threshold(values: np.ndarray) -> float:
         if new == (low, high):
             break
         low, high = new
-    return (low + high) / 2
+    return (low + high) / 2 if high - low >= apart else float(values.min())
 
 
 def main_text(html: str | None) -> str:

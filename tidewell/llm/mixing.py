@@ -32,16 +32,17 @@ def targets(sources: DataFrame, share: float, most: float) -> DataFrame:
 
     A target stops at ``most`` times its source's size; the excess is shared again by weight until
     none is above. Solved in one pass: in order of cap / weight the capped sources come first, and
-    each place has the level (words a weight) at which all sources from there on would be filled.
+    each place has the level (words a weight) at which all sources from there on would be filled. A source
+    of weight 0 has target 0.
     """
     order = W.orderBy("full", F.col("source").asc_nulls_last())
     before = order.rowsBetween(W.unboundedPreceding, -1)
     everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    capped = sources.withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    capped = capped.withColumn("full", F.col("cap") / F.col("weight"))
+    cap = F.when(F.col("weight") > 0, F.col("source_size") * F.lit(float(most))).otherwise(0.0)
+    capped = sources.withColumn("cap", cap).withColumn("full", F.coalesce(F.try_divide("cap", "weight"), F.lit(-1.0)))
     words = F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     weights = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    placed = capped.withColumn("level", words / weights)
+    placed = capped.withColumn("level", F.try_divide(words, weights))
     # From the first source that its level doesn't fill, all get that level.
     first = F.min(F.when(F.col("full") > F.col("level"), F.struct("full", F.col("source").isNull(), "source", "level")))
     placed = placed.withColumn("first", first.over(everything))
@@ -112,9 +113,7 @@ def mix(
         named = weights.select(F.col("source").alias("__source"), "weight")
         sources = sources.join(named, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
         sources = sources.withColumn("weight", F.coalesce("weight", F.lit(0)))
-    sources = targets(sources, share, most) if weights is None else targets(
-        sources.where("weight > 0"), share, most
-    ).unionByName(sources.where("weight = 0").withColumn("target", F.lit(0.0)))
+    sources = targets(sources, share, most)
     words = F.sum("target").over(W.partitionBy())
     sources = sources.withColumns(
         {"blocks": F.round(words / block), "most": F.ceil(F.col("source_size") * most / block), "shards": F.ceil(F.sqrt("rows"))}
