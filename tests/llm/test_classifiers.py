@@ -95,7 +95,8 @@ def test_quality_edges(spark):
 
 def test_logistic_curve():
     rng = np.random.default_rng(1)
-    x = rng.normal(size=5000)
-    y = (rng.random(5000) < 1 / (1 + np.exp(-(1 + 2 * x)))).astype(float)
-    offset, slope = quality.fit_logistic(x, y)
-    assert abs(offset - 1) < 0.2 and abs(slope - 2) < 0.2
+    x = rng.normal(size=(20000, 2))
+    y = (rng.random(20000) < 1 / (1 + np.exp(-(1 + 2 * x[:, 0] - x[:, 1])))).astype(float)
+    assert np.allclose(quality.fit_logistic(x, y, np.ones(len(y))), [1, 2, -1], atol=0.15)
+    assert quality.fit_logistic(x, y, np.where(y == 1, 3.0, 1.0))[0] > 1.8
+    assert quality.fit_logistic(x[:0], y[:0], y[:0]) == [0.0, 0.0, 0.0]

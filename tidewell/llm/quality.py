@@ -2,8 +2,10 @@
 
 Two zstandard dictionaries are trained, from pieces of good and of bad labelled texts. A text is
 compressed piece by piece with either; how many bytes fewer the good one needs, per byte of text, is
-the normalised difference, which a logistic curve turns into a calibrated score. Pieces keep a
-dictionary's help alike at the end of a long text and at its start.
+the normalised difference. A logistic curve turns it into a calibrated score; as short texts differ
+little whatever they are, it also knows their length, as length / (length + 256), so that their score
+stays near the share of good labels. Pieces keep a dictionary's help alike at the end of a long text
+and at its start.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ from .common import annotate, class_sample
 
 
 class QualityModel(NamedTuple):
-    """Dictionaries (None where a class has no text) and the logistic curve's offset and slope."""
+    """Dictionaries (None where a class has no text) and the logistic curve: its offset, and its slopes
+    for the difference and the length."""
 
     good: bytes | None
     bad: bytes | None
-    offset: float
-    slope: float
+    offset: float = 0.0
+    slope: float = 0.0
+    length: float = 0.0
     piece: int = 1024
     level: int = 3
 
@@ -67,25 +71,30 @@ def train_dictionary(pieces: list[bytes], size: int) -> bytes | None:
         return b"".join(pieces)[-size:]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[float, float]:
-    """Offset and slope of a logistic curve, by Newton's method with a slight ridge on the slope."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, steps: int = 100) -> list[float]:
+    """Offset and slopes of a logistic curve over the columns of x, by Newton's method with a slight ridge."""
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
-        return float(np.log(share / (1 - share))), 0.0
-    scale = x.std() or 1.0
-    a, b = np.column_stack([np.ones(len(x)), x / scale]), np.zeros(2)
-    loss = lambda b: np.logaddexp(0, a @ b).sum() - y @ (a @ b) + ridge * len(y) / 2 * b[1] ** 2
+        return [float(np.log(share / (1 - share))), *[0.0] * x.shape[1]]
+    scale = np.r_[1.0, np.where(x.std(0) > 0, x.std(0), 1.0)]
+    a, b = np.column_stack([np.ones(len(x)), x]) / scale, np.zeros(x.shape[1] + 1)
+    damp = np.r_[0.0, np.full(x.shape[1], ridge * weight.sum())]
+    loss = lambda b: weight @ (np.logaddexp(0, a @ b) - y * (a @ b)) + damp @ b**2 / 2
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -500, 500)))
-        slope = a.T @ (p - y) + [0, ridge * len(y) * b[1]]
-        step = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag([0, ridge * len(y)]), slope)
-        rate = 1.0
+        curve = (a * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ a + np.diag(damp)
+        step, rate = np.linalg.solve(curve, a.T @ (weight * (p - y)) + damp * b), 1.0
         while loss(b - rate * step) > loss(b) + 1e-12 and rate > 1e-6:
             rate /= 2
         b = b - rate * step
         if np.abs(rate * step).max() < 1e-9:
             break
-    return float(b[0]), float(b[1] / scale)
+    return (b / scale).tolist()
+
+
+def _length(n):
+    """Of a text's length in bytes; from numbers, arrays or columns."""
+    return n / (n + 256)
 
 
 def _pieces(sample: DataFrame, piece: int) -> DataFrame:
@@ -102,6 +111,7 @@ def fit_quality(
     labelled: DataFrame,
     text: str = "text",
     label: str = "quality",
+    good_share: float | None = None,
     sample_rows: int = 4000,
     sample_pieces: int = 8000,
     piece: int = 1024,
@@ -112,7 +122,8 @@ def fit_quality(
 
     Of each class at most about ``sample_rows`` texts are used, a half (by hash) for the dictionaries,
     of which at most about ``sample_pieces`` distinct pieces a class come to the driver, the other half
-    for the curve, of which distinct texts count once.
+    for the curve, of which distinct texts count once. If the rows are a sample that changed the share of
+    good ones, ``good_share`` tells it, so that the score is calibrated for all.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1) & (F.length(text) > 0))
     rows = rows.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
@@ -124,38 +135,44 @@ def fit_quality(
         pieces[r.label].append(bytes(r.piece))
     size = lambda p: max(256, min(dictionary, sum(map(len, p)) // 4))
     good, bad = (train_dictionary(sorted(pieces[k]), size(pieces[k])) for k in (1, 0))
-    model = QualityModel(good, bad, 0.0, 0.0, piece, level)
+    model = QualityModel(good, bad, piece=piece, level=level)
     scored = with_difference(sample.where(half == 1), model, keep=["label"], key=True)
-    points = scored.groupBy("key").agg(F.max("label").alias("label"), F.max("difference").alias("x")).orderBy("key").collect()
-    x, y = np.array([r.x for r in points]), np.array([r.label for r in points], float)
-    return model._replace(**dict(zip(("offset", "slope"), fit_logistic(x, y), strict=True)))
+    found = scored.groupBy("key").agg(*(F.max(c).alias(c) for c in ("label", "difference", "bytes"))).orderBy("key").collect()
+    x = np.array([(r.difference, _length(r.bytes)) for r in found]).reshape(-1, 2)
+    y = np.array([r.label for r in found], float)
+    weight = np.ones(len(y))
+    if good_share is not None and 0 < y.mean() < 1:
+        weight = np.where(y == 1, good_share / y.mean(), (1 - good_share) / (1 - y.mean()))
+    offset, slope, length = fit_logistic(x, y, weight)
+    return model._replace(offset=offset, slope=slope, length=length)
 
 
 def with_difference(df: DataFrame, model: QualityModel, text: str = "text", keep: list[str] | None = None, key: bool = False) -> DataFrame:
-    """Adds the normalised difference, and with ``key`` a hash of the text."""
+    """Adds the normalised difference and the length in bytes, and with ``key`` a hash of the text."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def rows():
         of = _Compressor(shared.value)
-        return lambda texts: [[of.difference(x) for x in texts]]
+        return lambda texts: [[of.difference(x) for x in texts], [len(x or b"") for x in texts]]
 
     if key:
         df, keep = df.withColumn("key", F.xxhash64(text)), [*(keep or []), "key"]
-    return annotate(df, rows, [T.StructField("difference", T.DoubleType())], text, keep)
+    fields = [T.StructField("difference", T.DoubleType()), T.StructField("bytes", T.LongType())]
+    return annotate(df, rows, fields, text, keep)
 
 
 def score_quality(documents: DataFrame, model: QualityModel, text: str = "text", threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
     """Adds score (0 to 1, higher: label 1 likelier) and predicted (1 from ``threshold`` on).
 
     Whole texts are compressed; nothing but the text is read. Edge cases: null and empty texts have
-    difference 0; without labels of both kinds the score is the same for all texts, the share of good
+    difference and length 0; without labels of both kinds the score is the same for all texts, the share of good
     labels (0.5 without any); repeated rows score alike; an empty table gives none; input columns named
     like an added one give way to it.
     """
-    added = ["score", "predicted"]
-    names = [c for c in (keep if keep is not None else documents.columns) if c.lower() not in added]
+    made = ("score", "predicted", "difference", "bytes")
+    names = [c for c in (keep if keep is not None else documents.columns) if c.lower() not in made]
     out = with_difference(documents, model, text, names)
-    names = [c for c in names if c.lower() != "difference"]
-    score = 1 / (1 + F.exp(-F.least(F.greatest(F.lit(model.offset) + F.lit(model.slope) * F.col("difference"), F.lit(-40.0)), F.lit(40.0))))
+    level = F.lit(model.offset) + F.lit(model.slope) * F.col("difference") + F.lit(model.length) * _length(F.col("bytes"))
+    score = 1 / (1 + F.exp(-F.least(F.greatest(level, F.lit(-40.0)), F.lit(40.0))))
     out = out.select(*(F.col(f"`{c}`") for c in names), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -26,7 +26,9 @@ def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, folds: i
 
 def quality_model(documents: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> quality.QualityModel:
     labelled = labelled_texts(documents, labels, "quality", 4, 2, sample_rows, by_class=True)
-    return quality.fit_quality(labelled, "text", "label", sample_rows)
+    known = labels.where(~is_held_out("doc_id", 4, 2) & F.col("quality").isin(0, 1))
+    share = known.agg(F.avg("quality")).first()[0]
+    return quality.fit_quality(labelled, "text", "label", share, sample_rows)
 
 
 def toxicity_model(documents: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> toxicity.ToxicityModel:
