@@ -2,9 +2,9 @@
 
 Two zstandard dictionaries are trained, from pieces of good and of bad labelled texts. A text is
 compressed piece by piece with either; how many bytes fewer the good one needs, per byte of text, is
-the normalised difference. A logistic curve turns it into a calibrated score; as short texts differ
-little whatever they are, it also knows their length, as length / (length + 256), so that their score
-stays near the share of good labels. Pieces keep a dictionary's help alike at the end of a long text
+the normalised difference. A logistic curve turns it into a calibrated score. As short texts tell little,
+whatever they are, what a text adds to the log-odds of good labels is damped by length / (length + 256):
+the score of an empty text is the share of good labels. Pieces keep a dictionary's help alike at the end of a long text
 and at its start.
 """
 
@@ -24,8 +24,8 @@ from .common import annotate, class_sample
 
 
 class QualityModel(NamedTuple):
-    """Dictionaries (None where a class has no text) and the logistic curve: its offset, and its slopes
-    for the difference and the length."""
+    """Dictionaries (None where a class has no text) and the logistic curve: its offset, and the slopes
+    for the damped difference and the damping itself."""
 
     good: bytes | None
     bad: bytes | None
@@ -71,19 +71,29 @@ def train_dictionary(pieces: list[bytes], size: int) -> bytes | None:
         return b"".join(pieces)[-size:]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, steps: int = 100) -> list[float]:
-    """Offset and slopes of a logistic curve over the columns of x, by Newton's method with a slight ridge."""
+def fit_logistic(
+    x: np.ndarray, y: np.ndarray, weight: np.ndarray, offset: float | None = None, ridge: float = 1e-4, steps: int = 100
+) -> list[float]:
+    """Offset and slopes of a logistic curve over the columns of x, by Newton's method with a slight ridge.
+
+    An ``offset`` that is given stays.
+    """
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
         return [float(np.log(share / (1 - share))), *[0.0] * x.shape[1]]
     scale = np.r_[1.0, np.where(x.std(0) > 0, x.std(0), 1.0)]
     a, b = np.column_stack([np.ones(len(x)), x]) / scale, np.zeros(x.shape[1] + 1)
     damp = np.r_[0.0, np.full(x.shape[1], ridge * weight.sum())]
-    loss = lambda b: weight @ (np.logaddexp(0, a @ b) - y * (a @ b)) + damp @ b**2 / 2
+    if offset is not None:
+        b[0], a[:, 0] = offset, 0.0
+        damp[0] = 1.0  # keeps the matrix regular; the gradient there is set to zero
+    at = lambda b: a @ b + (b[0] if offset is not None else 0.0)
+    loss = lambda b: weight @ (np.logaddexp(0, at(b)) - y * at(b)) + damp[1:] @ b[1:] ** 2 / 2
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ b, -500, 500)))
+        p = 1 / (1 + np.exp(-np.clip(at(b), -500, 500)))
         curve = (a * (weight * (p * (1 - p) + 1e-9))[:, None]).T @ a + np.diag(damp)
-        step, rate = np.linalg.solve(curve, a.T @ (weight * (p - y)) + damp * b), 1.0
+        slope = a.T @ (weight * (p - y)) + np.r_[0.0, damp[1:] * b[1:]]
+        step, rate = np.linalg.solve(curve, slope), 1.0
         while loss(b - rate * step) > loss(b) + 1e-12 and rate > 1e-6:
             rate /= 2
         b = b - rate * step
@@ -92,8 +102,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return (b / scale).tolist()
 
 
-def _length(n):
-    """Of a text's length in bytes; from numbers, arrays or columns."""
+def _known(n):
+    """How much a text of n bytes tells, from 0 to 1; of numbers, arrays or columns."""
     return n / (n + 256)
 
 
@@ -138,12 +148,14 @@ def fit_quality(
     model = QualityModel(good, bad, piece=piece, level=level)
     scored = with_difference(sample.where(half == 1), model, keep=["label"], key=True)
     found = scored.groupBy("key").agg(*(F.max(c).alias(c) for c in ("label", "difference", "bytes"))).orderBy("key").collect()
-    x = np.array([(r.difference, _length(r.bytes)) for r in found]).reshape(-1, 2)
+    x = np.array([(r.difference * _known(r.bytes), _known(r.bytes)) for r in found]).reshape(-1, 2)
     y = np.array([r.label for r in found], float)
-    weight = np.ones(len(y))
-    if good_share is not None and 0 < y.mean() < 1:
-        weight = np.where(y == 1, good_share / y.mean(), (1 - good_share) / (1 - y.mean()))
-    offset, slope, length = fit_logistic(x, y, weight)
+    weight, start = np.ones(len(y)), None
+    if len(y) and 0 < y.mean() < 1:
+        share = y.mean() if good_share is None else good_share
+        weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+        start = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
+    offset, slope, length = fit_logistic(x, y, weight, start)
     return model._replace(offset=offset, slope=slope, length=length)
 
 
@@ -164,15 +176,14 @@ def with_difference(df: DataFrame, model: QualityModel, text: str = "text", keep
 def score_quality(documents: DataFrame, model: QualityModel, text: str = "text", threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
     """Adds score (0 to 1, higher: label 1 likelier) and predicted (1 from ``threshold`` on).
 
-    Whole texts are compressed; nothing but the text is read. Edge cases: null and empty texts have
-    difference and length 0; without labels of both kinds the score is the same for all texts, the share of good
-    labels (0.5 without any); repeated rows score alike; an empty table gives none; input columns named
+    Whole texts are compressed; nothing but the text is read. Edge cases: null and empty texts score the share
+    of good labels; without labels of both kinds all texts score it (0.5 without any); repeated rows score alike; an empty table gives none; input columns named
     like an added one give way to it.
     """
     made = ("score", "predicted", "difference", "bytes")
     names = [c for c in (keep if keep is not None else documents.columns) if c.lower() not in made]
     out = with_difference(documents, model, text, names)
-    level = F.lit(model.offset) + F.lit(model.slope) * F.col("difference") + F.lit(model.length) * _length(F.col("bytes"))
+    level = F.lit(model.offset) + (F.lit(model.slope) * F.col("difference") + F.lit(model.length)) * _known(F.col("bytes"))
     score = 1 / (1 + F.exp(-F.least(F.greatest(level, F.lit(-40.0)), F.lit(40.0))))
     out = out.select(*(F.col(f"`{c}`") for c in names), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
