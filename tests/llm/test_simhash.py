@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 
 from tests.llm.helpers import components, fingerprint
 from tidewell.llm import queries, simhash
+from tidewell.llm.common import join_counted
 from tidewell.llm.components import connected_components
 
 
@@ -39,11 +40,11 @@ def clustered(n, seed):
     return out
 
 
-@pytest.mark.parametrize("shard_rows", [8, 40, 100_000])
-def test_links_of_clusters(spark, shard_rows):
+@pytest.mark.parametrize("shard_rows, sample_rows", [(8, 2000), (40, 2000), (100_000, 2000), (8, 30), (20, 1)])
+def test_links_of_clusters(spark, shard_rows, sample_rows):
     prints = np.unique(clustered(3000, shard_rows)).view(np.int64)
     frame = spark.createDataFrame([(int(x),) for x in prints], "fp long")
-    links = simhash.hamming_links(frame, 3, shard_rows=shard_rows, sample_rows=2000)
+    links = simhash.hamming_links(frame, 3, shard_rows=shard_rows, sample_rows=sample_rows)
     roots = {r.node: r.root for r in connected_components(links).collect()}
     found = {}
     for f in prints.tolist():
@@ -56,6 +57,24 @@ def test_links_of_clusters(spark, shard_rows):
     assert len(expected) < len(unsigned)
 
 
+def test_large_shards_are_divided():
+    prints = np.unique(clustered(4000, 3)).view(np.int64)
+    parts = list(simhash._divided(prints, np.ones(len(prints), bool), 1, 1, 20, sample=500))
+    assert len(parts) > 20 and max(own.sum() for _, own in parts) < len(prints) / 8
+    assert len(np.unique(np.concatenate([at[own] for at, own in parts]))) == len(prints)
+    alike = np.arange(500, dtype=np.int64)  # one upper half: no tree parts them
+    assert [len(at) for at, _ in simhash._divided(alike, np.ones(500, bool), 1, 1, 20)] == [500]
+
+
+@pytest.mark.parametrize("share", [1e-9, 0.1, 1.0])
+def test_join_counted(spark, share):
+    keys = [1] * 50 + [2] * 20 + list(range(3, 33)) + [None, 99]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key long, i int")
+    counted = spark.createDataFrame([(k, k * 10, keys.count(k)) for k in range(1, 33)], "key long, value long, n long")
+    found = sorted((r.key, r.i, r.value) for r in join_counted(rows, counted, "key", share=share).collect())
+    assert found == sorted((k, i, k * 10) for i, k in enumerate(keys) if k not in (None, 99))
+
+
 def test_edges(spark):
     text = "one two three four five six seven"
     rows = [(7, None), (5, ""), (9, " \n"), (None, text), (3, text), (3, text), (8, text.upper()), (None, "alone"), (2, "a b"), (1, "x y z " * 30000)]

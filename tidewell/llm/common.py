@@ -65,6 +65,20 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str = "n", share: float = 1e-3) -> DataFrame:
+    """Inner join of ``rows`` with ``counted``: one row a key, whose column ``n`` says how many rows have it.
+
+    Keys of more than ``share`` of all rows number fewer than 1 / share: they are broadcast, and their
+    rows stay where they are. The others meet in a shuffle, in which no key is hot. ``counted`` is
+    read several times. Column ``n`` isn't kept; null keys meet nothing.
+    """
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    is_hot = F.col(n) > share * total
+    hot, rest = counted.where(is_hot).drop(n), counted.where(~is_hot).drop(n)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return rows.join(F.broadcast(hot), key).unionByName(others)
+
+
 def class_sample(df: DataFrame, label: str, by: str, bound: int) -> DataFrame:
     """About ``bound`` rows of each label at most, chosen by a hash of ``by``; all of a label with fewer.
 

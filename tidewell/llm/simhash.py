@@ -9,8 +9,9 @@ A tree node holds a vantage point and a radius: points within it are dealt to th
 to the outer one. A fingerprint has one home leaf (its shard). Near a boundary it also visits the
 shard beyond, where the triangle bound lets a partner be: visits only go from an inner to an outer
 subtree, which meets each pair once. Trees are fitted on a bounded sample of fingerprints; that
-sets how even the shards are, never which pairs are found. Shards are joined inside their tasks by
-tiles; a shard yields a spanning forest of its links, never all pairs of a group.
+sets how even the shards are, never which pairs are found: a shard that outgrew its leaf is dealt
+again inside its task, by a tree fitted on a sample of itself. Shards are joined inside their tasks
+by tiles; a shard yields a spanning forest of its links, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, checkpointed, space_words
+from .common import annotate, checkpointed, join_counted, space_words
 from .components import connected_components
 
 FINGERPRINT = T.StructField("fp", T.LongType())
@@ -99,10 +100,33 @@ class VantageTree:
             stack.append((outer, at[beyond], home[beyond] & (away[beyond] > radius)))
 
 
-def _shard_links(points: np.ndarray, home: np.ndarray, bits: int, tile: int = 512) -> np.ndarray:
+def _divided(
+    points: np.ndarray, home: np.ndarray, half: int, reach: int, shard_rows: int, sample: int = 20_000
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(indices, whether it is their home) of the shards that a shard of over 4 * ``shard_rows`` homes makes.
+
+    Points whose halves are alike can't be parted; a shard that no tree divides stays whole.
+    """
+    stack = [(np.arange(len(points)), home)]
+    while stack:
+        at, own = stack.pop()
+        parts = []
+        if own.sum() > 4 * shard_rows:
+            halves = np.ascontiguousarray(points[at].view(np.uint32).reshape(-1, 2)[:, half])
+            picked = np.random.default_rng(len(at)).permutation(halves)[:sample]
+            tree = VantageTree(picked, max(8, shard_rows * len(picked) // len(at)), seed=half)
+            parts = [(at[i], is_home) for _, i, is_home in tree.deal(halves, reach)]
+        if parts and max(len(i) for i, _ in parts) <= 0.75 * len(at):
+            stack += parts
+        else:
+            yield at, own
+
+
+def _shard_links(points: np.ndarray, home: np.ndarray, bits: int, cells: int = 1 << 21) -> np.ndarray:
     """For each point the least index that it is linked to through pairs that have a home point."""
     label = np.arange(len(points))
     homes = np.flatnonzero(home)
+    tile = max(1, min(512, cells // max(len(points), 1)))
     for at in range(0, len(homes), tile):
         rows = homes[at : at + tile]
         near = np.bitwise_count(points[rows, None] ^ points[None, :]) <= bits
@@ -117,7 +141,8 @@ def hamming_links(fingerprints: DataFrame, bits: int = 3, shard_rows: int = 400,
     """(a, b): a spanning forest of all pairs of distinct fingerprints that differ in ``bits`` at most.
 
     ``fingerprints`` has distinct values in column fp. At most ``sample_rows`` of them are collected
-    to fit the trees, for shards of about ``shard_rows`` (larger once the sample limits the leaves).
+    to fit the trees, for shards of about ``shard_rows``; once the sample limits the leaves, these hold
+    more and are divided in their tasks.
     """
     spark = fingerprints.sparkSession
     total = fingerprints.count()
@@ -144,29 +169,32 @@ def hamming_links(fingerprints: DataFrame, bits: int = 3, shard_rows: int = 400,
                 base += tree.n
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fps, home in _by_leaf(batches):
-            label = _shard_links(fps.view(np.uint64), home, bits)
-            linked = np.flatnonzero(label != np.arange(len(label)))
-            if len(linked):
-                yield pa.RecordBatch.from_arrays([pa.array(fps[linked]), pa.array(fps[label[linked]])], ["a", "b"])
+        first_of_second = shared.value[0].n
+        for leaf, fps, home in _by_leaf(batches):
+            for at, own in _divided(fps, home, int(leaf >= first_of_second), reach, shard_rows):
+                label = _shard_links(fps[at].view(np.uint64), own, bits)
+                linked = np.flatnonzero(label != np.arange(len(label)))
+                if len(linked):
+                    pairs = [pa.array(fps[at[linked]]), pa.array(fps[at[label[linked]]])]
+                    yield pa.RecordBatch.from_arrays(pairs, ["a", "b"])
 
     dealt = fingerprints.select("fp").mapInArrow(deal, "leaf int, fp long, home boolean")
     return dealt.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(join, "a long, b long")
 
 
-def _by_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The points of one leaf after another, from batches sorted by leaf."""
+def _by_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each leaf with its points, from batches sorted by leaf."""
     rest = None
     for batch in batches:
         new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
         rest = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
         edges = np.flatnonzero(np.diff(rest[0])) + 1
         for i, j in zip(np.r_[0, edges], edges, strict=False):
-            yield rest[1][i:j], rest[2][i:j]
+            yield int(rest[0][i]), rest[1][i:j], rest[2][i:j]
         if len(edges):
             rest = [x[edges[-1] :] for x in rest]
     if rest is not None and len(rest[0]):
-        yield rest[1], rest[2]
+        yield int(rest[0][0]), rest[1], rest[2]
 
 
 def near_duplicates(
@@ -176,16 +204,16 @@ def near_duplicates(
 
     Documents are linked if their fingerprints differ in ``bits`` or fewer; component_id is the least
     id reachable over links. Copies share a fingerprint and are one node of the graph, whatever their
-    number. Edge cases: texts without words have fingerprint zero and are linked like any other; a row
+    number; neither they nor the fingerprints of one component make a hot task, see ``join_counted``. Edge cases: texts without words have fingerprint zero and are linked like any other; a row
     whose id is null gets a component too, whose id is null only if no member has one; repeated rows
     stay; an empty table gives none; other columns are not read.
     """
     prints = checkpointed(with_simhash(documents.select(id_col, text), text, shingle, keep=[id_col]))
-    nodes = checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")))
     roots = connected_components(hamming_links(nodes, bits))
-    labelled = nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    lowest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = labelled.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select(id_col, "fp", "component_id")
+    linked = checkpointed(nodes.join(roots, nodes.fp == roots.node).select("fp", "least", "n", "root"))
+    groups = checkpointed(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints")))
+    alone = nodes.join(roots, nodes.fp == roots.node, "left_anti").withColumnRenamed("least", "component_id")
+    grouped = join_counted(linked.select("fp", "n", "root"), groups, "root", "prints").drop("root")
+    of_print = checkpointed(alone.unionByName(grouped))
+    return join_counted(prints, of_print, "fp").select(id_col, "fp", "component_id")
