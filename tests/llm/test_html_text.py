@@ -26,6 +26,9 @@ def test_layouts_without_article():
         f"<body><div role=navigation>{'menu words ' * 20}</div><main>{ARTICLE}<section id=comments><p>{'Nice! ' * 30}</p></section></main></body>",
         f"<article>{ARTICLE}<aside>{'Read also. ' * 20}</aside><form><label>Mail</label></form><div class=cookie-notice>{'We use it. ' * 20}</div></article>",
         f"<div class='has-sidebar'>{ARTICLE}</div><div class='ad-box'>{'Adv. ' * 50}</div><ol class=commentlist><li>{'Me too. ' * 30}</ol>",
+        f"<html><head><title>Site</title><meta charset=utf-8><body>{nav}<div>{ARTICLE}</div></html>",
+        f"<head><title>Site</title><noscript><link href=x></noscript>{ARTICLE}",
+        f"<form action=x><label>Mail</label><nav>Home</nav><article>{ARTICLE}<form>Vote <b>now</b></form></article><p>Terms</p></form>",
         f"<article>{ARTICLE}</article><div class=comments><article class=comment><p>{'I disagree with it. ' * 20}</p></article></div>",
     ):
         assert html_text.main_text(page) == TEXT, page

@@ -42,6 +42,8 @@ NOISE = frozenset(
     "replies reply respond responses share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget "
     "widgets".split()
 )
+#: What a head may hold; anything else ends one that isn't closed.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 #: A class such as "with-sidebar" tells of the page's layout; "entry-header" holds the article's title.
 LAYOUT = frozenset("has no with without".split())
 TITLES = frozenset("article entry post section story".split())
@@ -81,7 +83,8 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []
+        #: (name, by how much its end lowers skip, region before it)
+        self.open: list[tuple[str, int, int]] = []
         self.skip, self.region, self.regions = 0, 0, 0
         self.text: list[str] = []
         self.tags = 0
@@ -94,7 +97,13 @@ class _Lines(HTMLParser):
             self.tags = 0
         self.text.clear()
 
+    def _end_head(self):
+        if self.open and self.open[-1][0] == "head":
+            self._close(len(self.open) - 1)
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in BLOCK:
             if not self.skip:
                 self.end_line()
@@ -104,12 +113,16 @@ class _Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        skips, region = _skips(tag, attrs), self.region
+        skips, region = int(_skips(tag, attrs)), self.region
+        if tag in ("article", "main") and not skips and all(name == "form" for name, n, _ in self.open if n > 0):
+            skips = -self.skip  # a form about the whole page is no part of the article
+            self.skip = 0
+            self.text.clear()
         if tag in ("article", "main") and not skips and not self.skip and not self.region:
             self.regions += 1
             self.region = self.regions
         self.open.append((tag, skips, region))
-        self.skip += skips
+        self.skip += max(skips, 0)
 
     def handle_startendtag(self, tag, attrs):
         # HTML has no self-closing elements but the void ones; in foreign content there are some.
@@ -148,6 +161,8 @@ class _Lines(HTMLParser):
         del self.open[i:]
 
     def handle_data(self, data):
+        if not data.isspace():
+            self._end_head()
         if not self.skip:
             self.text.append(data)
 
@@ -208,7 +223,8 @@ def main_text(html: str | None) -> str:
 def extract_text(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Adds text and n_chars (its code points) from whole pages.
 
-    Edge cases: a null or empty page, or one without text, has the empty text; markup that is broken or
+    Edge cases: a null or empty page, or one without text, has the empty text; an article within a form
+    about the whole page counts; markup that is broken or
     never closed is read as far as it goes; repeated rows are read alike; an empty table gives none;
     input columns named like an added one give way to it.
     """
