@@ -83,3 +83,19 @@ def test_edges(spark):
     assert lm.score_texts(docs.limit(0)).count() == 0
     lone = [(None, "a b")]
     check(lm.score_texts(spark.createDataFrame(lone, "doc_id long, text string")).collect(), lone, plain(lone))
+
+
+def test_rare_words_and_bigrams_of_a_large_corpus(spark):
+    rows = [(i, " ".join(f"w{j * j % (50 + i)} common" for j in range(5_000)) + " Deep Reef" + " odd pair odd pair") for i in (1, 2, 3, 4, 5)]
+    rows += [(i, text + " common w1" * 150_000) for i, text in rows] + [(20, "deep reef"), (21, "a deep reef")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    train = [t for i, t in rows if fold(i, 5) != 1]
+    assert 2 <= sum(low(t).count("deep reef") for t in train) < 1e-5 * sum(len(tokens(t)) for t in train)
+    check(lm.score_texts(docs).collect(), rows, plain(rows, 0, 0))
+
+
+def test_what_is_broadcast_changes_no_score(spark):
+    rows = [(i, " ".join(f"w{j * j % (5 + i % 7)} Rare{i % 9} x" for j in range(40))) for i in range(40)] + [(50, "zz x rare1 x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot_words, hot_arcs in ((0.02, 0.003), (1.0, 1.0), (1e-5, 1.0)):
+        check(lm.score_texts(docs, hot_words=hot_words, hot_arcs=hot_arcs).collect(), rows, plain(rows, 0, 0))

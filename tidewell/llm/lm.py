@@ -6,11 +6,12 @@ state 0 is the empty history, every other state a word; an arc carries a seen bi
 a state's failure arc carries its backoff weight to state 0, whose arcs are the words. A text is one
 traversal from left to right, beginning in the state of the end token.
 
-Scale: counts of all words and of all bigrams are aggregated over the whole corpus. Words of at least
-``state_share`` of all tokens are states, bigrams of at least ``arc_share`` arcs: shares sum to one, so
-there are never more than 1 / share of either, whatever the corpus, and the automaton can be broadcast.
-The vocabulary has no such bound: the words that are no states are joined with their counts by a
-shuffle, where none has more than ``state_share`` of all tokens, so that no key is hot.
+Scale: words and bigrams of the whole corpus are counted in one pass. All words are states and all
+bigrams seen ``min_arc`` times, a fixed number, are arcs, so the model grows with the corpus; its
+weights are distributed tables. A text meets them in a shuffle join, with each of its words and
+bigrams once. Words of at least ``hot_words`` of all tokens and bigrams of such words of at least
+``hot_arcs`` are broadcast and met on the spot: shares sum to one, so there are never more than
+1 / share of either, and no key of the join is hot. What is broadcast never changes a score.
 """
 
 from __future__ import annotations
@@ -19,29 +20,33 @@ from collections import Counter
 from collections.abc import Iterator
 from math import log10
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, space_words, written
+from .common import is_held_out, join_counted, space_words, written
 
 #: The end of a text, which is no word: words hold no white space.
 END = b"\n"
 
 
-def count_tokens(texts: DataFrame, flush: int = 300_000) -> DataFrame:
-    """(token, n): how often each token, ends included, occurs in column text."""
+def count_ngrams(texts: DataFrame, flush: int = 600_000) -> DataFrame:
+    """(token, n): how often each token, ends included, and each bigram occurs in column text.
+
+    A bigram's token is its words with a space between, which no word holds; a text begins in the end.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update(space_words(text))
-                counts[END] += 1
+                words = space_words(text)
+                words.append(END)
+                counts.update(words)
+                counts.update(map(b" ".join, zip([END, *words], words)))  # noqa: B905
                 if len(counts) > flush:
-                    # The words seen again and again stay, so that a task emits them once.
+                    # What is seen again and again stays, so that a task emits it once.
                     rare = [k for k, v in counts.items() if v < 3]
                     rare = rare if len(rare) > flush // 2 else list(counts)
                     yield _counted(rare, [counts.pop(k) for k in rare])
@@ -55,41 +60,39 @@ def _counted(tokens: list[bytes], counts: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(counts, pa.int64())], ["token", "n"])
 
 
-def count_pairs(texts: DataFrame, index, flush: int = 2_000_000) -> DataFrame:
-    """(pair, n): how often a state follows another, as first * 2^32 + second, over column text."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = index.value, [], 0
-        end = known[END]
-
-        def flushed():
-            pairs, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], ["pair", "n"])
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids = np.array([end, *(known.get(w, 0) for w in space_words(text)), end], np.int64)
-                pairs = ids[:-1] << 32 | ids[1:]
-                held.append(pairs[(ids[:-1] > 0) & (ids[1:] > 0)])
-                size += len(held[-1])
-                if size > flush:
-                    yield flushed()
-                    held, size = [], 0
-        if held:
-            yield flushed()
+def weigh(words: DataFrame, arcs: DataFrame, z: float, hot_words: float, discount: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Words as (token, n, fail), arcs as (token, first, second, n, delta).
 
-    found = texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "pair long, n long")
-    return found.groupBy("pair").agg(F.sum("n").alias("n"))
+    ``words`` has (token, n), ``arcs`` (token, first, second, n). fail is a word's backoff weight; delta
+    is what an arc's weight has over the backoff weight and the unigram weight that it stands for.
+    """
+    low = (F.col("n_second") + 0.5) / F.lit(z)
+    of_word = words.select(F.col("token").alias("second"), F.col("n").alias("n_second"), F.col("n").alias("weight"))
+    ended = written(join_counted(arcs, of_word, "second", "weight", hot_words))
+    sums = ended.groupBy(F.col("first").alias("token")).agg((F.sum("n") - discount * F.count("*")).alias("seen"), F.sum(low).alias("low"))
+    # What the seen bigrams leave is shared among all other words as the unigram model has them.
+    left = F.log10(F.greatest(1 - F.col("seen") / F.col("n"), F.lit(1e-12)) / F.greatest(1 - F.col("low"), F.lit(1e-12)))
+    words = written(words.join(sums, "token", "left").select("token", "n", F.coalesce(left, F.lit(0.0)).alias("fail")))
+    of_word = words.select(F.col("token").alias("first"), F.col("n").alias("n_first"), "fail", F.col("n").alias("weight"))
+    begun = join_counted(ended, of_word, "first", "weight", hot_words)
+    delta = F.log10((F.col("n") - discount) / F.col("n_first")) - F.col("fail") - F.log10(low)
+    return words, written(begun.select("token", "first", "second", "n", delta.alias("delta")))
 
 
 class Automaton:
-    """States and arcs with log10 weights; ``words`` has each state's number, unigram weight included."""
+    """States and arcs with log10 weights; ``words`` has each state's number, unigram weight included.
+
+    ``fails`` are the states' backoff weights where ``pairs`` are not all arcs of the model.
+    """
 
-    def __init__(self, states: list[tuple[bytes, int]], pairs: dict[int, int], z: float, discount: float = 0.5):
+    def __init__(
+        self, states: list[tuple[bytes, int]], pairs: dict[int, int], z: float, discount: float = 0.5, fails: list[float] | None = None
+    ):
         self.index = {w: i for i, (w, _) in enumerate(states, 1)}
         counts = [0.0, *(float(c) for _, c in states)]
         self.learned = int(any(n for _, n in states))
         self.word = [0.0, *(log10((c + 0.5) / z) for c in counts[1:])]
+        self.unknown = log10(0.5 / z)
         self.arcs = {}
         seen, low = [0.0] * len(counts), [0.0] * len(counts)
         for pair, n in sorted(pairs.items()):
@@ -100,25 +103,33 @@ class Automaton:
             self.arcs[pair] = log10(p)
         # What the seen bigrams leave is shared among all other words as the unigram model has them.
         self.fail = [log10(max(1 - s, 1e-12) / max(1 - b, 1e-12)) for s, b in zip(seen, low, strict=True)]
+        if fails is not None:
+            self.fail = [0.0, *fails]
 
     def score(self, words: list[bytes]) -> tuple[float, float, int, Counter]:
-        """(log10 probability, log10 base probability, number of learned states met, other words).
+        """(log10 probability, log10 base probability, number of learned states met, what is not here).
 
-        The probabilities lack the unigram weights of the other words, whose counts aren't here.
+        The last counts the words that are no states, taken as unknown without a backoff weight, and
+        the bigrams that are no arcs here, taken by backoff: what their weights have over that is to
+        be added.
         """
-        arcs, fail, word = self.arcs, self.fail, self.word
+        arcs, fail, word = self.arcs, self.fail, [self.unknown, *self.word[1:]]
         ids = [self.index.get(w, 0) for w in words]
         others = Counter([w for w, i in zip(words, ids, strict=True) if not i])
         end = self.index[END]
-        ids.append(end)
         learned = len(words) - sum(others.values()) + self.learned
         total = base = 0.0
-        state = end
-        for i in ids:
-            arc = arcs.get(state << 32 | i) if i else None
-            total += fail[state] + word[i] if arc is None else arc
+        state, missed = end, []
+        for before, w, i in zip([END, *words], [*words, END], [*ids, end], strict=True):
+            arc = arcs.get(state << 32 | i) if state and i else None
+            if arc is None:
+                total += fail[state] + word[i]
+                missed.append(before + b" " + w)
+            else:
+                total += arc
             base += word[i]
             state = i
+        others.update(missed)
         return total, base, learned, others
 
 
@@ -128,13 +139,17 @@ def score_texts(
     text: str = "text",
     folds: int = 5,
     held_out_fold: int = 1,
-    state_share: float = 1e-5,
-    arc_share: float = 1e-6,
+    state_share: float = 0.0,
+    arc_share: float = 0.0,
+    min_arc: int = 2,
+    hot_words: float = 1e-5,
+    hot_arcs: float = 1e-6,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document row.
 
     Learned from the documents whose crc32 of the id as text, modulo ``folds``, isn't
-    ``held_out_fold``. n_tokens counts words and the end, n_known those that were learned; scores are
+    ``held_out_fold``. ``state_share`` and ``arc_share`` limit the model to words and bigrams of such
+    shares of all tokens; by default neither does. n_tokens counts words and the end, n_known those that were learned; scores are
     log10 probabilities. Edge cases: a null text is the empty one, an end alone; a row whose id is null
     has no fold, isn't learned from and counts as held out; repeated rows are learned from and scored
     each; with nothing to learn from, all words are unknown; an empty table gives none; other columns
@@ -143,25 +158,44 @@ def score_texts(
     spark = documents.sparkSession
     rows = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("held_out", is_held_out("id", folds, held_out_fold))
-    counts = written(count_tokens(rows.where("not held_out")))
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    counts = count_ngrams(rows.where("not held_out"))
+    as_text, at_space = F.col("token").cast("string"), F.lit(" ")
+    is_arc = F.contains(as_text, at_space)
+    counts = written(counts.where(~is_arc | (F.col("n") >= min_arc)))
+    words = counts.where(~is_arc)
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     z = n + 0.5 * (v + 1)
-    frequent = counts.where((F.col("n") >= state_share * n) | (F.col("token") == END))
-    states = sorted(((bytes(r.token), r.n) for r in frequent.toLocalIterator()), key=lambda x: (-x[1], x[0]))
-    if not states:
-        states = [(END, 0)]
-    index = spark.sparkContext.broadcast({w: i for i, (w, _) in enumerate(states, 1)})
-    pairs = count_pairs(rows.where("not held_out"), index).where(F.col("n") >= max(arc_share * n, 2))
-    shared = spark.sparkContext.broadcast(Automaton(states, {r.pair: r.n for r in pairs.toLocalIterator()}, z))
-
-    return _scored(rows, counts, shared, n, v, z, id_col)
-
-
-def _scored(rows: DataFrame, counts: DataFrame, shared, n: int, v: int, z: float, id_col: str) -> DataFrame:
-    """Traverses every text once; the words that are no states meet their counts in a join.
-
-    A text makes one row of its own and one for each other word, all with its key; the first's token
-    has a space, so that it meets no count.
+    part = lambda i: F.substring_index(as_text, " ", i).cast("binary")
+    arcs = counts.where(is_arc & (F.col("n") >= arc_share * n)).select("token", part(1).alias("first"), part(-1).alias("second"), "n")
+    if state_share:
+        states = words.where((F.col("n") >= state_share * n) | (F.col("token") == END)).select("token")
+        for c in ("first", "second"):
+            arcs = arcs.join(states.withColumnRenamed("token", c), c, "left_semi")
+    words, arcs = weigh(words, arcs.select("token", "first", "second", "n"), z, hot_words)
+
+    known = words.where((F.col("n") >= hot_words * n) | (F.col("token") == END))
+    hot = sorted(((bytes(r.token), r.n, r.fail) for r in known.toLocalIterator()), key=lambda x: (-x[1], x[0]))
+    if not hot:
+        hot = [(END, 0, 0.0)]
+    index = {w: i for i, (w, _, _) in enumerate(hot, 1)}
+    pairs = {}
+    for r in arcs.where(F.col("n") >= hot_arcs * n).select("first", "second", "n").toLocalIterator():
+        first, second = index.get(bytes(r.first)), index.get(bytes(r.second))
+        if first and second:
+            pairs[first << 32 | second] = r.n
+    shared = spark.sparkContext.broadcast(Automaton([x[:2] for x in hot], pairs, z, fails=[x[2] for x in hot]))
+
+    unigram = F.log10((F.col("n") + 0.5) / F.lit(0.5))
+    weights = words.select("token", F.lit(1).alias("known"), unigram.alias("base"), (unigram + F.col("fail")).alias("total"))
+    weights = weights.unionByName(arcs.select("token", F.lit(0).alias("known"), F.lit(0.0).alias("base"), F.col("delta").alias("total")))
+    return _scored(rows, weights, shared, n, id_col)
+
+
+def _scored(rows: DataFrame, weights: DataFrame, shared, n: int, id_col: str) -> DataFrame:
+    """Traverses every text once; words and bigrams that aren't broadcast meet their weights in a join.
+
+    A text makes one row of its own and one for each such word or bigram, all with its key; the first's
+    token begins with a space, so that it meets no weight.
     """
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -191,23 +225,15 @@ def _scored(rows: DataFrame, counts: DataFrame, shared, n: int, v: int, z: float
 
     texts = rows.select("id", F.col("text").cast("binary").alias("text"), "held_out")
     schema = f"key long, token binary, times int, id {kind}, held_out boolean, n_tokens long, known long, base double, total double"
-    met = texts.mapInArrow(traverse, schema).join(counts, "token", "left")
-    weight = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(z)) * F.col("times")
+    more = weights.withColumnsRenamed({"known": "is_word", "base": "more_base", "total": "more_total"})
+    met = texts.mapInArrow(traverse, schema).join(more, "token", "left")
+    added = lambda c: F.coalesce(F.sum(F.col(c) * F.col("times")), F.lit(0))
     sums = met.groupBy("key").agg(
         F.max("id").alias(id_col),
         (F.max(F.col("held_out").cast("int")) == 1).alias("held_out"),
         F.max("n_tokens").alias("n_tokens"),
-        (F.max("known") + F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0))).alias("n_known"),
-        F.max("base").alias("base"),
-        F.max("total").alias("total"),
-        F.sum(weight).alias("others"),
-    )
-    return sums.select(
-        id_col,
-        "held_out",
-        "n_tokens",
-        "n_known",
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("others")).alias("base_score"),
-        (F.col("total") + F.col("others")).alias("score"),
+        (F.max("known") + added("is_word")).alias("n_known"),
+        (F.max("base") + added("more_base")).alias("base_score"),
+        (F.max("total") + added("more_total")).alias("score"),
     )
+    return sums.select(id_col, "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
