@@ -75,3 +75,22 @@ def test_rules_against_counting_all_combinations(spark):
     count = lambda x: sum(x in t for t, _ in rows)
     for combo, r in mined.items():
         assert r.anchor == min(combo, key=lambda x: (count(x), x))
+
+
+def test_deep_segments_and_labels_decide(spark):
+    hosts = lambda i, top: f"a{i}.b{i % 3}.c.d.{'ads' if top == 'ads' else 'www'}.e.f"
+    urls = [f"http://h{i}.net/es/{2020 + i % 7}/{i}/casino/{i}" for i in range(60)] + [f"http://h{i}.com/es/{2020 + i % 7}/{i}/news/{i}" for i in range(140)]
+    urls += [f"http://{hosts(i, 'ads')}.net/fr/{i}" for i in range(30)] + [f"http://{hosts(i, '')}.net/fr/{i}" for i in range(30, 33)]
+    urls += [f"http://{hosts(i, '')}.com/fr/{i}" for i in range(30, 90)] + [f"http://n{i}.net/x/{i}" for i in range(200)]
+    deciding = {"http://q.org/en/2024/7/casino/2": "block", "http://q.org/de/casino": "block", "http://q.org/es/2021/7/news/3": "allow"}
+    deciding |= {"http://x.y.c.d.ads.e.f.org/": "block", "http://x.y.c.d.www.e.f.org/": "allow"}
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, *deciding])], "page_id long, url string")
+    rules = (("allow", "com", "/"), ("allow", "net", "/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+    found = {r.url: r.verdict for r in url_rules.judge_urls(pages, rules=rules, min_support=0.02).collect()}
+    assert {u: found[u] for u in deciding} == deciding
+
+
+def test_classes_lose_no_rule(spark):
+    rows = [((i * i + 5, i * 7), [f"a{i % 2}", f"b{i % 2}", *(f"s{j}" for j in range(i % 2 * 40))], 1) for i in range(8)]
+    found = {r.token: r["class"] for r in url_rules.token_classes(spark.createDataFrame(rows, "key struct<h0:long,h1:long>, tokens array<string>, n long"), 0.1).collect()}
+    assert len(found) == 44 and (found["a0"], found["b0"], found["b1"], found["s39"]) == ("a0", "a0", "a1", "a1")

@@ -1,7 +1,8 @@
 """URL filter by association rules.
 
 Explicit host and path rules judge the URLs that they fit, and label them. FP-growth mines from these
-labels which combinations of URL tokens go with ``block``. Rules of enough support and confidence, of
+labels which combinations of URL tokens go with ``block``; tokens are the labels of the whole host and
+the segments of the whole path. Rules of enough support and confidence, of
 which no part is a rule as confident, are kept in an inverted index by their rarest token, and judge
 the other URLs. DataFrame functions and Spark's own FP-growth only; no Python in any task.
 """
@@ -12,7 +13,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed
+from .common import ascii_lower, checkpointed, join_counted
 
 #: (verdict, host, path prefix)
 Rule = tuple[str, str, str]
@@ -46,18 +47,41 @@ def fitting_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def url_tokens(host: Column, path: Column) -> Column:
-    """The last four labels of the host, counted from its end, and the first two path segments."""
+    """All labels of the host, counted from its end, and all path segments, each with and without its place."""
     labels = F.reverse(F.filter(F.split(host, r"\."), lambda x: x != ""))
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    name = lambda kind: lambda x, i: F.concat(F.lit(kind), (i + 1).cast("string"), F.lit(":"), x)
-    return F.concat(F.transform(F.slice(labels, 1, 4), name("host")), F.transform(F.slice(parts, 1, 2), name("path")))
+    placed = lambda kind: lambda x, i: F.concat(F.lit(kind), (i + 1).cast("string"), F.lit(":"), x)
+    free = lambda kind: lambda x: F.concat(F.lit(kind), F.lit(":"), x)
+    found = (F.transform(labels, placed("host")), F.transform(parts, placed("path")), F.transform(labels, free("host")), F.transform(parts, free("path")))
+    return F.array_distinct(F.concat(*found))
+
+
+def token_classes(urls: DataFrame, min_support: float) -> DataFrame:
+    """(token, class) of the tokens in at least ``min_support`` of all rows of (key, tokens, n), n rows a key.
+
+    Tokens that are in the very same URLs are one class, named after the least of them: a rule gains
+    nothing from a second one, so that no rule is lost by mining classes. The URLs of a token are told
+    by the 128 bits of their keys. Rarer tokens are in no rule.
+    """
+    total = urls.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hashed = urls.select(F.explode("tokens").alias("token"), "n", "key.h0", "key.h1")
+    of_token = hashed.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("keys"), F.bit_xor("h0").alias("h0"), F.bit_xor("h1").alias("h1"))
+    frequent = checkpointed(of_token.where(F.col("n") >= min_support * total))
+    alike = ["n", "keys", "h0", "h1"]
+    return checkpointed(frequent.join(frequent.groupBy(alike).agg(F.min("token").alias("class")), alike).select("token", "class"))
+
+
+def as_classes(urls: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, tokens) with the classes of each key's tokens; keys without any are left out."""
+    met = urls.select("key", F.explode("tokens").alias("token")).join(F.broadcast(classes), "token")
+    return met.groupBy("key").agg(F.collect_set("class").alias("tokens"))
 
 
 def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
     """(antecedent, anchor, support, confidence) of the rules for block in (tokens, blocked).
 
-    A URL has six tokens at most, so at most 64 / min_support combinations are frequent, whatever the
-    number of URLs.
+    A combination is frequent if at least ``min_support`` of all URLs hold it: with m tokens in a URL
+    at most 2^m / min_support are, whatever the number of URLs.
     """
     marked = labelled.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(_BLOCKED)))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(marked)
@@ -101,14 +125,21 @@ def judge_urls(
     judged = pages.select(*(F.col(f"`{c}`") for c in names), F.col(url).alias("__url"))
     judged = judged.withColumns({"host": host_of(F.col("__url")), "path": path_of(F.col("__url"))})
     judged = judged.withColumn("__fit", fitting_rule(F.col("host"), F.col("path"), rules))
-    urls = judged.select("host", "path", (F.col("__fit.verdict") == "block").alias("blocked"), F.col("__fit").isNull().alias("open"))
-    labelled = urls.where("not open").select(url_tokens(F.col("host"), F.col("path")).alias("tokens"), "blocked")
-    mined = mine_rules(labelled, min_support, min_confidence)
-    # Each host and path is matched once, however many pages have it.
-    open_urls = urls.where("open").select("host", "path").distinct()
-    open_urls = open_urls.withColumn("tokens", url_tokens(F.col("host"), F.col("path")))
+    # 128 bits stand for a host and path, so that long ones aren't carried along with their tokens.
+    judged = judged.withColumn("__key", F.struct(*(F.xxhash64(F.lit(i), "host", "path").alias(f"h{i}") for i in (0, 1))))
+    tokens = url_tokens(F.col("host"), F.col("path"))
+    urls = judged.select(F.col("__key").alias("key"), tokens.alias("tokens"), (F.col("__fit.verdict") == "block").alias("blocked"), F.col("__fit").isNull().alias("open"))
+    labelled = urls.where("not open").select("key", "blocked")
+    # Each host and path is mined and matched once, however many pages have it.
+    counted = checkpointed(urls.where("not open").groupBy("key").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n")))
+    classes = token_classes(counted, min_support)
+    known = as_classes(counted, classes).join(counted.select("key", "n"), "key", "right")
+    none = F.array().cast("array<string>")
+    known = checkpointed(known.select("key", F.coalesce("tokens", none).alias("tokens"), "n"))
+    mined = mine_rules(join_counted(labelled, known, "key").select("tokens", "blocked"), min_support, min_confidence)
+    open_urls = as_classes(urls.where("open").select("key", "tokens").dropDuplicates(["key"]), classes)
     met = open_urls.withColumn("anchor", F.explode("tokens")).join(mined.select("anchor", "antecedent"), "anchor")
-    blocked = met.where(F.size(F.array_except("antecedent", "tokens")) == 0).select("host", "path").distinct()
-    judged = judged.join(blocked.withColumn("__mined", F.lit("block")), ["host", "path"], "left")
+    blocked = met.where(F.size(F.array_except("antecedent", "tokens")) == 0).select(F.col("key").alias("__key")).distinct()
+    judged = judged.join(blocked.withColumn("__mined", F.lit("block")), "__key", "left")
     verdict = F.coalesce("__fit.verdict", "__mined", F.lit("allow"))
     return judged.select(*names, "host", "path", F.col("__fit.rule").alias("rule"), verdict.alias("verdict"))
