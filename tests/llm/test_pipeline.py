@@ -65,3 +65,13 @@ def test_registered(spark):
     assert pipeline.ORACLE_SQL is None and "pipeline" in entry.queries()
     assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
     assert decontaminate.FIELDS
+
+
+def test_near_duplicates_of_odd_ids(spark):
+    a, b, c = ("one red fox ran over old hills", "salt and iron rust in deep water", "many quiet lamps burn along this shore")
+    data = [(5, a), (3, a), (5, b), (7, b), (None, b), (None, c), (None, c)]
+    stage = dict(pipeline.STAGES)["near duplicates"]
+    for order in (data, data[::-1], [data[2], *data]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        found = [(r.doc_id, r.text) for r in stage(spark, docs, BIG).collect()]
+        assert sorted(found, key=str) == sorted([(3, a), (5, b), (None, c)], key=str)
