@@ -54,3 +54,9 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "ReadSchema: struct<o_custkey:bigint,o_orderpriority:string>" in plan
     page = list_queries.Q07_page_half_open(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in page
+
+
+@pytest.mark.parametrize("name", ["Q17_map_left_join", "Q57_two_level_nest"])
+def test_no_group_is_collected(spark, sf_dir, name):
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan

@@ -64,13 +64,11 @@ SELECT p_type AS kind, p_brand AS class, cover::DOUBLE AS percentage_cover, CASE
 def Q17_map_left_join(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
     sizes = parts.groupBy("p_type", "p_brand").agg(F.sum("p_size").alias("n"))
-    of_type = sizes.groupBy("p_type").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("p_brand", "n"))).alias("sizes"))
-    covers = F.transform_values("sizes", lambda k, v: F.round(v * F.lit(100.0) / F.col("total"), 6))
-    colours = parts.where("p_brand <> 'Brand#11'").select("p_brand").distinct().agg(
-        F.map_from_entries(F.collect_list(F.struct("p_brand", F.md5("p_brand")))).alias("colours")
-    )
-    joined = of_type.join(colours, how="cross").select("p_type", dataflow.covers_with_colours(covers, F.col("colours")).alias("c"))
-    return joined.select(F.col("p_type").alias("kind"), F.explode("c").alias("c")).select("kind", "c.*")
+    of_type = sizes.groupBy(F.col("p_type").alias("kind")).agg(F.sum("n").alias("total"))
+    cover = F.round(F.col("n") * F.lit(100.0) / F.col("total"), 6)
+    covers = sizes.join(of_type, F.col("p_type").eqNullSafe(F.col("kind"))).select("kind", F.col("p_brand").alias("class"), cover.alias("percentage_cover"))
+    colours = parts.where("p_brand <> 'Brand#11'").select(F.col("p_brand").alias("class"), F.md5("p_brand").alias("color")).distinct()
+    return covers.join(colours, "class", "left").select("kind", "class", "percentage_cover", "color")
 
 
 @REGISTRY.add("""
@@ -242,8 +240,7 @@ FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN o ON o_cus
 def Q57_two_level_nest(spark, sf_dir):
     orders = submissions(spark, sf_dir).select("id", "owner")
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"))
-    full = nest.nest_children(customers, orders, "owner", "id", "submissions")
+    counted = nest.children_summary(customers, orders, "owner", "id", {"n_orders": F.count(F.lit(1))}, ["n_orders"])
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
-    nested = nest.nest_children(nations, full, "nation", "id", "customers")
-    n_orders = F.aggregate("customers", F.lit(0).cast("long"), lambda a, c: a + F.size(c["submissions"]))
-    return nested.select("id", "name", F.size("customers").cast("long").alias("n_customers"), n_orders.alias("n_orders"))
+    found = {"n_customers": F.count(F.lit(1)), "n_orders": F.sum("n_orders")}
+    return nest.children_summary(nations, counted, "nation", "id", found, list(found))
