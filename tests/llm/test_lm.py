@@ -1,6 +1,9 @@
 from collections import Counter
 from math import isclose, log10
 
+import numpy as np
+import pytest
+
 from tests.llm.helpers import SPACE, fold, low
 from tidewell.llm import lm, queries
 
@@ -9,29 +12,20 @@ def tokens(text):
     return [*SPACE.findall(low(text)), "\n"]
 
 
-def plain(rows, state_share=1e-5, arc_share=1e-6, d=0.5):
-    """{(doc_id, text): (n_tokens, n_known, N, base, score)}"""
+def plain(rows, prior=1000.0):
+    """{(doc_id, text): (n_tokens, n_known, N, base, score)}, by all words and bigrams of the training texts."""
     train = [tokens(t) for i, t in rows if i is not None and fold(i, 5) != 1]
     c = Counter(w for t in train for w in t)
+    pairs = Counter((a, b) for t in train for a, b in zip(["\n", *t], t))  # noqa: B905
     n, v = sum(c.values()), len(c)
     z = n + 0.5 * (v + 1)
-    states = {w for w, k in c.items() if k >= state_share * n or w == "\n"} or {"\n"}
-    pairs = Counter((a, b) for t in train for a, b in zip(["\n", *t], t) if a in states and b in states)  # noqa: B905
-    pairs = {k: m for k, m in pairs.items() if m >= max(arc_share * n, 2)}
     p1 = lambda w: (c[w] + 0.5) / z
-    left, low1 = Counter(), Counter()
-    for (a, b), m in pairs.items():
-        left[a] += (m - d) / c[a]
-        low1[a] += p1(b)
     out = {}
     for i, text in rows:
         t, state, base, score = tokens(text), "\n", 0.0, 0.0
         for w in t:
             base += log10(p1(w))
-            if (state, w) in pairs:
-                score += log10((pairs[state, w] - d) / c[state])
-            else:
-                score += log10(p1(w)) + (log10((1 - left[state]) / (1 - low1[state])) if state in left else 0.0)
+            score += log10((pairs[state, w] + prior * p1(w)) / (c[state] + prior))
             state = w
         out[i, text] = (len(t), sum(c[w] > 0 for w in t), n, base, score)
     return out
@@ -58,44 +52,54 @@ def test_query_and_held_out_gain(spark, sf_dir):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_words_that_are_no_states(spark):
-    rows = [(i, " ".join(f"w{j * j % (5 + i % 7)} Rare{i} x" for j in range(40))) for i in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    check(lm.score_texts(docs, state_share=0.02, arc_share=0.003).collect(), rows, plain(rows, 0.02, 0.003))
-
-
 def test_probabilities_sum_to_one():
-    states = [(b"a", 50), (b"b", 30), (lm.END, 20)]
-    z = 120 + 0.5 * 8
-    a = lm.Automaton(states, {1 << 32 | 2: 20, 1 << 32 | 3: 10, 3 << 32 | 1: 15}, z)
-    rest = 1 - sum(10**x for x in a.word[1:])
-    for state in (1, 2, 3):
-        p = [10 ** a.arcs.get(state << 32 | w, a.fail[state] + a.word[w]) for w in (1, 2, 3)]
-        assert isclose(sum(p) + 10 ** a.fail[state] * rest, 1, rel_tol=1e-12)
+    train = ["a b a c", "b a", "a b b", ""]
+    texts = [f"{v} {w}" for v in "abc" for w in ["a", "b", "c", ""]]
+    grams = lm.Grams([lm._Keys().of(x.encode()) for x in [*train, *texts, "zz", "a zz", "zz zz"]])
+    counts = grams.counts(np.arange(len(grams.starts)) < len(train))
+    n, v = sum(len(tokens(t)) for t in train), 4
+    a = lm.Automaton(grams, counts, n + 0.5 * (v + 1), 2.0)
+    arc = np.where(a.of_pair > 0, (a.of_pair + a.prior * a.word) / (a.of_state + a.prior), a.prior / (a.of_state + a.prior) * a.word)
+    at = dict(zip([*train, *texts, "zz", "a zz", "zz zz"], grams.starts, strict=True))
+    for state in "abc":
+        # After the state: each word, the end (behind "state " alone) and an unknown word.
+        p = [arc[at[f"{state} {w}"] + 1] for w in ["a", "b", "c", ""]]
+        p.append(a.prior / (a.of_state[at[f"{state} a"] + 1] + a.prior) * a.word[at["zz"]])
+        assert isclose(sum(p), 1, rel_tol=1e-12)
 
 
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, "a b a b"), (3, "a b a b"), (None, "a zz"), (4, "Ab\x0bC" + " long" * 30000), (11, "a b")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as score", "2 as n", "3 as key", "4 as token")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as score", "2 as n", "3 as key", "4 as block", "5 as id")
     found = lm.score_texts(docs).collect()
     check(found, rows, plain(rows))
     assert [r.held_out for r in found if r.doc_id is None] == [True]
     assert lm.score_texts(docs.limit(0)).count() == 0
-    lone = [(None, "a b")]
-    check(lm.score_texts(spark.createDataFrame(lone, "doc_id long, text string")).collect(), lone, plain(lone))
+    for lone in ([(None, "a b")], [(None, None)]):
+        check(lm.score_texts(spark.createDataFrame(lone, "doc_id long, text string")).collect(), lone, plain(lone))
+    named = spark.createDataFrame([("x", "a b"), ("y", "a b")], "name string, text string")
+    assert {r.name for r in lm.score_texts(named, "name").collect()} == {"x", "y"}
 
 
 def test_rare_words_and_bigrams_of_a_large_corpus(spark):
     rows = [(i, " ".join(f"w{j * j % (50 + i)} common" for j in range(5_000)) + " Deep Reef" + " odd pair odd pair") for i in (1, 2, 3, 4, 5)]
-    rows += [(i, text + " common w1" * 150_000) for i, text in rows] + [(20, "deep reef"), (21, "a deep reef")]
+    rows += [(i, text + " common w1" * 150_000) for i, text in rows] + [(20, "deep reef once here"), (21, "a deep reef"), (23, "once here")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     train = [t for i, t in rows if fold(i, 5) != 1]
-    assert 2 <= sum(low(t).count("deep reef") for t in train) < 1e-5 * sum(len(tokens(t)) for t in train)
-    check(lm.score_texts(docs).collect(), rows, plain(rows, 0, 0))
+    assert 1 <= sum(low(t).count("deep reef") for t in train) < 1e-5 * sum(len(tokens(t)) for t in train)
+    found = lm.score_texts(docs).collect()
+    check(found, rows, plain(rows))
 
 
-def test_what_is_broadcast_changes_no_score(spark):
+@pytest.mark.parametrize("block_tokens", [1, 50, 700, 10**9])
+def test_blocks_change_no_score(spark, block_tokens):
     rows = [(i, " ".join(f"w{j * j % (5 + i % 7)} Rare{i % 9} x" for j in range(40))) for i in range(40)] + [(50, "zz x rare1 x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for hot_words, hot_arcs in ((0.02, 0.003), (1.0, 1.0), (1e-5, 1.0)):
-        check(lm.score_texts(docs, hot_words=hot_words, hot_arcs=hot_arcs).collect(), rows, plain(rows, 0, 0))
+    check(lm.score_texts(docs, prior=3.0, block_tokens=block_tokens).collect(), rows, plain(rows, 3.0))
+
+
+def test_packing():
+    rng = np.random.default_rng(5)
+    for x in (rng.integers(0, 2**63, 1000).astype(np.uint64), np.arange(7, dtype=np.uint64), np.array([2**64 - 1], np.uint64)):
+        assert (lm.unpacked(lm.packed(x)) == x).all()
+        assert (np.cumsum(lm.unpacked(lm.packed(np.diff(np.sort(x), prepend=np.uint64(0)))), dtype=np.uint64) == np.sort(x)).all()

@@ -1,136 +1,172 @@
 """Language-model scoring with a weighted backoff automaton.
 
-The model is a bigram model over whole-corpus counts, smoothed by absolute discounting and backed off
-to the unigram model (c + 0.5) / (N + 0.5 (V + 1)), which is also the base score. As an automaton:
-state 0 is the empty history, every other state a word; an arc carries a seen bigram's log-probability;
-a state's failure arc carries its backoff weight to state 0, whose arcs are the words. A text is one
-traversal from left to right, beginning in the state of the end token.
-
-Scale: words and bigrams of the whole corpus are counted in one pass. All words are states and all
-bigrams seen ``min_arc`` times, a fixed number, are arcs, so the model grows with the corpus; its
-weights are distributed tables. A text meets them in a shuffle join, with each of its words and
-bigrams once. Words of at least ``hot_words`` of all tokens and bigrams of such words of at least
-``hot_arcs`` are broadcast and met on the spot: shares sum to one, so there are never more than
-1 / share of either, and no key of the join is hot. What is broadcast never changes a score.
+The model is a bigram model over whole-corpus counts, smoothed by a Dirichlet prior: a word w after v
+has (c(v w) + prior * p(w)) / (c(v) + prior), where p is the unigram model (c + 0.5) / (N + 0.5 (V + 1)),
+which is also the base score. As an automaton: every learned word is a state, beside that of the empty
+history; an arc of state v is a learned bigram, with that log-probability; v's failure arc leads to the
+empty history at log(prior / (c(v) + prior)), whose arcs are the words. A text is one traversal from left
+to right, beginning in the state of the end token. All words and all bigrams of the training texts
+count, at any size of the corpus: nothing is cut by a share or a least count.
+
+Scale: documents are read in blocks of about ``block_tokens`` tokens. A block asks once for each of its
+distinct words and bigrams (64-bit keys), and says how often its own training texts have it: keys are
+dealt to buckets by ranges, a bucket adds up what all blocks say, and answers each block that asked.
+The block then has the part of the automaton that its texts can meet, and traverses them. So the
+counts are never whole anywhere, a frequent key comes once a block, and both exchanges carry sorted,
+packed keys and counts. The number of buckets follows the number of tokens.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from math import log10
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, join_counted, space_words, written
+from .common import is_held_out, space_words
 
 #: The end of a text, which is no word: words hold no white space.
-END = b"\n"
+END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 
+_EXCHANGED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("texts", pa.binary())])
+_EXCHANGED_DDL = "bucket int, block long, keys binary, counts binary, texts binary"
 
-def count_ngrams(texts: DataFrame, flush: int = 600_000) -> DataFrame:
-    """(token, n): how often each token, ends included, and each bigram occurs in column text.
 
-    A bigram's token is its words with a space between, which no word holds; a text begins in the end.
-    """
+class _Keys(dict):
+    """The 64-bit key of each word; at most ``bound`` are remembered."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = space_words(text)
-                words.append(END)
-                counts.update(words)
-                counts.update(map(b" ".join, zip([END, *words], words)))  # noqa: B905
-                if len(counts) > flush:
-                    # What is seen again and again stays, so that a task emits it once.
-                    rare = [k for k, v in counts.items() if v < 3]
-                    rare = rare if len(rare) > flush // 2 else list(counts)
-                    yield _counted(rare, [counts.pop(k) for k in rare])
-        yield _counted(list(counts), list(counts.values()))
+    def __init__(self, bound: int = 300_000):
+        super().__init__()
+        self.bound = bound
 
-    found = texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "token binary, n long")
-    return found.groupBy("token").agg(F.sum("n").alias("n"))
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.bound:
+            self.clear()
+        key = self[word] = xxhash.xxh64_intdigest(word)
+        return key
 
+    def of(self, text: bytes) -> np.ndarray:
+        """The keys of a text's tokens: its words, then the end."""
+        words = space_words(text)
+        out = np.empty(len(words) + 1, np.uint64)
+        out[:-1] = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        out[-1] = END
+        return out
 
-def _counted(tokens: list[bytes], counts: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(counts, pa.int64())], ["token", "n"])
 
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """64-bit keys of bigrams of words with such keys."""
+    x = first * np.uint64(0x9E3779B97F4A7C15) + second
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
-def weigh(words: DataFrame, arcs: DataFrame, z: float, hot_words: float, discount: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """Words as (token, n, fail), arcs as (token, first, second, n, delta).
 
-    ``words`` has (token, n), ``arcs`` (token, first, second, n). fail is a word's backoff weight; delta
-    is what an arc's weight has over the backoff weight and the unigram weight that it stands for.
-    """
-    low = (F.col("n_second") + 0.5) / F.lit(z)
-    of_word = words.select(F.col("token").alias("second"), F.col("n").alias("n_second"), F.col("n").alias("weight"))
-    ended = written(join_counted(arcs, of_word, "second", "weight", hot_words))
-    sums = ended.groupBy(F.col("first").alias("token")).agg((F.sum("n") - discount * F.count("*")).alias("seen"), F.sum(low).alias("low"))
-    # What the seen bigrams leave is shared among all other words as the unigram model has them.
-    left = F.log10(F.greatest(1 - F.col("seen") / F.col("n"), F.lit(1e-12)) / F.greatest(1 - F.col("low"), F.lit(1e-12)))
-    words = written(words.join(sums, "token", "left").select("token", "n", F.coalesce(left, F.lit(0.0)).alias("fail")))
-    of_word = words.select(F.col("token").alias("first"), F.col("n").alias("n_first"), "fail", F.col("n").alias("weight"))
-    begun = join_counted(ended, of_word, "first", "weight", hot_words)
-    delta = F.log10((F.col("n") - discount) / F.col("n_first")) - F.col("fail") - F.log10(low)
-    return words, written(begun.select("token", "first", "second", "n", delta.alias("delta")))
+class Grams:
+    """A block's tokens and bigrams: ``keys`` are its distinct ones in order, ``at`` the place of each
+    token's and then of each bigram's key in them; ``starts`` are the texts' first tokens."""
 
+    def __init__(self, texts: list[np.ndarray]):
+        self.lengths = np.array([len(x) for x in texts], np.int64)
+        self.starts = np.r_[0, np.cumsum(self.lengths)[:-1]].astype(np.int64)
+        tokens = np.concatenate(texts)
+        before = np.roll(tokens, 1)
+        before[self.starts] = END
+        self.keys, self.at = np.unique(np.concatenate([tokens, pair_keys(before, tokens)]), return_inverse=True)
 
-class Automaton:
-    """States and arcs with log10 weights; ``words`` has each state's number, unigram weight included.
+    def counts(self, learned: np.ndarray) -> np.ndarray:
+        """How often the texts marked as learned have each key."""
+        mask = np.repeat(learned, self.lengths)
+        return np.bincount(self.at, np.r_[mask, mask], len(self.keys)).astype(np.uint64)
 
-    ``fails`` are the states' backoff weights where ``pairs`` are not all arcs of the model.
-    """
 
-    def __init__(
-        self, states: list[tuple[bytes, int]], pairs: dict[int, int], z: float, discount: float = 0.5, fails: list[float] | None = None
-    ):
-        self.index = {w: i for i, (w, _) in enumerate(states, 1)}
-        counts = [0.0, *(float(c) for _, c in states)]
-        self.learned = int(any(n for _, n in states))
-        self.word = [0.0, *(log10((c + 0.5) / z) for c in counts[1:])]
-        self.unknown = log10(0.5 / z)
-        self.arcs = {}
-        seen, low = [0.0] * len(counts), [0.0] * len(counts)
-        for pair, n in sorted(pairs.items()):
-            v, w = pair >> 32, pair & 0xFFFFFFFF
-            p = (n - discount) / counts[v]
-            seen[v] += p
-            low[v] += (counts[w] + 0.5) / z
-            self.arcs[pair] = log10(p)
-        # What the seen bigrams leave is shared among all other words as the unigram model has them.
-        self.fail = [log10(max(1 - s, 1e-12) / max(1 - b, 1e-12)) for s, b in zip(seen, low, strict=True)]
-        if fails is not None:
-            self.fail = [0.0, *fails]
-
-    def score(self, words: list[bytes]) -> tuple[float, float, int, Counter]:
-        """(log10 probability, log10 base probability, number of learned states met, what is not here).
-
-        The last counts the words that are no states, taken as unknown without a backoff weight, and
-        the bigrams that are no arcs here, taken by backoff: what their weights have over that is to
-        be added.
+class Automaton:
+    """The part of the model that one block's texts can meet; ``counts`` are those of ``grams.keys``."""
+
+    def __init__(self, grams: Grams, counts: np.ndarray, z: float, prior: float):
+        self.grams, self.prior = grams, prior
+        n = len(grams.at) // 2
+        found = counts.astype(np.float64)[grams.at]
+        self.of_token, self.of_pair = found[:n], found[n:]
+        self.of_state = np.roll(self.of_token, 1)
+        self.of_state[grams.starts] = self.of_token[np.cumsum(grams.lengths) - 1]
+        self.word = (self.of_token + 0.5) / z
+
+    def scores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log10 probability, log10 base probability, number of learned tokens) of each text.
+
+        The state a token is met in is the token before it, so that all steps are taken at once: by an
+        arc if there is one, or else by the failure arc and the word's own.
         """
-        arcs, fail, word = self.arcs, self.fail, [self.unknown, *self.word[1:]]
-        ids = [self.index.get(w, 0) for w in words]
-        others = Counter([w for w, i in zip(words, ids, strict=True) if not i])
-        end = self.index[END]
-        learned = len(words) - sum(others.values()) + self.learned
-        total = base = 0.0
-        state, missed = end, []
-        for before, w, i in zip([END, *words], [*words, END], [*ids, end], strict=True):
-            arc = arcs.get(state << 32 | i) if state and i else None
-            if arc is None:
-                total += fail[state] + word[i]
-                missed.append(before + b" " + w)
-            else:
-                total += arc
-            base += word[i]
-            state = i
-        others.update(missed)
-        return total, base, learned, others
+        word = np.log10(self.word)
+        arc = np.log10((self.of_pair + self.prior * self.word) / (self.of_state + self.prior))
+        fail = np.log10(self.prior / (self.of_state + self.prior))
+        step = np.where(self.of_pair > 0, arc, fail + word)
+        add = lambda x: np.add.reduceat(x, self.grams.starts)
+        return add(step), add(word), add((self.of_token > 0).astype(np.int64))
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of their bytes."""
+    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(x: bytes, kind: type = np.uint64) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _as_bytes(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[tuple[int, pa.Table, list[np.ndarray]]]:
+    """(number, rows of id, held_out and text, keys of their tokens) of each block of a task."""
+    known, number = _Keys(), TaskContext.get().partitionId() << 32
+    rows, keys, n = [], [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            new = [known.of(x) for x in part.column(2).to_pylist()]
+            rows.append(part)
+            keys += new
+            n += sum(map(len, new))
+            if n >= block_tokens:
+                yield number, pa.Table.from_batches(rows), keys
+                rows, keys, n = [], [], 0
+                number += 1
+    if rows:
+        yield number, pa.Table.from_batches(rows), keys
+
+
+def _learned(rows: pa.Table) -> np.ndarray:
+    return ~rows.column(1).to_numpy()
+
+
+def totals(rows: DataFrame, block_tokens: int) -> tuple[int, int, int]:
+    """(training tokens, distinct ones, tokens of all rows)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, block, keys in _blocks(batches, block_tokens):
+            of = _learned(block)
+            learned = [x for x, y in zip(keys, of, strict=True) if y]
+            distinct, n = np.unique(np.concatenate(learned), return_counts=True) if learned else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            n = np.r_[n, sum(len(x) for x, y in zip(keys, of, strict=True) if not y)]
+            yield pa.RecordBatch.from_arrays([pa.array([*distinct.view(np.int64), None], pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
+
+    found = rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    known = F.when(F.col("key").isNotNull(), F.col("n"))
+    n, v, everything = found.agg(F.sum(known), F.count("key"), F.sum("n")).first()
+    return n or 0, v, everything or 0
 
 
 def score_texts(
@@ -139,101 +175,76 @@ def score_texts(
     text: str = "text",
     folds: int = 5,
     held_out_fold: int = 1,
-    state_share: float = 0.0,
-    arc_share: float = 0.0,
-    min_arc: int = 2,
-    hot_words: float = 1e-5,
-    hot_arcs: float = 1e-6,
+    prior: float = 1000.0,
+    block_tokens: int = 2_000_000,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document row.
 
     Learned from the documents whose crc32 of the id as text, modulo ``folds``, isn't
-    ``held_out_fold``. ``state_share`` and ``arc_share`` limit the model to words and bigrams of such
-    shares of all tokens; by default neither does. n_tokens counts words and the end, n_known those that were learned; scores are
-    log10 probabilities. Edge cases: a null text is the empty one, an end alone; a row whose id is null
+    ``held_out_fold``. n_tokens counts words and the end, n_known those that were learned; scores are
+    log10 probabilities. ``block_tokens`` bounds memory and changes no score; a block holds at least one
+    text. Documents are best read from files: if a lost task is run again on rows in another order, its
+    blocks no longer fit the answers, which raises an error and never gives a wrong score.
+    Edge cases: a null text is the empty one, an end alone; a row whose id is null
     has no fold, isn't learned from and counts as held out; repeated rows are learned from and scored
     each; with nothing to learn from, all words are unknown; an empty table gives none; other columns
     are not read.
     """
-    spark = documents.sparkSession
-    rows = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("held_out", is_held_out("id", folds, held_out_fold))
-    counts = count_ngrams(rows.where("not held_out"))
-    as_text, at_space = F.col("token").cast("string"), F.lit(" ")
-    is_arc = F.contains(as_text, at_space)
-    counts = written(counts.where(~is_arc | (F.col("n") >= min_arc)))
-    words = counts.where(~is_arc)
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    texts = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")
+    rows = documents.select(F.col(id_col).alias("id"), is_held_out(id_col, folds, held_out_fold).alias("held_out"), texts)
+    n, v, everything = totals(rows, block_tokens)
     z = n + 0.5 * (v + 1)
-    part = lambda i: F.substring_index(as_text, " ", i).cast("binary")
-    arcs = counts.where(is_arc & (F.col("n") >= arc_share * n)).select("token", part(1).alias("first"), part(-1).alias("second"), "n")
-    if state_share:
-        states = words.where((F.col("n") >= state_share * n) | (F.col("token") == END)).select("token")
-        for c in ("first", "second"):
-            arcs = arcs.join(states.withColumnRenamed("token", c), c, "left_semi")
-    words, arcs = weigh(words, arcs.select("token", "first", "second", "n"), z, hot_words)
-
-    known = words.where((F.col("n") >= hot_words * n) | (F.col("token") == END))
-    hot = sorted(((bytes(r.token), r.n, r.fail) for r in known.toLocalIterator()), key=lambda x: (-x[1], x[0]))
-    if not hot:
-        hot = [(END, 0, 0.0)]
-    index = {w: i for i, (w, _, _) in enumerate(hot, 1)}
-    pairs = {}
-    for r in arcs.where(F.col("n") >= hot_arcs * n).select("first", "second", "n").toLocalIterator():
-        first, second = index.get(bytes(r.first)), index.get(bytes(r.second))
-        if first and second:
-            pairs[first << 32 | second] = r.n
-    shared = spark.sparkContext.broadcast(Automaton([x[:2] for x in hot], pairs, z, fails=[x[2] for x in hot]))
-
-    unigram = F.log10((F.col("n") + 0.5) / F.lit(0.5))
-    weights = words.select("token", F.lit(1).alias("known"), unigram.alias("base"), (unigram + F.col("fail")).alias("total"))
-    weights = weights.unionByName(arcs.select("token", F.lit(0).alias("known"), F.lit(0.0).alias("base"), F.col("delta").alias("total")))
-    return _scored(rows, weights, shared, n, id_col)
-
-
-def _scored(rows: DataFrame, weights: DataFrame, shared, n: int, id_col: str) -> DataFrame:
-    """Traverses every text once; words and bigrams that aren't broadcast meet their weights in a join.
-
-    A text makes one row of its own and one for each such word or bigram, all with its key; the first's
-    token begins with a space, so that it meets no weight.
-    """
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, task, row = shared.value, TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                keys, tokens, times, own, totals = [], [], [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    words = space_words(text)
-                    total, base, known, others = model.score(words)
-                    key = task << 33 | row
-                    row += 1
-                    keys += [key] * (1 + len(others))
-                    tokens += [b" %d" % key, *others]
-                    times += [0, *others.values()]
-                    own += [i, *[None] * len(others)]
-                    totals.append((len(words) + 1, known, base, total))
-                at_own = pa.array(own, pa.int32())
-                pick = lambda x, t: pa.array(x, t).take(at_own)
-                columns = [pa.array(keys, pa.int64()), pa.array(tokens, pa.binary()), pa.array(times, pa.int32())]
-                columns += [part.column(0).take(at_own), part.column(2).take(at_own)]
-                columns += [pick([x[j] for x in totals], pa.int64() if j < 2 else pa.float64()) for j in range(4)]
-                names = ["key", "token", "times", "id", "held_out", "n_tokens", "known", "base", "total"]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    texts = rows.select("id", F.col("text").cast("binary").alias("text"), "held_out")
-    schema = f"key long, token binary, times int, id {kind}, held_out boolean, n_tokens long, known long, base double, total double"
-    more = weights.withColumnsRenamed({"known": "is_word", "base": "more_base", "total": "more_total"})
-    met = texts.mapInArrow(traverse, schema).join(more, "token", "left")
-    added = lambda c: F.coalesce(F.sum(F.col(c) * F.col("times")), F.lit(0))
-    sums = met.groupBy("key").agg(
-        F.max("id").alias(id_col),
-        (F.max(F.col("held_out").cast("int")) == 1).alias("held_out"),
-        F.max("n_tokens").alias("n_tokens"),
-        (F.max("known") + added("is_word")).alias("n_known"),
-        (F.max("base") + added("more_base")).alias("base_score"),
-        (F.max("total") + added("more_total")).alias("score"),
+    buckets = max(-(-everything // block_tokens), documents.sparkSession.sparkContext.defaultParallelism)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, part, keys in _blocks(batches, block_tokens):
+            grams = Grams(keys)
+            counts = grams.counts(_learned(part))
+            of = ((grams.keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            edges = np.r_[0, np.flatnonzero(np.diff(of)) + 1, len(of)]
+            # Keys are in order: their differences pack better than they do.
+            spans = [(int(of[i]), packed(np.diff(grams.keys[i:j], prepend=np.uint64(0))), packed(counts[i:j])) for i, j in zip(edges, edges[1:], strict=False)]
+            whole = _as_bytes(part.combine_chunks().to_batches()[0])
+            lists = [[s[0] for s in spans], [block] * len(spans), [s[1] for s in spans], [s[2] for s in spans], [None] * len(spans)]
+            more = [block % buckets, block, None, None, whole]
+            yield pa.RecordBatch.from_arrays([pa.array([*x, y], f.type) for x, y, f in zip(lists, more, _EXCHANGED, strict=True)], schema=_EXCHANGED)
+
+    def answer(table: pa.Table) -> pa.Table:
+        asked = table.filter(pa.compute.is_valid(table["keys"]))
+        out = [table.filter(pa.compute.is_valid(table["texts"]))]
+        if len(asked):
+            keys = [np.cumsum(unpacked(x.as_py()), dtype=np.uint64) for x in asked["keys"]]
+            counts = np.concatenate([unpacked(x.as_py()) for x in asked["counts"]])
+            at = np.unique(np.concatenate(keys), return_inverse=True)[1]
+            sums = np.bincount(at, counts).astype(np.uint64)[at]
+            ends = np.cumsum([len(x) for x in keys])
+            # Instead of the keys, the block gets a sum of them to hold against its own.
+            sent = [packed(sums[j - len(x) : j]) for x, j in zip(keys, ends, strict=True)]
+            marks = [int(x.sum(dtype=np.uint64)).to_bytes(8, "little") for x in keys]
+            out.append(pa.table([asked["bucket"], asked["block"], pa.array(marks, pa.binary()), pa.array(sent, pa.binary()), asked["texts"]], schema=_EXCHANGED))
+        return pa.concat_tables(out)
+
+    kind = documents.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
+
+    def traverse(table: pa.Table) -> pa.Table:
+        answers = table.filter(pa.compute.is_valid(table["counts"])).sort_by("bucket")
+        (whole,) = table["texts"].drop_null().to_pylist()
+        part = pa.ipc.open_stream(whole).read_all()
+        known = _Keys()
+        grams = Grams([known.of(x.as_py()) for x in part.column(2)])
+        counts = np.concatenate([unpacked(x.as_py()) for x in answers["counts"]])
+        marks = sum(int.from_bytes(x.as_py(), "little") for x in answers["keys"]) & 0xFFFFFFFFFFFFFFFF
+        if len(counts) != len(grams.keys) or marks != int(grams.keys.sum(dtype=np.uint64)):
+            raise RuntimeError("the documents' rows were read in different orders; write them to a table first")
+        score, base, learned = Automaton(grams, counts, z, prior).scores()
+        columns = [part.column(0), part.column(1), pa.array(grams.lengths), pa.array(learned), pa.array(base), pa.array(score)]
+        return pa.table(columns, names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    asked = rows.mapInArrow(ask, _EXCHANGED_DDL)
+    answered = asked.groupBy("bucket").applyInArrow(answer, _EXCHANGED_DDL)
+    scored = answered.groupBy("block").applyInArrow(
+        traverse, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    )
+    return scored.select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
     )
-    return sums.select(id_col, "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
