@@ -1,6 +1,8 @@
+import re
+
 import numpy as np
 
-from tests.llm.helpers import fold
+from tests.llm.helpers import ALNUM, fold, low
 from tidewell.llm import quality, queries, toxicity
 
 BIG = "/root/testdata/sf0.01"
@@ -23,6 +25,38 @@ def test_toxicity_on_held_out_documents(spark):
     assert all(r.predicted == (r.score >= 0.5) for r in found)
 
 
+def test_toxic_documents_are_found(spark):
+    """On sf0.1: of 97 held-out toxic documents 6 hold no word or beginning that any other toxic one shares."""
+    large = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{large}/labels.parquet").collect()}
+    pairs = [(r.predicted, labels[r.doc_id]) for r in queries.op9_toxicity(spark, large).collect() if r.held_out and r.doc_id in labels]
+    caught, toxic, said = sum(p and y for p, y in pairs), sum(y for _, y in pairs), sum(p for p, _ in pairs)
+    assert toxic == 97 and caught >= 87 and caught >= 0.98 * said
+
+
+def test_toxicity_scores_by_a_plain_reading(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = queries.toxicity_model(docs, labels)
+    assert model.weights
+    for r in toxicity.score_toxicity(docs, model, keep=["doc_id", "text"]).collect():
+        miss = 1 - model.rest
+        for sentence in re.findall(r"[^.!?\n]+[.!?\n]*", r.text or ""):
+            found = set()
+            for w in ALNUM.findall(low(sentence)):
+                w = w.encode()
+                found |= {f for f in (w, w[:4] + b"-" if len(w) > 4 else w, w[:7] + b"-" if len(w) > 7 else w) if f in model.weights}
+            if found:
+                miss *= 1 - 1 / (1 + np.exp(-(model.offset + sum(model.weights[f] for f in found))))
+        assert abs(r.score - (1 - miss)) < 1e-9
+
+
+def test_toxicity_of_unmarked_texts_follows_the_labels(spark):
+    rows = [(i, f"Day {i * i} was number {i * 7}.", int(i % 5 > 0)) for i in range(200)]
+    model = toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    odd = spark.createDataFrame([(1, "Qxy zz."), (2, None)], "doc_id long, text string")
+    assert [r.predicted for r in toxicity.score_toxicity(odd, model).collect()] == [1, 1] and 0.7 < model.rest < 0.9
+
+
 def test_quality_on_held_out_documents(spark):
     found = queries.op10_quality(spark, BIG).collect()
     auc, accuracy = held_out(spark, found, "quality", 4, 2)

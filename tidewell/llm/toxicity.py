@@ -1,11 +1,11 @@
 """Toxicity by multiple-instance learning.
 
 Only documents are labelled; what offends are sentences. A sentence's score is logistic in the marked
-words it holds, a document's is the noisy-or of its sentences: one minus the product of their
-complements. Marked words (and word beginnings) are those of which most distinct sentences stem from
-toxic documents, by a lower confidence bound: copies of a document add no sentence. Their weights are
-fitted by gradient ascent on the noisy-or likelihood of the document labels, and then locate the
-offending sentences.
+features it holds, a document's is the noisy-or of its sentences: one minus the product of their
+complements. Features are words and word beginnings. Those are marked that distinct sentences of toxic
+documents hold more often than others do, by a lower confidence bound: copies of a document add no
+sentence. Their weights are fitted together by gradient ascent on the noisy-or likelihood of the document
+labels, under a ridge penalty, and then locate the offending sentences.
 """
 
 from __future__ import annotations
@@ -27,19 +27,19 @@ from .common import alnum_words, annotate, class_sample
 _SENTENCE = re.compile(rb"[^.!?\n]+[.!?\n]*")
 
 
-def features_of(word: bytes, stem: int) -> list[bytes]:
-    """A word, and the beginning of a longer one."""
-    return [word, word[:stem] + b"-"] if len(word) > stem else [word]
+def features_of(word: bytes, stems: tuple[int, ...]) -> list[bytes]:
+    """A word, and its beginnings of so many bytes."""
+    return [word, *(word[:n] + b"-" for n in stems if len(word) > n)]
 
 
 class ToxicityModel(NamedTuple):
     """Weights of the marked features, the offset of a sentence that has any, and a document's score
-    if no sentence has."""
+    if no sentence has: the share of toxic ones among such documents, whatever it is."""
 
     weights: dict[bytes, float]
     offset: float
     rest: float
-    stem: int = 4
+    stems: tuple[int, ...] = (4, 7)
 
 
 def noisy_or_fit(bags: list[list[list[int]]], y: np.ndarray, n_features: int, start: np.ndarray, ridge: float = 0.02, steps: int = 300):
@@ -49,7 +49,6 @@ def noisy_or_fit(bags: list[list[list[int]]], y: np.ndarray, n_features: int, st
     of = np.array([i for i, s in enumerate(s for bag in bags for s in bag) for _ in s], np.int64)
     bare = np.array([not bag for bag in bags], bool)
     rest = float((y[bare].sum() + 0.1) / (bare.sum() + 1)) if len(y) else 0.0
-    rest = min(rest, 0.49)
     w, b = start.astype(float).copy(), -1.0
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     has = np.flatnonzero(~bare)
@@ -73,16 +72,17 @@ def fit_toxicity(
     text: str = "text",
     label: str = "toxic",
     sample_rows: int = 20_000,
-    least: int = 8,
-    lift: float = 6.0,
-    most: int = 20_000,
-    stem: int = 4,
+    least: int = 5,
+    lift: float = 4.0,
+    errors: float = 2.0,
+    stems: tuple[int, ...] = (4, 7),
+    ridge: float = 0.1,
 ) -> ToxicityModel:
     """Fits the model on texts labelled 1 or 0; other labels and null texts are left out.
 
     At most about ``sample_rows`` texts are used. A feature is marked if at least ``least`` distinct
-    sentences hold it and, with three standard errors to spare, the odds that they stem from toxic
-    documents are over ``lift`` times a document's; the ``most`` surest are kept.
+    sentences hold it and, with ``errors`` standard errors to spare, the odds that they stem from toxic
+    documents are over ``lift`` times a document's. All such features are fitted; the sample bounds them.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(
         F.col(text).alias("text"), F.col(label).cast("int").alias("label")
@@ -100,7 +100,7 @@ def fit_toxicity(
                     words = alnum_words(s)
                     if words:
                         keys.append(xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63))
-                        found.append(sorted({f for w in words for f in features_of(w, stem)}))
+                        found.append(sorted({f for w in words for f in features_of(w, stems)}))
                 arrays = [pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.binary())), pa.array([label] * len(keys), pa.int32())]
                 yield pa.RecordBatch.from_arrays(arrays, ["key", "features", "label"])
 
@@ -108,11 +108,11 @@ def fit_toxicity(
     said = sample.mapInArrow(sentences, "key long, features array<binary>, label int")
     pairs = said.select("key", "label", F.explode("features").alias("feature")).groupBy("key", "feature").agg(F.max("label").alias("label"))
     counts = pairs.groupBy("feature").agg(F.count("*").cast("double").alias("n"), F.sum("label").cast("double").alias("t"))
-    share, z = F.col("t") / F.col("n"), 3.0
+    share, z = F.col("t") / F.col("n"), float(errors)
     spread = F.sqrt(share * (1 - share) / F.col("n") + F.lit(z * z / 4) / (F.col("n") * F.col("n")))
     low = (share + F.lit(z * z / 2) / F.col("n") - F.lit(z) * spread) / (1 + F.lit(z * z) / F.col("n"))
     marked = counts.where(F.col("n") >= least).withColumn("low", low).where(F.col("low") > odds / (1 + odds))
-    chosen = marked.orderBy(F.desc("low"), "feature").limit(most).collect()
+    chosen = marked.orderBy(F.desc("low"), "feature").collect()
     index = {bytes(r.feature): i for i, r in enumerate(chosen)}
     start = np.array([np.log(r.low / (1 - r.low)) for r in chosen])
 
@@ -123,7 +123,7 @@ def fit_toxicity(
         for batch in batches:
             found = []
             for text in batch.column(0).to_pylist():
-                lists = [sorted({known[f] for w in alnum_words(s) for f in features_of(w, stem) if f in known}) for s in _SENTENCE.findall(text)]
+                lists = [sorted({known[f] for w in alnum_words(s) for f in features_of(w, stems) if f in known}) for s in _SENTENCE.findall(text)]
                 found.append([x for x in lists if x])
             keys = pa.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in batch.column(0).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([keys, pa.array(found, pa.list_(pa.list_(pa.int32()))), batch.column(1)], ["key", "bag", "label"])
@@ -131,8 +131,8 @@ def fit_toxicity(
     # A text that repeats counts once. What comes to the driver is bounded by the sample.
     fitted = sample.mapInArrow(bags, "key long, bag array<array<int>>, label int")
     points = fitted.groupBy("key").agg(F.max("label").alias("label"), F.max("bag").alias("bag")).orderBy("key").collect()
-    w, b, rest = noisy_or_fit([r.bag for r in points], np.array([r.label for r in points], float), len(index), start)
-    return ToxicityModel({f: float(w[i]) for f, i in index.items()}, float(b), rest, stem)
+    w, b, rest = noisy_or_fit([r.bag for r in points], np.array([r.label for r in points], float), len(index), start, ridge)
+    return ToxicityModel({f: float(w[i]) for f, i in index.items()}, float(b), rest, stems)
 
 
 class _Scorer:
@@ -144,7 +144,7 @@ class _Scorer:
     def _marked(self, word: bytes) -> frozenset[bytes]:
         if len(self.known) >= self.memory:
             self.known.clear()
-        found = frozenset(f for f in features_of(word, self.model.stem) if f in self.model.weights)
+        found = frozenset(f for f in features_of(word, self.model.stems) if f in self.model.weights)
         self.known[word] = found
         return found
 
