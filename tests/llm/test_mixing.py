@@ -65,6 +65,26 @@ def test_edges(spark):
     assert [r.taken for r in mixing.mix(nothing).collect()] == [0, 0]
 
 
+def test_rows_without_ids_and_hot_copies(spark):
+    docs = spark.range(60_000).selectExpr(
+        "cast(null as long) doc_id", "case when id % 3 = 0 then 'a b c d e' else concat(id, ' of this size ', id % 7) end text", "'x' source"
+    )
+    small = spark.range(500).selectExpr("id doc_id", "repeat('w ', 40) text", "'y' source")
+    out = []
+    for parts in (3, 8):
+        frame = docs.unionByName(small).repartition(parts)
+        rows = mixing.mix(frame, carry=["text"]).cache()
+        found = rows.groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+        for r in found:
+            assert abs(r["sum(taken)"] - r["max(target)"]) <= 0.02 * r["max(target)"] + 64
+        copies = sorted(r.taken for r in rows.where("text = 'a b c d e'").collect())
+        assert len(copies) == 20_000 and copies[0] >= 0 and copies[-1] <= 10
+        others = sum(r.taken for r in rows.where("source = 'x' and text <> 'a b c d e'").collect()) / 200_000
+        assert abs(sum(copies) / 100_000 - others) < 0.05
+        out.append(sorted((r.text, r.taken) for r in rows.collect()))
+    assert out[0] == out[1]
+
+
 def test_weights_of_ones_own(spark):
     docs = spark.createDataFrame([(i, "w " * 40, "ab"[i % 2]) for i in range(200)], "doc_id long, text string, source string")
     weights = spark.createDataFrame([("a", 1)], "source string, weight int")

@@ -8,6 +8,9 @@ seats whose quotient may be near the last winning one are listed and ranked: wit
 blocks, round-half-down of claim * (m - n/2) / total is surely won, and at most about 2 n more seats
 compete. Within a shard every block is taken ``quota div blocks`` times, and ``quota mod blocks`` of
 them once more: those at a seeded, evenly spaced set of places in the seeded order of documents.
+A row's shard and place go by a hash of its id, source and text. Copies in all of these of over
+``copy_share`` of all rows (and of 1,000) are a shard of their own, in which a copy's place is its number: copies are
+numbered within each partition of the input, which makes no hot task.
 """
 
 from __future__ import annotations
@@ -85,6 +88,7 @@ def mix(
     block: int = 32,
     seed: int = 17,
     carry: list[str] | None = None,
+    copy_share: float = 1e-3,
 ) -> DataFrame:
     """(id, source, columns to carry, size, source_size, target, taken) of every document row.
 
@@ -93,7 +97,8 @@ def mix(
     ``cycle`` over the sources by code point, null last. Targets: see ``targets``. A block that begins
     or ends inside a document takes a part of it. Each source's taken words come within about half a
     block a shard of its target, no document is taken over ``most`` times, and the same rows give the
-    same mix in any order. Edge cases: null and wordless texts have size and taken 0; a null source is
+    same mix in any order. The input is read several times; if it has hot copies and columns to carry, it
+    must deal its rows to the same partitions each time, as files do. Edge cases: null and wordless texts have size and taken 0; a null source is
     a source; null or repeated ids are rows like any other; an empty table gives an empty mix; columns
     that are not carried are not read.
     """
@@ -102,9 +107,10 @@ def mix(
         F.col(id_col).alias("id"),
         F.col(source).alias("source"),
         word_count(F.col(text)).alias("size"),
+        F.xxhash64(F.lit(seed), F.col(id_col), F.col(source), F.col(text)).alias("row"),
         *(F.col(c).alias(new) for new, c in carried.items()),
     )
-    sized = checkpointed(whole.select("id", "source", "size"))
+    sized = checkpointed(whole.select("id", "source", "size", "row"))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     if weights is None:
         rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -121,9 +127,15 @@ def mix(
     sources = checkpointed(sainte_lague(sources, [], "source", "target", "blocks", "most"))
 
     s = sources.select(F.col("source").alias("s"), "source_size", "target", "shards", F.col("quota").alias("source_quota"))
-    of_row = F.xxhash64(F.lit(seed), "id", "size")
-    shard = F.pmod(F.xxhash64(of_row, F.lit("shard")), "shards")
-    deal = lambda rows: rows.join(s, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("shard", shard)
+    total = sized.count()
+    copies = sized.where("size > 0").groupBy("row").agg(F.count("*").alias("copies"))
+    hot = checkpointed(copies.where(F.col("copies") > max(copy_share * total, 1000)))  # under 1 / copy_share rows
+    shard = F.when(F.col("copies").isNotNull(), -1 - F.pmod("row", F.lit(1 << 62))).otherwise(F.pmod(F.xxhash64("row", F.lit("shard")), "shards"))
+
+    def deal(rows: DataFrame) -> DataFrame:
+        met = rows.join(s, F.col("source").eqNullSafe(F.col("s"))).drop("s").join(F.broadcast(hot), "row", "left")
+        return met.withColumn("shard", shard).drop("copies")
+
     shards = deal(sized).groupBy("source", "shard").agg(
         F.sum("size").alias("shard_size"), F.max("source_quota").alias("source_quota")
     )
@@ -133,11 +145,19 @@ def mix(
         F.col("source").alias("s"), F.col("shard").alias("h"), "n", "quota"
     )
     dealt = deal(whole if carried else sized)
-    dealt = dealt.join(shards, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h"))).drop("s", "h")
-    order = W.partitionBy("source", "shard").orderBy(of_row, "id", "size")
+    order = W.partitionBy("source", "shard").orderBy("row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = dealt.where("shard >= 0").withColumn("end", F.sum("size").over(order))
+    if hot.count():
+        parted = deal((whole if carried else sized).withColumn("part", F.spark_partition_id())).where("shard < 0")
+        held = parted.groupBy("row", "part").agg(F.count("*").alias("held"))
+        before = W.partitionBy("row").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+        held = held.select("row", "part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"))
+        number = F.col("before") + F.row_number().over(W.partitionBy("row", "part").orderBy("size"))
+        numbered = parted.join(held, ["row", "part"]).withColumn("end", number * F.col("size")).drop("part", "before")
+        placed = placed.unionByName(numbered)
+    dealt = placed.join(shards, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h"))).drop("s", "h")
     dealt = dealt.withColumns(
         {
-            "end": F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)),
             "every": F.expr("quota div n"),
             "extra": F.expr("quota % n"),
             "start": F.pmod(F.xxhash64(F.lit(seed), "source", "shard"), "n"),
