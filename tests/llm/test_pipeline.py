@@ -1,6 +1,6 @@
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
-from tests.llm.helpers import SPACE, components, contamination, fingerprint
+from tests.llm.helpers import SPACE, contamination, low
 from tidewell.llm import decontaminate, quality, queries, toxicity
 
 BIG = "/root/testdata/sf0.01"
@@ -10,6 +10,32 @@ def rows(df):
     return {r.doc_id: r for r in df.collect()}
 
 
+def shingles(text, n=5):
+    words = SPACE.findall(low(text))
+    return {" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} or ({" ".join(words)} if words else set())
+
+
+def near_duplicates(texts, similarity=0.8):
+    """({id: least id reachable over pairs of that Jaccard similarity}, {id: least id of the same shingles}), of all pairs."""
+    sets = {i: frozenset(shingles(t)) for i, t in texts.items()}
+    label, of = {}, {}
+    for i in sorted(sets):
+        label[i] = i
+        of.setdefault(sets[i], i)
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, x in sets.items():
+        for j, y in sets.items():
+            if i < j and (x == y or x and y and min(len(x), len(y)) >= similarity * max(len(x), len(y)) and len(x & y) >= similarity * len(x | y)):
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+    return {i: root(i) for i in sets}, {i: of[x] for i, x in sets.items()}
+
+
 def test_stages_one_by_one(spark):
     docs = spark.read.parquet(f"{BIG}/documents.parquet").cache()
     labels = spark.read.parquet(f"{BIG}/labels.parquet")
@@ -28,9 +54,11 @@ def test_stages_one_by_one(spark):
     clean = {r.doc_id for r in toxicity.score_toxicity(kept[1], model).where("predicted = 0").collect()}
     assert set(before[2]) == clean and len(clean) < len(good)
 
-    prints = [(i, fingerprint(r.text)) for i, r in before[2].items()]
-    least = components(prints)
-    assert set(before[3]) == {least[p] for p in prints} and len(before[3]) < len(clean)
+    least, copies = near_duplicates({i: r.text for i, r in before[2].items()})
+    gone = set(before[2]) - set(before[3])
+    assert all(least[i] < i for i in gone)  # none goes that isn't within 0.8 of a chain to a lesser one
+    expected = {i for i, x in least.items() if x < i}
+    assert {i for i in expected if copies[i] < i} <= gone and len(gone) >= 0.95 * len(expected) > 0
 
     items = [tuple(r) for r in spark.read.parquet(f"{BIG}/benchmark.parquet").select("item_id", "text").collect()]
     assert set(before[4]) == {i for i, r in before[3].items() if not contamination(r.text, items)[1]}
@@ -67,6 +95,44 @@ def test_registered(spark):
     assert decontaminate.FIELDS
 
 
+def test_near_copies_by_similarity(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(5000)]
+    data, pairs = [], {0.98: [], 0.9: [], 0.82: [], 0.6: []}
+    for i in range(400):
+        text = list(rng.choice(words, int(rng.integers(60, 700))))
+        kind = list(pairs)[i % 4]
+        n = len(text) - 4
+        # Words put on at the end: k new shingles of n + k.
+        more = text + list(rng.choice(words, max(1, round(n / kind - n))))
+        data += [(2 * i, " ".join(text), "en"), (2 * i + 1, " ".join(more).upper(), "en")]
+        pairs[kind].append(2 * i + 1)
+    # A chain: each is like the one before, the last not like the first; and thousands of near copies of one text.
+    chain = list(rng.choice(words, 200))
+    data += [(10_000 + i, " ".join(chain[5 * i : 5 * i + 100]), "en") for i in range(8)]
+    common = " ".join(rng.choice(words, 100))
+    data += [(20_000 + i, f"{common} x{i}", "en") for i in range(1500)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(5)
+    kept = {r.doc_id for r in dict(pipeline.STAGES)["near duplicates"](spark, docs, BIG).collect()}
+    assert {2 * i for i in range(400)} <= kept and set(pairs[0.6]) <= kept
+    caught = {k: 1 - len(kept & set(v)) / len(v) for k, v in pairs.items()}
+    assert caught[0.98] == 1 and caught[0.9] >= 0.98 and caught[0.82] >= 0.8
+    assert {i for i in kept if i >= 10_000} == {10_000, 20_000}
+
+
+def test_stages_with_clashing_columns_and_repeated_ids(spark):
+    rows = [r.text for r in spark.read.parquet(f"{BIG}/documents.parquet").where("lang = 'en'").orderBy("doc_id").limit(40).collect()]
+    data = [(i // 2, text, "en", "s") for i, text in enumerate([*rows, rows[0], rows[1], "long words " * 40_000])]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    docs = docs.selectExpr("*", "7 as id", "8 as label", "9 as class", "10 as fp", "11 as row", "12 as key", "13 as node", "14 as sample")
+    for name, stage in pipeline.STAGES:
+        once, again = (sorted(map(str, stage(spark, docs.repartition(n), BIG).collect())) for n in (2, 5))
+        assert once == again and once, name
+        assert set(docs.columns) <= set(stage(spark, docs, BIG).columns)
+
+
 def test_near_duplicates_of_odd_ids(spark):
     a, b, c = ("one red fox ran over old hills", "salt and iron rust in deep water", "many quiet lamps burn along this shore")
     data = [(5, a), (3, a), (5, b), (7, b), (None, b), (None, c), (None, c)]

@@ -47,10 +47,13 @@ def is_held_out(id_col: str, modulus: int, remainder: int) -> Column:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the folder the cluster names.
 
-    Only where ``spark.checkpoint.dir`` is unset, as in local tests, a temporary folder is used.
+    Only where ``spark.checkpoint.dir`` is unset and Spark runs in one process, as in tests, a temporary
+    folder is used; on a cluster that is an error, as executors don't share one.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-checkpoint-"))
     return df.checkpoint(eager=True)
 

@@ -20,8 +20,8 @@ def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, folds: i
     ids = labels.where(f"doc_id is not null and {label} is not null").groupBy("doc_id").agg(F.max(label).alias("label"))
     ids = ids.where(~is_held_out("doc_id", folds, held_out))
     ids = class_sample(ids.withColumn("class", F.col("label") if by_class else F.lit(0)), "class", "doc_id", bound)
-    sample = F.broadcast(ids.select(F.col("doc_id").alias("id"), "label"))
-    return written(documents.join(sample, F.col("doc_id") == F.col("id")).select("text", "label"))
+    sample = F.broadcast(ids.select("doc_id", "label"))
+    return written(documents.select("doc_id", "text").join(sample, "doc_id").select("text", "label"))
 
 
 def quality_model(documents: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> quality.QualityModel:
