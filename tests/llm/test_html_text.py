@@ -39,6 +39,41 @@ def test_menus_without_marks_are_cut_by_ratio():
     assert html_text.main_text(f"<ul>{links}</ul><div>{ARTICLE}</div><ul>{links}</ul>") == TEXT
 
 
+LINKS = "".join(f"<li><a href=/{i}>Another story, number {i}</a></li>" for i in range(8))
+
+
+def test_link_lists_without_marks_are_cut_inside_an_article():
+    for page in (
+        f"<article>{ARTICLE}<ul>{LINKS}</ul></article>",
+        f"<article><div>{LINKS}</div>{ARTICLE}</article>",
+        f"<body><article>{ARTICLE}<p>{LINKS}</p>{ARTICLE}</article><p>{LINKS}</p></body>",
+        f"<main><p>{'<a href=/t>tag</a> ' * 9}</p>{LINKS}{ARTICLE}{LINKS}</main>",
+        f"<div>{ARTICLE}{LINKS}{ARTICLE}</div>",
+    ):
+        assert html_text.main_text(page) in (TEXT, f"{TEXT} {TEXT}"), page
+
+
+def test_the_threshold_decides(monkeypatch):
+    page = f"<article>{ARTICLE}<ul>{LINKS}</ul></article>"
+    assert html_text.main_text(page) == TEXT
+    monkeypatch.setattr(html_text, "threshold", lambda values: values.min())
+    assert html_text.main_text(page) == TEXT + "".join(f" Another story, number {i}" for i in range(8))
+
+
+def test_headings_short_paragraphs_and_links_in_text_stay():
+    short = "".join(f"<p>No. {i}</p>" for i in range(9))
+    for inner in (
+        f"<h1>Title</h1>{ARTICLE}{short}{ARTICLE}<h2>More</h2>{short}",
+        f"{ARTICLE}<p>See <a href=x>the second report</a> of May.</p>{ARTICLE}",
+        f"{ARTICLE}<p><a href=x>The second report</a></p>{ARTICLE}",
+        f"{ARTICLE}<ul>{''.join(f'<li>Item {i}, with <a href=x>one</a> link</li>' for i in range(9))}</ul>",
+        f"<p><a href=x>One link <a href=y>another</a> and text that follows it. </p>{ARTICLE}",
+        f"{short}",
+    ):
+        text = " ".join(re.sub(r"</?(?:p|h1|h2|li|ul)>", " ", inner).split())
+        assert html_text.main_text(f"<article>{inner}</article>") == " ".join(re.sub("<[^>]*>", "", text).split()), inner
+
+
 def test_markup_details():
     of = lambda inner: html_text.main_text(f"<article>{inner}</article>")
     assert of("<p>a&nbsp;&amp;&lt;b&gt;&#233;&eacute;  c\n\td</p>") == "a &<b>éé c d"

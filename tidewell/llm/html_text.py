@@ -1,11 +1,13 @@
 """Main text of web pages by text-to-tag ratios.
 
 Events of the standard library's streaming parser cut a page into lines (blocks). Each line has a ratio
-of text to tags; the ratios are smoothed by a Gaussian and clustered by a threshold (two means) into
-content and the rest. A region is an ``article`` or ``main`` element, or else the page's body: of the
-former, those that hold a content line are taken whole, of the latter the stretch from its first to its
-last content line. Lines inside menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments never count, whether marked by their element, role, class or id.
+of text to tags, in which the text of links is none; the ratios are smoothed by a Gaussian and clustered
+by a threshold (two means) into content and the rest. A region is an ``article`` or ``main`` element, or
+else the page's body: of the former, those count that hold a content line, of the latter the stretch
+from its first to its last content line. Within either, lines below the threshold are left out if most of
+their text is links, as in lists of further articles, tags or shares; headings and short paragraphs, of
+which the ratio is low too, stay. Lines inside menus, headers, footers, sidebars, notices, adverts, forms
+and reader comments never count, whether marked by their element, role, class or id.
 """
 
 from __future__ import annotations
@@ -79,7 +81,7 @@ def _skips(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, region) of each line; region 0 is the body outside article and main."""
+    """Collects (text, tags, region, characters in links) of each line; region 0 is the body outside article and main."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -87,15 +89,16 @@ class _Lines(HTMLParser):
         self.open: list[tuple[str, int, int]] = []
         self.skip, self.region, self.regions = 0, 0, 0
         self.text: list[str] = []
-        self.tags = 0
-        self.lines: list[tuple[str, int, int]] = []
+        self.tags = self.links = self.linked = 0
+        self.lines: list[tuple[str, int, int, int]] = []
 
     def end_line(self):
         words = " ".join("".join(self.text).split())
         if words:
-            self.lines.append((words, self.tags, self.region))
+            self.lines.append((words, self.tags, self.region, min(self.linked, len(words))))
             self.tags = 0
         self.text.clear()
+        self.linked = 0
 
     def _end_head(self):
         if self.open and self.open[-1][0] == "head":
@@ -108,6 +111,8 @@ class _Lines(HTMLParser):
             if not self.skip:
                 self.end_line()
             self._imply_ends(tag)
+        if tag == "a":
+            self._end_link()
         self.tags += not self.skip
         if tag == "br" and not self.skip:
             self.text.append(" ")
@@ -116,13 +121,21 @@ class _Lines(HTMLParser):
         skips, region = int(_skips(tag, attrs)), self.region
         if tag in ("article", "main") and not skips and all(name == "form" for name, n, _ in self.open if n > 0):
             skips = -self.skip  # a form about the whole page is no part of the article
-            self.skip = 0
+            self.skip = self.linked = 0
             self.text.clear()
         if tag in ("article", "main") and not skips and not self.skip and not self.region:
             self.regions += 1
             self.region = self.regions
         self.open.append((tag, skips, region))
         self.skip += max(skips, 0)
+        self.links += tag == "a"
+
+    def _end_link(self):
+        """A link ends where another begins."""
+        if self.links:
+            at = max(i for i, x in enumerate(self.open) if x[0] == "a")
+            if all(name not in SCOPES for name, _, _ in self.open[at:]):
+                self._close(at)
 
     def handle_startendtag(self, tag, attrs):
         # HTML has no self-closing elements but the void ones; in foreign content there are some.
@@ -155,8 +168,9 @@ class _Lines(HTMLParser):
                 return
 
     def _close(self, i):
-        for _, skips, region in reversed(self.open[i:]):
+        for name, skips, region in reversed(self.open[i:]):
             self.skip -= skips
+            self.links -= name == "a"
             self.region = region
         del self.open[i:]
 
@@ -165,9 +179,11 @@ class _Lines(HTMLParser):
             self._end_head()
         if not self.skip:
             self.text.append(data)
+            if self.links:
+                self.linked += len(" ".join(data.split()))
 
 
-def lines_of(html: str) -> list[tuple[str, int, int]]:
+def lines_of(html: str) -> list[tuple[str, int, int, int]]:
     parser = _Lines()
     try:
         parser.feed(html)
@@ -207,17 +223,17 @@ def main_text(html: str | None) -> str:
     lines = lines_of(html or "")
     if not lines:
         return ""
-    ratios = np.array([len(text) / max(tags, 1) for text, tags, _ in lines])
-    level = smoothed(np.log1p(ratios))
+    length, tags, regions, linked = (np.array(x) for x in zip(*((len(x[0]), *x[1:]) for x in lines), strict=True))
+    level = smoothed(np.log1p((length - linked) / np.maximum(tags, 1)))
     content = level >= threshold(level)
-    regions = np.array([x[2] for x in lines])
+    left_out = ~content & (2 * linked > length)
     if regions.any():
         chosen = set(regions[content & (regions > 0)].tolist()) or set(regions[regions > 0].tolist())
         kept = [i for i in range(len(lines)) if regions[i] in chosen]
     else:
         at = np.flatnonzero(content)
         kept = range(at[0], at[-1] + 1)
-    return " ".join(lines[i][0] for i in kept)
+    return " ".join(lines[i][0] for i in kept if not left_out[i])
 
 
 def extract_text(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
