@@ -123,3 +123,52 @@ def test_constraints(spark):
 def test_schemas_name_the_identifiers():
     assert [f.name for f in schemas.SUBMISSION if f.metadata.get("uuid")] == ["id", "owner"]
     assert not schemas.LINK["processing_order"].nullable
+
+
+def test_reconciliation_leaves_a_status_without_a_pod(spark):
+    rows = [("1", None, "Running", True, True), ("2", "gone", "Running", True, True)]
+    live = spark.createDataFrame(rows, "id string, kubernetes_pod_name string, status string, is_running boolean, is_still_kubernetes_resource boolean")
+    pods = spark.createDataFrame([("job-x",)], "name string")
+    assert {r.id: r.status for r in dataflow.reconcile(live, pods).collect()} == {"1": "Running", "2": "Deleted"}
+
+
+def test_lines_of_either_geometry(spark):
+    from tidewell.functions.geo import encode_line
+    from tidewell.operators.shapes import with_line
+
+    wkb = spark.createDataFrame([(1, encode_line([(5.0, 46.0), (6.0, 47.0), (7.5, 48.0)])), (2, b"no"), (3, None)], "id int, geom binary")
+    text = with_line(wkb).select("id", "geom")
+    for df in (with_line(wkb), with_line(text)):
+        found = {r.id: (r.latitude_start, r.longitude_start, r.latitude_end, r.longitude_end, r.geom and r.geom[:21]) for r in df.collect()}
+        assert found == {1: (46.0, 5.0, 48.0, 7.5, '{"type": "LineString"'), 2: (None,) * 5, 3: (None,) * 5}
+
+
+def test_reads_of_records_without_relatives(spark):
+    from tidewell import schemas as s
+    from tidewell.operators import shapes
+
+    empty = lambda schema: spark.createDataFrame([], schema)
+    outputs = empty("submission_id string, filename string, size_bytes long, url string")
+    page = spark.createDataFrame([("s1", "t1"), ("s2", None)], "id string, transect_id string")
+    transects = spark.createDataFrame([("t1", "north")], "id string, name string")
+    read = shapes.submission_read(page, empty(s.RUN_STATUS), empty(s.LINK), empty(s.INPUT_OBJECT), transects, outputs).orderBy("id").collect()
+    assert [(r.id, r.run_status, r.input_associations, r.file_outputs, r.transect and r.transect.name) for r in read] == [("s1", [], [], [], "north"), ("s2", [], [], [], None)]
+    line = transects.withColumn("geom", schemas_geom(spark))
+    (t,) = shapes.transect_read(line, empty(s.INPUT_OBJECT), empty(s.SUBMISSION), empty(s.RUN_STATUS)).collect()
+    assert (t.inputs, t.submissions, t.latitude_start) == ([], [], None)
+    (i,) = shapes.input_read(page.limit(1), empty(s.LINK), transects).collect()
+    assert i.input_associations == [] and i.transect.name == "north"
+
+
+def test_children_with_maps(spark):
+    rows = [("l", 1, {"n": "2"}), ("l", 0, {"n": "1"}), ("l", 1, None), ("m", 5, {})]
+    children = spark.createDataFrame(rows, "parent string, at int, parts map<string,string>")
+    nested = nest.nest_children(spark.createDataFrame([("l",), ("k",)], "id string"), children, "parent", order=["at"])
+    found = {r.id: [x.at for x in r.children] for r in nested.collect()}
+    assert found == {"l": [0, 1, 1], "k": []} and nested.schema["children"].dataType.elementType.names == children.columns
+
+
+def schemas_geom(spark):
+    from pyspark.sql import functions as F
+
+    return F.lit(None).cast("binary")

@@ -38,14 +38,14 @@ def last_writer(df: DataFrame, key: list[str], by: list[str]) -> DataFrame:
 
 
 def reconcile(statuses: DataFrame, snapshot: DataFrame, succeeded: Column | bool = True, pod: str = "kubernetes_pod_name") -> DataFrame:
-    """Marks live run statuses whose pod isn't in the snapshot as Deleted.
+    """Marks live run statuses whose pod isn't in the snapshot as Deleted; one without a pod's name stays as it is.
 
     Only if the snapshot was taken in full (``succeeded``): an empty one that comes of a failure proves nothing.
     """
     live = snapshot.select(strip_pod_suffix(F.col("name")).alias("__pod")).unionByName(snapshot.select(F.col("name").alias("__pod"))).distinct()
     joined = statuses.join(live, statuses[pod] == F.col("__pod"), "left")
     took = succeeded if isinstance(succeeded, Column) else F.lit(succeeded)
-    gone = F.col("__pod").isNull() & F.coalesce("is_still_kubernetes_resource", F.lit(False)) & took
+    gone = F.col(pod).isNotNull() & F.col("__pod").isNull() & F.coalesce("is_still_kubernetes_resource", F.lit(False)) & took
     new = {
         "status": F.when(gone, "Deleted").otherwise(F.col("status")),
         "is_running": F.when(gone, False).otherwise(F.col("is_running")),

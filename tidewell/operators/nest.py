@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def attach_parent(df: DataFrame, parent: DataFrame, foreign: str, key: str = "id", name: str = "parent") -> DataFrame:
@@ -12,15 +13,28 @@ def attach_parent(df: DataFrame, parent: DataFrame, foreign: str, key: str = "id
     return df.join(packed, df[foreign] == F.col("__key"), "left").drop("__key")
 
 
+def _has_order(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_has_order(f.dataType) for f in kind)
+    return _has_order(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def nest_children(
     df: DataFrame, children: DataFrame, foreign: str, key: str = "id", name: str = "children", order: list[str] | None = None
 ) -> DataFrame:
-    """Adds each row's children as array ``name``, empty without any, ordered by ``order``, then all columns.
+    """Adds each row's children as array ``name``, empty without any, ordered by ``order``, then all columns
+    that have an order (maps have none).
 
     Children are grouped before they are joined, so that several nests don't multiply each other.
     """
     first = [*(order or []), *(c for c in children.columns if c not in (order or []))]
-    packed = F.sort_array(F.collect_list(F.struct(*first)))
+    keys = [c for c in first if _has_order(children.schema[c].dataType)]
+    if keys == first:
+        packed = F.sort_array(F.collect_list(F.struct(*first)))
+    else:
+        place = lambda x: F.struct(*(x[c] for c in keys))
+        compare = lambda x, y: F.when(place(x) < place(y), -1).when(place(x) > place(y), 1).otherwise(0)
+        packed = F.array_sort(F.collect_list(F.struct(*first)), compare)
     if first != children.columns:
         packed = F.transform(packed, lambda x: F.struct(*(x[c].alias(c) for c in children.columns)))
     grouped = children.where(F.col(foreign).isNotNull()).groupBy(F.col(foreign).alias("__key")).agg(packed.alias(name))

@@ -51,3 +51,20 @@ def list_users(users: DataFrame, members: DataFrame, spec_filters: dict) -> Data
     if spec_filters.get("username"):
         return users.where(F.lower("username").contains(str(spec_filters["username"]).lower()))
     return users
+
+
+def users_page(users: DataFrame, members: DataFrame, spec) -> DataFrame:
+    """A page of ``list_users`` by user name, then id; a range includes its end and is taken once."""
+    found = list_users(users, members, spec.filters)
+    if spec.page is None:
+        return found
+    start, end = spec.page
+    return found.orderBy("username", "id").offset(start).limit(max(0, end - start + 1))
+
+
+def users_range(users: DataFrame, members: DataFrame, spec) -> DataFrame:
+    """content_range: ``users start-end/total``; the end as asked for, the total without a range."""
+    total = list_users(users, members, spec.filters).agg(F.count(F.lit(1)).cast("string").alias("total"))
+    start, end = spec.page if spec.page else (0, None)
+    last = F.col("total") if end is None else F.lit(str(end))
+    return total.select(F.concat(F.lit(f"users {start}-"), last, F.lit("/"), "total").alias("content_range"))
