@@ -1,3 +1,5 @@
+import os
+
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
 from tests.llm.helpers import SPACE, contamination, low
@@ -89,6 +91,22 @@ def test_odd_documents(spark):
     assert last.where("text = ''").count() == 0
 
 
+def test_run_keeps_only_the_last_input(spark, sf_dir):
+    from tidewell.llm.common import _shared_folder, discard, written
+
+    table = written(spark.range(3))
+    folder = table.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    discard(spark.read.parquet(f"{sf_dir}/region.parquet"))
+    discard(table)
+    assert not os.path.exists(folder) and os.path.exists(f"{sf_dir}/region.parquet")
+    held = lambda: {x for x in os.listdir(_shared_folder(spark).removeprefix("file:")) if x.startswith(spark.sparkContext.applicationId)}
+    before = held()
+    out = pipeline.run(spark, sf_dir)
+    assert out.count() > 0 and out.columns[-4:] == ["size", "source_size", "target", "taken"]
+    texts = [x for x in held() - before if "text" in spark.read.parquet(f"{_shared_folder(spark)}/{x}").columns]
+    assert len(texts) <= 3  # the last stage's input and the samples of the two models
+
+
 def test_registered(spark):
     assert pipeline.ORACLE_SQL is None and "pipeline" in entry.queries()
     assert {n.split("_")[0] for n in entry.queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}

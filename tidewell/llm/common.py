@@ -62,12 +62,25 @@ def written(df: DataFrame) -> DataFrame:
     """Cuts lineage with a compressed Parquet table beside the checkpoints; for wider or longer tables."""
     spark = df.sparkSession
     checkpointed(spark.range(1).limit(0))
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
+    path = f"{_shared_folder(spark)}/{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return root.rstrip("/")
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that ``written`` made, once nothing will read it any more; others are left alone."""
+    spark = table.sparkSession
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        if f"/{spark.sparkContext.applicationId}-" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str = "n", share: float = 1e-3) -> DataFrame:
     """Inner join of ``rows`` with ``counted``: one row a key, whose column ``n`` says how many rows have it.
 
