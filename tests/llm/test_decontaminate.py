@@ -83,3 +83,12 @@ def test_winnowing_keeps_one_of_each_run():
     for i in range(len(grams) - 2):
         low = min(grams[i : i + 3])
         assert max(j for j in range(i, i + 3) if grams[j] == low) in kept
+
+
+def test_items_that_repeat(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    items = spark.createDataFrame([("a", text)] * 300 + [("b", "w3 w4 w5"), ("b", "w3 w4 w5"), (None, "x y")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"so {text}"), (2, "w3 w4 w5 x y"), (3, None)], "doc_id long, text string")
+    for size in (20, 10**6):
+        found = {r.doc_id: (r.n_hit, r.items) for r in find_contamination(docs, items, block_words=size).collect()}
+        assert found == {1: (30, ["a", "b"]), 2: (5, ["b"]), 3: (0, [])}

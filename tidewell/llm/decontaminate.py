@@ -152,6 +152,7 @@ def find_contamination(
     if not 0 < k <= window:
         raise ValueError("k must be from 1 to window")
     source = benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).cast("binary").alias("text"))
+    source = source.distinct()  # so that no block fills with copies of one item
     # A word takes two bytes at least, with what parts it from the next.
     size = source.agg(F.sum(F.floor(F.length("text") / 2) + 1)).first()[0] or 0
     blocks = max(1, -(-size // block_words))
