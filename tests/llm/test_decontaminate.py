@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from tests.llm.helpers import contamination
 from tidewell.llm import queries
-from tidewell.llm.decontaminate import BlockIndex, _winnow, find_contamination
+from tidewell.llm.decontaminate import BlockIndex, _blocks, _pieces, _winnow, find_contamination
 from tidewell.llm.common import alnum_words
 
 
@@ -92,3 +92,31 @@ def test_items_that_repeat(spark):
     for size in (20, 10**6):
         found = {r.doc_id: (r.n_hit, r.items) for r in find_contamination(docs, items, block_words=size).collect()}
         assert found == {1: (30, ["a", "b"]), 2: (5, ["b"]), 3: (0, [])}
+
+
+def test_pieces_hold_each_window_and_blocks_are_bounded(spark):
+    words = [f"w{i % 37}" for i in range(500)]
+    rows = [("a", " ".join(words))] * 3 + [("b", "x y z"), ("c", None), ("d", "!"), (None, " ".join(words[7:17])), ("e", "v" * 4000)]
+    items = spark.createDataFrame(rows, "id string, text string").selectExpr("id", "cast(text as binary) as text")
+    pieces = _pieces(items, 10, 25)
+    found = [(r.id, alnum_words(bytes(r.piece)), r.size) for r in pieces.collect()]
+    of = lambda x, i: tuple(x[i : i + 10])
+    for item, text in set(rows):
+        own = alnum_words((text or "").encode())
+        parts = [p for x, p, _ in found if x == item]
+        windows = {of(own, i) for i in range(max(len(own) - 9, min(len(own), 1)))}
+        assert {of(p, i) for p in parts for i in range(max(len(p) - 9, 1))} == windows
+    assert max(len(p) for _, p, _ in found) == 25 and {n for x, _, n in found if x == "e"} == {500}
+    blocks = list(_blocks(pieces, 60))
+    assert sorted(x for b in blocks for x in b if x[0]) == sorted((x, b" ".join(p)) for x, p, _ in found if x)
+    assert all(len(b) == 1 or sum(len(alnum_words(p)) for _, p in b) <= 60 for b in blocks) and len(blocks) > 4
+    assert list(_blocks(pieces.limit(0), 60)) == [[]]
+
+
+def test_a_long_item_in_many_blocks(spark):
+    words = [f"u{i}" for i in range(300)]
+    items = spark.createDataFrame([("long", " ".join(words)), ("other", "p q r")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, " ".join(["so", *words[20:200], "end"])), (2, "p q"), (3, "a p q r"), (4, None)], "doc_id long, text string")
+    for size in (100, 10**6):
+        found = {r.doc_id: (r.n_hit, r.items, [list(x) for x in r.spans]) for r in find_contamination(docs, items, block_words=size).collect()}
+        assert found == {1: (180, ["long"], [[1, 181]]), 2: (0, [], []), 3: (3, ["other"], [[1, 4]]), 4: (0, [], [])}

@@ -8,16 +8,20 @@ shared window: each shared span of that length meets in the fingerprint join. Hi
 maximal runs of equal words, so that no hash decides. Items shorter than a window are fingerprinted
 with ``k`` = their length and ``w`` = 1.
 
-The benchmark is read in blocks of at most ``block_words`` words, whose index is broadcast: its size
-is bounded by that parameter, not by the data. Documents are scanned once a block and never shuffled,
-so neither a passage that a third of all documents share nor one long document makes a hot task.
+Items are tokenised and cut in tasks into pieces that overlap by ``window - 1`` words, so that each
+window lies whole in one of them; copies are dropped. Pieces fill blocks of at most ``block_words``
+words and eight bytes a word, whose index is broadcast: its size is bounded by that parameter, not by
+the data. Documents are scanned once a block and never shuffled, so neither a passage that a third of
+all documents share nor one long document makes a hot task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +29,9 @@ from pyspark.sql import types as T
 
 from .common import alnum_words, annotate, checkpointed
 
+#: Words of a piece of an item, and bytes of pieces that the driver takes from a task at once.
+_PIECE, _FETCH = 4096, 8 << 20
+
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -121,6 +128,37 @@ class BlockIndex:
         return p - back, p + on
 
 
+def _pieces(items: DataFrame, window: int, length: int) -> DataFrame:
+    """Distinct (id, piece, size) of (id, text) items: pieces of ``length`` words at most, in which each window
+    lies whole; ``size`` is the number of words, or an eighth of that of bytes if that is more."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = alnum_words(text)
+                starts = range(0, max(len(words) - window, 0) + 1 if words else 0, length - window + 1)
+                parts = [words[i : i + length] for i in starts]
+                pieces = [b" ".join(x) for x in parts]
+                sizes = [max(len(x), len(y) // 8) for x, y in zip(parts, pieces, strict=True)]
+                columns = [pa.array([item] * len(parts), pa.string()), pa.array(pieces, pa.binary()), pa.array(sizes, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "piece", "size"])
+
+    return items.mapInArrow(cut, "id string, piece binary, size long").distinct()
+
+
+def _blocks(pieces: DataFrame, block_words: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """The pieces in blocks whose sizes add up to ``block_words`` at most, or of one piece; one empty block of none."""
+    total = pieces.agg(F.sum("size")).first()[0] or 0
+    block, size = [], 0
+    for r in pieces.repartition(1 + total * 8 // _FETCH, "id", "piece").toLocalIterator():
+        if block and size + r.size > block_words:
+            yield block
+            block, size = [], 0
+        block.append((r.id, bytes(r.piece)))
+        size += r.size
+    yield block
+
+
 #: What find_contamination adds to each document.
 FIELDS = [
     T.StructField("n_words", T.LongType()),
@@ -152,19 +190,18 @@ def find_contamination(
     if not 0 < k <= window:
         raise ValueError("k must be from 1 to window")
     source = benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).cast("binary").alias("text"))
-    source = source.distinct()  # so that no block fills with copies of one item
-    # A word takes two bytes at least, with what parts it from the next.
-    size = source.agg(F.sum(F.floor(F.length("text") / 2) + 1)).first()[0] or 0
-    blocks = max(1, -(-size // block_words))
-    spark, out = documents.sparkSession, documents
-    for block in range(blocks):
-        part = source if blocks == 1 else source.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block)
-        items = [(r.id, bytes(r.text)) for r in part.where("text is not null").toLocalIterator()]
-        index = spark.sparkContext.broadcast(BlockIndex(sorted(items, key=lambda x: (x[0] is None, x)), window, k))
-        first, last = block == 0, block == blocks - 1
-        out = _scan(out, index, text, first, keep if last else None)
-        if not last:
+    length = max(window, min(_PIECE, block_words))
+    blocks = _blocks(_pieces(source, window, length), block_words)
+    out, block, first = documents, next(blocks), True
+    while block is not None:
+        after = next(blocks, None)
+        items = sorted(block, key=lambda x: (x[0] is None, x))
+        index = documents.sparkSession.sparkContext.broadcast(BlockIndex(items, window, k))
+        out = _scan(out, index, text, first, keep if after is None else None)
+        if after is not None:
             out = checkpointed(out)  # so that one block's index is held at a time
+            index.destroy()
+        block, first = after, False
     return out
 
 
