@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import zstandard
 
 from tests.llm.helpers import ALNUM, fold, low
 from tidewell.llm import quality, queries, toxicity
@@ -64,6 +65,22 @@ def test_quality_on_held_out_documents(spark):
     assert all(r.predicted == (r.score >= 0.7) for r in found)
 
 
+def test_quality_scores_by_a_plain_reading(spark, sf_dir):
+    """Each whole text compressed piece by piece with either dictionary, and the curve by its formula."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = queries.quality_model(docs.select("doc_id", "text"), labels)
+    kinds = [zstandard.ZstdCompressionDict(x) for x in (model.good, model.bad)]
+    plain = [zstandard.ZstdCompressor(level=model.level, dict_data=k, write_content_size=False, write_dict_id=False) for k in kinds]
+    found = {r.doc_id: r for r in queries.op10_quality(spark, sf_dir).collect()}
+    for r in docs.collect():
+        text = (r.text or "").encode()
+        sizes = [sum(len(c.compress(text[i : i + model.piece])) for i in range(0, len(text), model.piece)) for c in plain]
+        told = len(text) / (len(text) + 256)
+        level = model.offset + (model.slope * ((sizes[1] - sizes[0]) / len(text) if text else 0.0) + model.length) * told
+        assert abs(found[r.doc_id].score - 1 / (1 + np.exp(-np.clip(level, -40, 40)))) < 1e-9
+        assert found[r.doc_id].predicted == (found[r.doc_id].score >= 0.7)
+
+
 def toxic_rows():
     clean = "The weather of day {i} is fine. We walk along river {j} and talk. Nothing else happens here."
     rows = []

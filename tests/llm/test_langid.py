@@ -60,3 +60,21 @@ def test_edges(spark):
     assert langid.identify_language(docs.limit(0), profiles).count() == 0
     nothing = langid.fit_profiles(docs.limit(0), by="doc_id")
     assert {r.lang_pred for r in langid.identify_language(docs, nothing).collect()} == {"und"}
+
+
+def test_query_by_a_plain_reading(spark, sf_dir):
+    """Profiles counted anew from the rows that may be learned from, and each distance by its definition."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    counts = {}
+    for r in docs:
+        if fold(r.doc_id, 3) != 1 and r.lang is not None and r.text is not None:
+            counts.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    order = lambda c: sorted(c, key=lambda g: (-c[g], code(g)))[:400]
+    ranks = {k: {g: i for i, g in enumerate(order(c))} for k, c in counts.items()}
+    found = {r.doc_id: r for r in queries.op5_language(spark, sf_dir).collect()}
+    for r in docs[::3]:
+        own = order(plain_grams(r.text))
+        away = {k: sum(abs(v[g] - i) if g in v else 400 for i, g in enumerate(own)) for k, v in ranks.items()}
+        best = min(sorted(away), key=away.get) if own else "und"
+        assert found[r.doc_id].lang_pred == best
+        assert np.isclose(found[r.doc_id].score, 1 - away[best] / (400 * len(own)) if own else 0.0)

@@ -1,3 +1,4 @@
+import math
 import re
 
 import duckdb
@@ -29,6 +30,50 @@ def test_query(spark, sf_dir):
         assert found[i].verdict == verdict if verdict else found[i].verdict in ("allow", "block")
 
 
+def tokens_of(host, path):
+    labels, parts = [x for x in reversed(host.split(".")) if x], [x for x in path.split("/") if x]
+    free = [f"host:{x}" for x in labels] + [f"path:{x}" for x in parts]
+    return frozenset(free + [f"host{i}:{x}" for i, x in enumerate(labels, 1)] + [f"path{i}:{x}" for i, x in enumerate(parts, 1)])
+
+
+def test_verdicts_against_all_combinations(spark, sf_dir):
+    """An open URL is blocked if labelled URLs that hold some of its tokens are enough, and enough of them blocked.
+
+    Of the combinations it is enough to look at what it shares with some of the labelled URLs: any other
+    is part of one that the very same labelled URLs hold.
+    """
+    urls = duckdb.connect().execute(f"select page_id, url from '{sf_dir}/../sf0.01/pages.parquet'").fetchall()
+    seen = {i: judged(u) for i, u in urls}
+    labelled = [(tokens_of(h, p), v == "block") for h, p, _, v in seen.values() if v]
+    least = math.ceil(0.005 * len(labelled))
+    known = {}
+
+    def decides(combo):
+        if combo not in known:
+            of = [b for t, b in labelled if combo <= t]
+            known[combo] = sum(of) >= least and sum(of) >= 0.9 * len(of)
+        return known[combo]
+
+    def blocked(tokens):
+        closed = set()
+        for shared in {tokens & t for t, _ in labelled}:
+            closed |= {shared & c for c in closed} | {shared}
+        return any(decides(c) for c in closed if c)
+
+    found = {r.page_id: r.verdict for r in queries.op4_url_rules(spark, f"{sf_dir}/../sf0.01").collect()}
+    verdicts = {i: "block" if blocked(tokens_of(h, p)) else "allow" for i, (h, p, _, v) in seen.items() if not v}
+    assert {i: found[i] for i in verdicts} == verdicts and len(set(verdicts.values())) == 2
+
+
+def test_a_url_that_many_pages_share(spark):
+    urls = [None] * 4000 + ["http://q.org/x/"] * 3000 + [f"http://h{i}.net/{'es' if i % 2 else 'en'}/x/" for i in range(400)] + ["http://q.org/es/x/"] * 2
+    pages = spark.createDataFrame([(i, u, -i) for i, u in enumerate(urls)], "page_id long, url string, n long")
+    rules = (("allow", "net", "/"), ("block", "net", "/es/"))
+    found = url_rules.judge_urls(pages, rules=rules).collect()
+    assert sorted((r.page_id, r.url, r.n) for r in found) == sorted(((i, u, -i) for i, u in enumerate(urls)), key=lambda x: x[0])
+    assert {r.url for r in found if r.verdict == "block"} == {u for u in urls if u and "/es/" in u}
+
+
 def test_edges(spark):
     urls = [
         None, "", "no scheme", "://", "http://", "HTTP://WWW.Example.COM/en/x?y#z", "http://example.com/en/", "http://example.com/EN/",

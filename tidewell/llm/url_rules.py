@@ -118,7 +118,7 @@ def judge_urls(
     tokens are all in it, else allowed. Edge cases: a null URL, or one without ``://``, has an empty
     host and path, no tokens, and is allowed; repeated rows are judged alike; an empty table gives
     none; without any URL that a rule labels nothing is mined; input columns named like an added
-    one, in any case, give way to it.
+    one, in any case, give way to it. Rows come in no order. A column ``n`` of the pages stays.
     """
     added = {"host", "path", "rule", "verdict"}
     names = [c for c in pages.columns if c.lower() not in added]
@@ -137,9 +137,14 @@ def judge_urls(
     none = F.array().cast("array<string>")
     known = checkpointed(known.select("key", F.coalesce("tokens", none).alias("tokens"), "n"))
     mined = mine_rules(join_counted(labelled, known, "key").select("tokens", "blocked"), min_support, min_confidence)
-    open_urls = as_classes(urls.where("open").select("key", "tokens").dropDuplicates(["key"]), classes)
+    opened = urls.where("open").groupBy("key").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n"))
+    open_urls = as_classes(opened.select("key", "tokens"), classes)
     met = open_urls.withColumn("anchor", F.explode("tokens")).join(mined.select("anchor", "antecedent"), "anchor")
-    blocked = met.where(F.size(F.array_except("antecedent", "tokens")) == 0).select(F.col("key").alias("__key")).distinct()
-    judged = judged.join(blocked.withColumn("__mined", F.lit("block")), "__key", "left")
-    verdict = F.coalesce("__fit.verdict", "__mined", F.lit("allow"))
-    return judged.select(*names, "host", "path", F.col("__fit.rule").alias("rule"), verdict.alias("verdict"))
+    blocked = met.where(F.size(F.array_except("antecedent", "tokens")) == 0).select("key").distinct()
+    verdicts = opened.select("key", "n").join(blocked.withColumn("mined", F.lit("block")), "key", "left")
+    verdicts = checkpointed(verdicts.select(F.col("key").alias("__key"), "n", F.coalesce("mined", F.lit("allow")).alias("__mined")))
+    # Rows that a rule fits stay where they are, and so do those of a URL that many share.
+    ruled = judged.where("__fit is not null").withColumn("__mined", F.col("__fit.verdict"))
+    rest = join_counted(judged.where("__fit is null"), verdicts, "__key")
+    shown = ruled.unionByName(rest.select(*ruled.columns))
+    return shown.select(*(F.col(f"`{c}`") for c in names), "host", "path", F.col("__fit.rule").alias("rule"), F.col("__mined").alias("verdict"))
