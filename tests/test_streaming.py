@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,26 @@ def test_job_states(spark):
     assert late["new"] == "timed_out" and late["run"] == "running"
 
 
+def test_job_stream_equals_batch_and_times_out(spark, tmp_path):
+    rows = [("ok", "Running", 1), ("run", "Pending", 3), ("new", None, 0), ("gone", "Running", 1), ("ok", "Succeeded", 4), ("gone", None, 5), ("bad", "Failed", 2), ("late", None, 6)]
+    rows += [("late", "Running", 100), ("zz", "Running", 5000), ("zz", "Running", 5001), ("zz", "Running", 5002)]
+    (tmp_path / "in").mkdir()
+    for i, (job, status, t) in enumerate(rows):
+        path = tmp_path / "in" / f"{i:02d}.json"
+        path.write_text(json.dumps({"job_id": job, "status": status, "ts": at(t).isoformat() + "Z", "seq": i}))
+        os.utime(path, (1_700_000_000 + i,) * 2)  # files are read in this order
+    schema = "job_id string, status string, ts timestamp, seq long"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    drain(jobs.follow_jobs(stream, wait_seconds=120, delay="60 seconds").writeStream, str(tmp_path), "jobs_followed")
+    found = {}
+    for r in spark.sql("select * from jobs_followed").collect():
+        found.setdefault(r.job_id, []).append(r)
+    assert [r.state for r in found["new"]] == ["waiting", "timed_out"] and [r.state for r in found["late"]] == ["waiting", "running"]
+    columns = ["state", "status", "is_running", "is_successful", "is_still_kubernetes_resource"]
+    batch = jobs.final_states(spark.read.schema(schema).json(str(tmp_path / "in")), F.lit(at(5000)).cast("timestamp"))
+    assert {r.job_id: tuple(r[c] for c in columns) for r in batch.collect()} == {j: tuple(x[-1][c] for c in columns) for j, x in found.items()}
+
+
 def test_reconciliation_stream(spark, tmp_path):
     schema = "taken timestamp, succeeded boolean, name string"
     statuses = spark.createDataFrame(

@@ -53,6 +53,21 @@ def decode_line(wkb: bytes | None) -> list[tuple[float, float]] | None:
     return [(flat[i], flat[i + 1]) for i in range(0, width * n, width)]
 
 
+_BOUNDS = ("lat_min", "lat_max", "lon_min", "lon_max")
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in _BOUNDS]))
+def line_bounds(wkb: pd.Series) -> pd.DataFrame:
+    """The least and greatest latitude and longitude of a WKB line, to be kept as columns that scans can skip by;
+    nulls for anything else."""
+    rows = []
+    for value in wkb:
+        points = decode_line(None if value is None else bytes(value))
+        lons, lats = zip(*points, strict=True) if points else ((None,), (None,))
+        rows.append((min(lats), max(lats), min(lons), max(lons)) if points else (None,) * 4)
+    return pd.DataFrame(rows, columns=list(_BOUNDS), dtype=float)
+
+
 @F.pandas_udf(T.BinaryType())
 def line_wkb(lat_start: pd.Series, lon_start: pd.Series, lat_end: pd.Series, lon_end: pd.Series) -> pd.Series:
     """A two-point line; null if a coordinate is."""

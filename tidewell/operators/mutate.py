@@ -55,6 +55,22 @@ def add_column(df: DataFrame, name: str, kind: str, default=None) -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.lit(default).cast(kind))
 
 
+def rename_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns take new names; names that the table lacks are ignored."""
+    return df.withColumnsRenamed(names)
+
+
+def replace_column(df: DataFrame, old: str, new: str, kind: str, default=None) -> DataFrame:
+    """A new column in place of an old one, whose values are given up."""
+    return add_column(df.drop(old), new, kind, default)
+
+
+def move_column(source: DataFrame, target: DataFrame, name: str, key: str, foreign: str) -> tuple[DataFrame, DataFrame]:
+    """A column leaves ``source``, whose keys are unique, for the rows of ``target`` that refer to it; others get null."""
+    moved = source.select(F.col(key).alias("__key"), F.col(name))
+    return source.drop(name), target.join(moved, target[foreign] == F.col("__key"), "left").drop("__key")
+
+
 def change_type(df: DataFrame, name: str, kind: str) -> DataFrame:
     """Casts a column; from floating point to integers by rounding to the nearest even."""
     integer = kind in ("int", "integer", "bigint", "long", "smallint")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, text, values
-from ..operators.mutate import change_type
+from ..operators.mutate import change_type, move_column, rename_columns, replace_column
+from ..operators.security import has_any_role
 from .registry import NOW, Registry, table
 
 REGISTRY = Registry()
@@ -153,3 +154,57 @@ def Q55_type_widen(spark, sf_dir):
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").alias("price"), F.col("l_linenumber").alias("line")
     )
     return change_type(change_type(rows, "price", "int"), "line", "double")
+
+
+@REGISTRY.add("""
+SELECT event_id, CASE WHEN event_type <> 'view' THEN user_id::VARCHAR END AS object_id, CASE WHEN event_type <> 'click' THEN event_id::VARCHAR END AS token,
+  replace(props, '"', '') AS props, concat('inputs/', user_id, '/', event_type) AS object_key FROM events
+""")
+def Q71_upload_fields(spark, sf_dir):
+    user = F.col("user_id").cast("string")
+    upload = F.when(F.col("event_type") != "view", F.concat(F.lit("inputs/"), user, F.lit("+"), F.col("event_id").cast("string"))).otherwise(F.concat(F.lit("outputs/"), user))
+    header = F.concat(F.when(F.col("event_type") != "click", "Bearer ").otherwise("Basic "), F.col("event_id").cast("string"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", text.object_id_of(upload).alias("object_id"), text.bearer_token(header).alias("token"), text.without_quotes(F.col("props")).alias("props"),
+        text.object_key("inputs", user, F.col("event_type")).alias("object_key"),
+    )
+
+
+@REGISTRY.add("""
+SELECT doc_id, doc_id % 4 IN (0, 1) AS allowed FROM documents
+""")
+def Q72_allowed_files(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, (".MP4", ".avi", ".txt", ""))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.allowed_file(F.concat("source", kind), ("mp4", "avi")).alias("allowed"))
+
+
+@REGISTRY.add("SELECT event_id, event_id % 3 - 1 < 0 AS expired, 1706745600 + 4 * 3600 AS expires FROM events")
+def Q73_token_expiry(spark, sf_dir):
+    now = F.timestamp_seconds(F.lit(1_706_745_600))
+    expired = values.is_expired(F.lit(1_706_745_600) + F.col("event_id") % 3 - 1, now)
+    return table(spark, sf_dir, "events").select("event_id", expired.alias("expired"), F.unix_seconds(values.expiry(now, 4)).cast("int").alias("expires"))
+
+
+@REGISTRY.add("SELECT c_custkey AS id FROM customer WHERE c_mktsegment = 'MACHINERY' OR c_custkey % 4 = 0")
+def Q74_has_any_role(spark, sf_dir):
+    roles = F.array(F.lower("c_mktsegment"), F.when(F.col("c_custkey") % 4 == 0, "admin").otherwise("guest"))
+    return table(spark, sf_dir, "customer").where(has_any_role(roles, "admin", "machinery")).select(F.col("c_custkey").alias("id"))
+
+
+@REGISTRY.add(_CORNERS + """
+SELECT vec_id, least(lat_start, lat_end) AS lat_min, greatest(lat_start, lat_end) AS lat_max,
+  least(lon_start, lon_end) AS lon_min, greatest(lon_start, lon_end) AS lon_max FROM c
+""")
+def Q75_line_bounds(spark, sf_dir):
+    bounds = geo.line_bounds(geo.line_wkb("lat_start", "lon_start", "lat_end", "lon_end"))
+    return _corners(spark, sf_dir).select("vec_id", bounds.alias("b")).select("vec_id", "b.*")
+
+
+@REGISTRY.add("""
+SELECT o_orderkey AS id, o_custkey AS owner, c_mktsegment AS segment, 0::INT AS parts FROM orders LEFT JOIN customer ON c_custkey = o_custkey
+""")
+def Q76_move_and_replace_columns(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    renamed = rename_columns(orders, {"o_orderkey": "id", "o_custkey": "owner"})
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    return move_column(customers, replace_column(renamed, "o_orderstatus", "parts", "int", 0), "segment", "id", "owner")[1]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.dataflow import reconcile
 from ..operators.mutate import upsert
@@ -42,6 +44,52 @@ def final_states(snapshots: DataFrame, now, wait_seconds: int = 120) -> DataFram
     )
 
 
+JOB = (
+    "job_id string, state string, status string, is_running boolean, is_successful boolean, "
+    "is_still_kubernetes_resource boolean, last_ts timestamp, last_seq long"
+)
+
+
+def follow_jobs(snapshots: DataFrame, wait_seconds: int = 120, delay: str = "10 seconds") -> DataFrame:
+    """The same states as a stream: a row whenever a job's snapshots or its timer change them.
+
+    The watermark, ``delay`` behind the latest snapshot, drives the timer. A job without a pod for
+    ``wait_seconds`` is timed out and forgotten; one that ended is forgotten as long after its last snapshot.
+    """
+    kept = "status string, seen boolean, first timestamp, ts timestamp, seq long"
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = list(state.get) if state.exists else [None, False, None, None, None]
+        if state.hasTimedOut:
+            state.remove()
+            if not now[1]:
+                yield _job(key[0], "timed_out", now)
+            return
+        for r in pd.concat(list(batches)).sort_values(["ts", "seq"]).itertuples():
+            status, ts = None if pd.isna(r.status) else r.status, r.ts.to_pydatetime()
+            now[1] = now[1] or status is not None
+            now[2] = ts if now[2] is None else min(now[2], ts)
+            if now[3] is None or (ts, int(r.seq)) >= (now[3], now[4]):
+                now[0], now[3], now[4] = status, ts, int(r.seq)
+        state.update(tuple(now))
+        name = "waiting" if not now[1] else "running" if now[0] in ACTIVE else "succeeded" if now[0] == "Succeeded" else "failed"
+        if name != "running":
+            fire = int((pd.Timestamp(now[3] if now[1] else now[2]).timestamp() + wait_seconds) * 1000)
+            state.setTimeoutTimestamp(max(fire, state.getCurrentWatermarkMs() + 1))
+        yield _job(key[0], name, now)
+
+    marked = snapshots.where("job_id is not null").withWatermark("ts", delay)
+    return marked.groupBy("job_id").applyInPandasWithState(follow, JOB, kept, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def _job(key: str, name: str, now: list) -> pd.DataFrame:
+    status, seen, _, ts, seq = now
+    shown = status if status is not None else "Deleted" if seen else None
+    running = None if status is None else status in ACTIVE
+    row = [key, name, shown, running, status == "Succeeded", status is not None, ts, seq]
+    return pd.DataFrame([row], columns=[c.split()[0] for c in JOB.split(", ")]).astype({"is_running": "boolean"})
+
+
 def keep_reconciled(snapshots: DataFrame, load: Callable[[], DataFrame], save: Callable[[DataFrame], None]) -> DataStreamWriter:
     """A stream writer that reconciles the run statuses with each batch's newest complete snapshot.
 
