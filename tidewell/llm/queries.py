@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, lm, mixing, quality, simhash, topk, toxicity, url_rules
+from . import decontaminate, fim, html_text, langid, lm, mixing, quality, simhash, topk, toxicity, url_rules
 from .common import class_sample, is_held_out, read, written
 
 
@@ -96,6 +96,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of any id and text; a null id or text is an empty one, rows that repeat are rows of their own."""
+    made = fim.fill_in_middle(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        F.length("prefix").cast("long").alias("prefix_chars"),
+        F.length("middle").cast("long").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -113,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_fim": op11_fim,
     "pipeline": pipeline,
 }
 
@@ -130,5 +145,21 @@ WITH v AS (
   SELECT query_id, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    "op11_fim": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256(concat('7:', doc_id)) AS h FROM documents
+), d AS (
+  SELECT *, len(u) AS n, list_transform([0, 1, 2, 3], lambda i: ('0x' || h[8 * i + 1 : 8 * i + 8])::BIGINT) AS r FROM t
+), c AS (
+  SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS f, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS e,
+    CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR r[3] % 100 >= 100 THEN 'plain'
+      WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d
+), p AS (
+  SELECT *, coalesce(array_to_string(u[1 : f], ''), '') AS a, coalesce(array_to_string(u[f + 1 : e], ''), '') AS m, coalesce(array_to_string(u[e + 1 : n], ''), '') AS b FROM c
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN concat('<P>', a, '<S>', b, '<M>', m) ELSE concat('<S>', b, '<P>', a, '<M>', m) END) AS output_sha256,
+  sha256(x) AS restored_sha256 FROM p
 """,
 }
