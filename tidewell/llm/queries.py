@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fim, html_text, langid, lm, mixing, quality, simhash, topk, toxicity, url_rules
+from . import covertree, decontaminate, fim, html_text, langid, lm, mixing, quality, simhash, topk, toxicity, url_rules
 from .common import class_sample, is_held_out, read, written
 
 
@@ -110,6 +110,11 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors without a label or a finite, non-zero value link with nothing; rows that repeat are rows of their own."""
+    return covertree.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -128,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
     "op11_fim": op11_fim,
+    "op13_near_vectors": op13_near_vectors,
     "pipeline": pipeline,
 }
 
@@ -161,5 +167,21 @@ WITH t AS (
 SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN concat('<P>', a, '<S>', b, '<M>', m) ELSE concat('<S>', b, '<P>', a, '<M>', m) END) AS output_sha256,
   sha256(x) AS restored_sha256 FROM p
+""",
+    "op13_near_vectors": """
+WITH RECURSIVE r AS (
+  SELECT row_number() OVER () AS own, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), v AS (
+  SELECT * FROM r WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.own AS x, b.own AS y FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.own <> b.own
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), t AS (
+  SELECT own AS x, own AS y FROM r UNION SELECT t.x, l.y FROM t JOIN l ON t.y = l.x
+), c AS (
+  SELECT t.x, min(r.vec_id) AS component_id FROM t JOIN r ON r.own = t.y GROUP BY t.x
+)
+SELECT r.vec_id, count(l.y) AS n_links, any_value(c.component_id) AS component_id, r.vec_id IS NOT DISTINCT FROM any_value(c.component_id) AS kept
+FROM r JOIN c ON c.x = r.own LEFT JOIN l ON l.x = r.own GROUP BY r.own, r.vec_id
 """,
 }
