@@ -177,12 +177,18 @@ def traverse(a: np.ndarray, weight_a: np.ndarray, b: np.ndarray | None, weight_b
             whole.update(zip(one.lo[x].tolist(), one.hi[x].tolist(), strict=True))
             whole.update(zip((two.lo[y] + shift).tolist(), (two.hi[y] + shift).tolist(), strict=True))
             rest = ~(single | all_)
-            stack.extend(zip(rows[i[rest]].tolist(), ys[j[rest]].tolist(), strict=True))
-
-    stack: list[tuple[int, int]] = [(0, 0)]
+            x, y = rows[i[rest]], ys[j[rest]]
+            # The wider node is opened, once for all that it meets; both, if they are about as wide.
+            open_x, open_y = 2 * one.radius[x] >= two.radius[y], 2 * two.radius[y] >= one.radius[x]
+            both = open_x & open_y
+            stack.extend((one.below(p), two.below(q)) for p, q in zip(x[both].tolist(), y[both].tolist(), strict=True))
+            stack.extend((one.below(p), y[~open_y & (x == p)]) for p in np.unique(x[~open_y]).tolist())
+            stack.extend((x[~open_x & (y == q)], two.below(q)) for q in np.unique(y[~open_x]).tolist())
+
+    stack: list[tuple] = [(0,) if b is None else (np.array([0]), np.array([0]))]
     while stack:
-        x, y = stack.pop()
-        if b is None and x == y:  # a node with itself
+        x, *y = stack.pop()
+        if not y:  # a node with itself
             if one.hi[x] - one.lo[x] == 1:
                 continue
             if 2 * one.radius[x] <= reach - SLACK:
@@ -192,16 +198,10 @@ def traverse(a: np.ndarray, weight_a: np.ndarray, b: np.ndarray | None, weight_b
                 links.steps[lo[0] + 1 : hi[0] + 1] += weights[0][lo[0] : hi[0]]
                 whole.add((int(lo[0]), int(hi[0])))
                 continue
-            stack.extend((int(c), int(c)) for c in one.below(x))
+            stack.extend((int(c),) for c in one.below(x))
             meet(one.below(x), one.below(x), True)
         else:
-            # The wider node is opened; both, if they are about as wide.
-            wide_x, wide_y = one.radius[x], two.radius[y]
-            meet(
-                one.below(x) if 2 * wide_x >= wide_y else np.array([x]),
-                two.below(y) if 2 * wide_y >= wide_x else np.array([y]),
-                False,
-            )
+            meet(x, y[0], False)
     for lo, hi in whole:
         links.add(np.arange(lo + 1, hi), np.full(hi - lo - 1, lo))
     order = one.order if b is None else np.r_[one.order, two.order + shift]
