@@ -1,0 +1,92 @@
+import random
+from collections import Counter, defaultdict
+
+import pytest
+
+from tidewell.llm import align
+
+TOOLS = align.Tokenizers()
+
+
+def ends(parts):
+    at, out = 0, []
+    for p in parts:
+        at += len(p)
+        out.append(at)
+    return out
+
+
+def plain(rows):
+    """By the whole texts, comparing every token with every other."""
+    a, b = TOOLS.models
+    made = []
+    for doc_id, text in rows:
+        ids_a = a.encode(" " + text, add_special_tokens=False).ids if text else []
+        ids_b = b.encode(text) if text else []
+        one, two = [TOOLS.bytes_a[i] for i in ids_a], [TOOLS.bytes_b[i] for i in ids_b]
+        own = (" " + text).encode() if text else b""
+        if b"".join(one) != own or b"".join(two) != own:
+            ids_a, ids_b, one, two = [], [], [], []
+        ea, eb = ends(one), ends(two)
+        links = [(x, y) for x, p, e in zip(ids_a, one, ea, strict=True) for y, q, f in zip(ids_b, two, eb, strict=True) if e - len(p) < f and f - len(q) < e]
+        groups, last = [], 0
+        for cut in sorted(set(ea) & set(eb)):
+            of = lambda ids, es: ",".join(str(i) for i, e in zip(ids, es, strict=True) if last < e <= cut)  # noqa: B023, E731
+            groups.append(f"{of(ids_a, ea)}|{of(ids_b, eb)}")
+            last = cut
+        made.append((doc_id, len(ids_a), len(ids_b), len(groups), links, ";".join(groups)))
+    counts = Counter(p for m in made for p in set(m[4]))
+    best = defaultdict(int)
+    for (x, _), n in counts.items():
+        best[x] = max(best[x], n)
+    return sorted(((*m[:4], len(m[4]), sum(counts[p] == best[p[0]] for p in m[4]), sum(counts[p] for p in m[4]), m[5]) for m in made), key=str)
+
+
+def odd_texts(n, seed=3):
+    rnd = random.Random(seed)
+    words = ["the", "of", "Straße", "naïve,", "1234567", "don't", "中文字", "😀😀", "x▁y", "<s>", "<|endoftext|>", "<0x0A>", "...", " ", " ", "\x85", "\t", "\n\n", "  ", "", "ﬁ", "é", "\x00", "​", "aaaaaaaaaaaaaaaaaa"]
+    return ["".join(rnd.choice(words) + rnd.choice([" ", " ", " ", "  ", "\n", "", " \n "]) for _ in range(rnd.randint(0, 25))) for _ in range(n)]
+
+
+@pytest.fixture(params=[2e-6, 0.02, 2.0])
+def share(request):
+    """All pieces broadcast; some; none."""
+    return request.param
+
+
+def test_against_a_plain_reading(spark, share):
+    texts = [*odd_texts(150), None, "", " ", "   ", "a ", " a", "plain words and more of them", "plain words and more of them", "▁"]
+    rows = list(enumerate(texts)) + [(3, "again and again")] * 3 + [(None, "no id"), (None, "no id either"), (None, None), (3, "again")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).selectExpr("*", "1 as n_a", "2 as key", "3 as doc", "4 as groups")
+    found = align.align_tokens(frame, share=share)
+    assert found.columns == ["doc_id", *align.SUMS, "groups"]
+    assert sorted(map(tuple, found.collect()), key=str) == plain(rows)
+    assert align.align_tokens(frame.limit(0)).count() == 0
+
+
+def test_whole_texts_where_tokens_may_cross(spark, monkeypatch):
+    rows = list(enumerate(odd_texts(40, 5)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(align.Tokenizers, "separable", False)
+    assert sorted(map(tuple, align.align_tokens(frame).collect()), key=str) == plain(rows)
+
+
+def test_files_allow_pieces():
+    assert TOOLS.separable and b"".join(TOOLS.bytes_a[i] for i in TOOLS.models[0].encode(" é\x00\n", add_special_tokens=False).ids) == " é\x00\n".encode()
+
+
+def test_query(spark, sf_dir):
+    import hashlib
+
+    from tidewell.llm import queries
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows = [r for r in rows if len(r[1] or "") < 4000]
+    whole = {r[0]: r for r in plain(rows)}
+    found = {r.doc_id: r for r in queries.op12_align(spark, sf_dir).collect()}
+    assert len(found) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    for i, r in whole.items():  # counts of pairs are of all documents; the rest is the text's own
+        got = found[i]
+        assert (got.n_a, got.n_b, got.n_groups, got.n_links) == r[1:5]
+        assert got.groups_sha256 == (hashlib.sha256(r[7].encode()).hexdigest() if r[7] else "")
+        assert got.count_sum >= r[6]

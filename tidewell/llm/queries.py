@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontaminate, fim, html_text, langid, lm, mixing, quality, simhash, topk, toxicity, url_rules
+from . import align, covertree, decontaminate, fim, html_text, langid, lm, mixing, quality, simhash, topk, toxicity, url_rules
 from .common import class_sample, is_held_out, read, written
 
 
@@ -110,6 +110,13 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are null, empty, or not given back by their tokens have zeros; rows that repeat count as often."""
+    aligned = align.align_tokens(read(spark, sf_dir, "documents"))
+    digest = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("")
+    return aligned.withColumn("groups", digest).withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors without a label or a finite, non-zero value link with nothing; rows that repeat are rows of their own."""
     return covertree.near_vectors(read(spark, sf_dir, "embeddings"))
@@ -133,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
     "op11_fim": op11_fim,
+    "op12_align": op12_align,
     "op13_near_vectors": op13_near_vectors,
     "pipeline": pipeline,
 }
