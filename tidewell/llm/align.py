@@ -104,7 +104,7 @@ def _loaded(a: str, b: str) -> Tokenizers:
 
 
 def _encoder(tokenizers: Tokenizers):
-    """A UDF of pieces, kept in Spark's partitioning: (ok, tokens of A, then of B)."""
+    """A UDF of pieces: (ok, tokens of A, then of B)."""
 
     paths = (tokenizers.a, tokenizers.b)
 
@@ -141,7 +141,8 @@ def align_pieces(pieces: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     links are ``pair_of`` A's and B's ids; groups is ``a1,a2|b1;a3|b2;``.
     """
     by = ["key", "hot"]
-    encoded = pieces.repartition("key").select(*by, _encoder(tokenizers)("piece").alias("x"))
+    # One shuffle, of arrays: all windows and groupings below are by the key and more.
+    encoded = pieces.select(*by, _encoder(tokenizers)("piece").alias("x")).repartition("key")
     tokens = encoded.select(*by, F.posexplode_outer("x.tokens")).select(*by, "pos", "col.*")
     so_far = Window.partitionBy(*by, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tokens = tokens.withColumn("end", F.sum("size").over(so_far))
