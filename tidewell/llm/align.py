@@ -34,7 +34,9 @@ from .common import checkpointed, discard, join_counted, written
 BOUNDARY = r"(?<=[^\s\p{Z}\p{C}\x{85}\x{2581}])(?= +[^ ])"
 
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-_TOKENS = "struct<ok:boolean,tokens:array<struct<side:int,id:int,size:int>>>"
+#: A token as one long: side (0 for A), id, bytes, from the highest bit down.
+_TOKENS = "array<long>"
+_ID, _SIZE = 31, 31
 
 
 @dataclass(frozen=True)
@@ -104,7 +106,7 @@ def _loaded(a: str, b: str) -> Tokenizers:
 
 
 def _encoder(tokenizers: Tokenizers):
-    """A UDF of pieces: (ok, tokens of A, then of B)."""
+    """A UDF of pieces: their tokens, A's before B's; none where these don't give the piece back."""
 
     paths = (tokenizers.a, tokenizers.b)
 
@@ -120,12 +122,11 @@ def _encoder(tokenizers: Tokenizers):
         for batch in batches:
             ok, ids_a, ids_b = tokenizers.encode(batch.to_pylist())
             n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids_a, ids_b))
-            side = np.repeat(np.tile([0, 1], len(ok)), np.ravel([n_a, n_b], "F")).astype(np.int32)
-            ids = np.fromiter(chain.from_iterable(chain.from_iterable(zip(ids_a, ids_b, strict=True))), np.int32, len(side))
+            side = np.repeat(np.tile([0, 1], len(ok)), np.ravel([n_a, n_b], "F"))
+            ids = np.fromiter(chain.from_iterable(chain.from_iterable(zip(ids_a, ids_b, strict=True))), np.int64, len(side))
             size = np.where(side == 0, sizes_a[np.where(side == 0, ids, 0)], sizes_b[np.where(side == 1, ids, 0)])
-            each = pa.StructArray.from_arrays([pa.array(side), pa.array(ids), pa.array(size)], ["side", "id", "size"])
             ends = pa.array(np.r_[0, np.cumsum(n_a + n_b)].astype(np.int32))
-            yield pa.StructArray.from_arrays([pa.array(ok), pa.ListArray.from_arrays(ends, each)], ["ok", "tokens"])
+            yield pa.ListArray.from_arrays(ends, pa.array(side << (_ID + _SIZE) | ids << _SIZE | size))
 
     return tokens
 
@@ -142,8 +143,10 @@ def align_pieces(pieces: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     """
     by = ["key", "hot"]
     # One shuffle, of arrays: all windows and groupings below are by the key and more.
-    encoded = pieces.select(*by, _encoder(tokenizers)("piece").alias("x")).repartition("key")
-    tokens = encoded.select(*by, F.posexplode_outer("x.tokens")).select(*by, "pos", "col.*")
+    encoded = pieces.select(*by, _encoder(tokenizers)("piece").alias("tokens")).repartition("key")
+    tokens = encoded.select(*by, F.posexplode_outer("tokens").alias("pos", "token"))
+    part = lambda down, bits: F.shiftright("token", down).bitwiseAND((1 << bits) - 1)
+    tokens = tokens.select(*by, "pos", part(_ID + _SIZE, 1).alias("side"), part(_SIZE, _ID).alias("id"), part(0, _SIZE).alias("size"))
     so_far = Window.partitionBy(*by, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tokens = tokens.withColumn("end", F.sum("size").over(so_far))
     # Both sides come of the same rows: their outer join by (key, end) is a grouping, at most a row of each side.
@@ -249,18 +252,18 @@ def align_tokens(
     counts = held.groupBy("pair").agg(F.sum("copies").alias("docs"))
     best = F.max("docs").over(Window.partitionBy(F.shiftright("pair", 31)))
     counts = counts.select("pair", "docs", (F.col("docs") == best).alias("best"))
-    linked = aligned.select("key", F.explode("links").alias("pair"))
+    linked = aligned.select("key", "hot", F.explode("links").alias("pair"))
     counts = checkpointed(counts.join(linked.groupBy("pair").agg(F.count("*").alias("n")), "pair"))
-    worth = join_counted(linked, counts, "pair", share=share).groupBy("key")
+    worth = join_counted(linked, counts, "pair", share=share).groupBy("key", "hot")
     worth = written(worth.agg(F.count_if("best").alias("n_best"), F.sum("docs").alias("count_sum")))
 
     # The documents' sums and groups, in the order of their pieces.
     zero = {"n_best": F.coalesce("n_best", F.lit(0)), "count_sum": F.coalesce("count_sum", F.lit(0))}
-    full = lambda part: part.drop("links").join(worth, "key", "left").withColumns(zero)
+    full = lambda part, worth: part.drop("links").join(worth.drop("hot"), "key", "left").withColumns(zero)
     own = [*(F.sum(c).alias(c) for c in SUMS), F.bool_and("ok").alias("ok")]
     text_of = F.collect_list(F.when(F.col("groups").isNotNull(), F.struct("pos", "groups"))).alias("parts")
-    common = placed(together).join(F.broadcast(full(hot)), "key", "left").groupBy("doc", "copies").agg(F.any_value("id").alias("id"), *own, text_of)
-    others = rare.join(full(rest), "key").groupBy("doc").agg(*own, text_of)
+    common = placed(together).join(F.broadcast(full(hot, F.broadcast(worth.where("hot")))), "key", "left").groupBy("doc", "copies").agg(F.any_value("id").alias("id"), *own, text_of)
+    others = rare.join(full(rest, worth.where("not hot")), "key").groupBy("doc").agg(*own, text_of)
     others = others.select("doc", *(F.col(c).alias(f"{c}2") for c in [*SUMS, "ok", "parts"]))
     both = common.join(others, "doc", "left")
     fine = F.coalesce("ok", F.lit(True)) & F.coalesce("ok2", F.lit(True))
