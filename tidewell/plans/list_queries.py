@@ -97,6 +97,40 @@ def Q08_page_inclusive(spark, sf_dir):
     return _ranked(_submissions(spark, sf_dir), ListSpec.parse(None, '["time_added", "ASC"]', "[20, 30]"), ADMIN, OBJECTS)
 
 
+_DEEP_PAGE = """
+WITH l AS (
+  SELECT (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS id, l_shipdate AS shipped, l_extendedprice AS price, l_partkey AS part,
+    count(*) OVER () * 9 // 10 AS start FROM lineitem
+), r AS (SELECT *, row_number() OVER (ORDER BY {order}, id) - 1 AS place FROM l)
+SELECT id, shipped, price, part FROM r WHERE place >= start AND place < start + {rows}
+"""
+
+
+def _lines(spark, sf_dir) -> tuple[Resource, int]:
+    """Line items, with an id of their whole key, and where the last tenth of them begins."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")).alias("id"),
+        F.col("l_shipdate").alias("shipped"),
+        F.col("l_extendedprice").alias("price"),
+        F.col("l_partkey").alias("part"),
+    )
+    return Resource("lines", lines), lines.count() * 9 // 10
+
+
+@REGISTRY.add(_DEEP_PAGE.format(order="price DESC", rows=50))
+def Q77_deep_page_half_open(spark, sf_dir):
+    """A page of 50 rows behind nine tenths of all, by price, falling; equal prices by id."""
+    resource, start = _lines(spark, sf_dir)
+    return list_rows(resource, ListSpec.parse(None, '["price", "DESC"]', f"[{start}, {start + 50}]"), ADMIN, CRUD)
+
+
+@REGISTRY.add(_DEEP_PAGE.format(order="shipped", rows=1001))
+def Q78_deep_page_inclusive(spark, sf_dir):
+    """A page of 1,001 rows behind nine tenths of all, by a date that many rows share."""
+    resource, start = _lines(spark, sf_dir)
+    return list_rows(resource, ListSpec.parse(None, '["shipped", "ASC"]', f"[{start}, {start + 1000}]"), ADMIN, OBJECTS)
+
+
 @REGISTRY.add("""
 SELECT event_id AS id, nullif(event_type, 'error') AS kind, row_number() OVER (ORDER BY nullif(event_type, 'error') NULLS LAST, event_id) AS rank
 FROM events WHERE user_id = 7 QUALIFY rank <= 500

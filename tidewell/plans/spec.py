@@ -15,8 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import paging
 from ..operators.security import Principal, visible
 
+#: Offsets from here on are located by counts; up to here the rows before a page are few enough to pass one task.
+DEEP = 10_000
+
 
 @dataclass(frozen=True)
 class Dialect:
@@ -117,14 +121,17 @@ def apply_filters(resource: Resource, df: DataFrame, spec: ListSpec, dialect: Di
     return df
 
 
-def order(df: DataFrame, spec: ListSpec, key: str) -> list[Column]:
+def order_by(df: DataFrame, spec: ListSpec, key: str) -> list[paging.By]:
     """The order asked for ("ASC", anything else falls), nulls as the largest value; ties by key."""
     if spec.sort is None:
-        return [F.col(key).asc()]
+        return [paging.By(key)]
     name, direction = spec.sort
     _check(df, name)
-    first = F.col(name).asc_nulls_last() if direction == "ASC" else F.col(name).desc_nulls_first()
-    return [first, F.col(key).asc()]
+    return [paging.By(name, direction != "ASC"), paging.By(key)]
+
+
+def order(df: DataFrame, spec: ListSpec, key: str) -> list[Column]:
+    return [by.column() for by in order_by(df, spec, key)]
 
 
 def matching(resource: Resource, spec: ListSpec, principal: Principal, dialect: Dialect) -> DataFrame:
@@ -135,15 +142,21 @@ def matching(resource: Resource, spec: ListSpec, principal: Principal, dialect:
 def list_rows(resource: Resource, spec: ListSpec, principal: Principal, dialect: Dialect) -> DataFrame:
     """One page of the matching rows, in order; only its rows pass through the last sort.
 
-    Where neither an order nor a page is asked for, rows come as they are."""
+    A page at ``DEEP`` or beyond is located by jobs that run before this returns. Where neither an order nor a
+    page is asked for, rows come as they are."""
     df = matching(resource, spec, principal, dialect)
     if spec.sort is None and spec.page is None:
         return df
-    df = df.orderBy(*order(df, spec, resource.key))
     if spec.page is None:
-        return df
+        return df.orderBy(*order(df, spec, resource.key))
     start, end = spec.page
-    return df.offset(start).limit(max(0, end - start + dialect.inclusive))
+    return page_of(df, order_by(df, spec, resource.key), start, max(0, end - start + dialect.inclusive))
+
+
+def page_of(df: DataFrame, by: list[paging.By], start: int, count: int) -> DataFrame:
+    if start >= DEEP and count:
+        return paging.page(df, by, start, count)
+    return df.orderBy(*(b.column() for b in by)).offset(start).limit(count)
 
 
 def count_rows(resource: Resource, spec: ListSpec, principal: Principal, dialect: Dialect) -> DataFrame:

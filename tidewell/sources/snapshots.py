@@ -55,11 +55,14 @@ def list_users(users: DataFrame, members: DataFrame, spec_filters: dict) -> Data
 
 def users_page(users: DataFrame, members: DataFrame, spec) -> DataFrame:
     """A page of ``list_users`` by user name, then id; a range includes its end and is taken once."""
+    from ..operators.paging import By
+    from ..plans.spec import page_of
+
     found = list_users(users, members, spec.filters)
     if spec.page is None:
         return found
     start, end = spec.page
-    return found.orderBy("username", "id").offset(start).limit(max(0, end - start + 1))
+    return page_of(found, [By("username"), By("id")], start, max(0, end - start + 1))
 
 
 def users_range(users: DataFrame, members: DataFrame, spec) -> DataFrame:
