@@ -69,16 +69,18 @@ def follow_uploads(events: DataFrame, timeout_seconds: int, delay: str = "10 sec
     """The same fold as a stream: a row with the new state whenever an object's events or its timer change it.
 
     The watermark, ``delay`` behind the latest event, drives the timer; late events within it are put in
-    order, and older ones than an object's state don't change its message.
+    order, and older ones than an object's state don't change its message. A finished or deleted upload is forgotten
+    as long after its last event as an open one expires. ``lifecycle`` has the notice too.
     """
     state_type = "message string, received long, size long, done boolean, deleted boolean, ts timestamp, seq long"
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = list(state.get) if state.exists else [None, None, None, False, False, None, None]
         if state.hasTimedOut:
-            now[0], now[4] = "Upload timed out", True
             state.remove()
-            yield _row(key[0], now)
+            if not now[3] and not now[4]:
+                now[0], now[4] = "Upload timed out", True
+                yield _row(key[0], now)
             return
         rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
         for r in rows.itertuples():
@@ -88,21 +90,20 @@ def follow_uploads(events: DataFrame, timeout_seconds: int, delay: str = "10 sec
             now[3] = now[3] or (r.kind in ("pre-finish", "post-finish") and not gone)
             now[4] = now[4] or gone
             if newest:
-                now[0] = _message(r)
+                now[0] = message_of(r)
                 now[1] = now[1] if pd.isna(r.offset) else int(r.offset)
                 now[2] = now[2] if pd.isna(r.size) else int(r.size)
                 now[5], now[6] = r.ts.to_pydatetime(), int(r.seq)
         state.update(tuple(now))
-        if not now[3] and not now[4]:
-            fire = int(pd.Timestamp(now[5]).timestamp() * 1000) + timeout_seconds * 1000
-            state.setTimeoutTimestamp(max(fire, state.getCurrentWatermarkMs() + 1))
+        fire = int(pd.Timestamp(now[5]).timestamp() * 1000) + timeout_seconds * 1000
+        state.setTimeoutTimestamp(max(fire, state.getCurrentWatermarkMs() + 1))
         yield _row(key[0], now)
 
     marked = events.where("object_id is not null").withWatermark("ts", delay)
     return marked.groupBy("object_id").applyInPandasWithState(follow, STATE, state_type, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def _message(r) -> str | None:
+def message_of(r) -> str | None:
     if r.kind != "post-receive":
         return _MESSAGES.get(r.kind)
     if pd.isna(r.size) or pd.isna(r.offset) or not r.size:
