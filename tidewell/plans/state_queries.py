@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.values import abandon_notice, elapsed_seconds
 from ..operators import mutate
+from ..session import shared_folder
+from ..sources.versions import VersionedTable
 from ..streaming import jobs, uploads as upload_streams
 from .registry import NOW, Registry, submissions, table, uploads
 
@@ -110,3 +112,22 @@ def Q62_clear_parent_and_add_column(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"))
     gone = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("id"))
     return mutate.add_column(mutate.clear_parent(customers, gone, "nation"), "fps", "double", 1.5)
+
+
+@REGISTRY.add("""
+SELECT o_orderkey AS id, CASE WHEN o_custkey = 7 THEN -7 ELSE o_custkey END AS owner, CASE WHEN o_custkey = 7 THEN 'moved' ELSE o_orderpriority END AS name,
+  o_orderstatus AS status, o_totalprice AS total, o_orderdate AS time_added FROM orders
+WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < -900)
+UNION ALL SELECT -o_orderkey, o_custkey, 'new', o_orderstatus, o_totalprice, o_orderdate FROM orders WHERE o_totalprice > 450000
+""")
+def Q79_copy_on_write(spark, sf_dir):
+    """Orders as a versioned table, clustered by owner, after an update, a deletion and an upsert; each rewrites only
+    the files that hold its keys."""
+    orders = submissions(spark, sf_dir)
+    held = VersionedTable.create(orders, shared_folder(spark), ["owner"], files=16)
+    held.update_where(F.col("owner") == 7, {"owner": F.lit(-7), "name": F.lit("moved")})
+    poor = table(spark, sf_dir, "customer").where("c_acctbal < -900").select(F.col("c_custkey").alias("owner"))
+    held.delete_keys(poor, "owner")
+    new = orders.where("total > 450000").select((-F.col("id")).alias("id"), "owner", F.lit("new").alias("name"), "status", "total", "time_added")
+    held.upsert(new, "id")
+    return held.read()

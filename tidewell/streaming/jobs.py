@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.dataflow import reconcile
 from ..operators.mutate import upsert
+from ..sources.versions import VersionedTable
 
 ACTIVE = ("Pending", "Running")
 
@@ -119,3 +120,42 @@ def upsert_stream(states: DataFrame, key: str, load: Callable[[], DataFrame], sa
         save(upsert(load(), last, key))
 
     return states.writeStream.outputMode("update").foreachBatch(each)
+
+
+def keep_reconciled_once(snapshots: DataFrame, table: VersionedTable, stream: str, key: str = "id") -> DataStreamWriter:
+    """``keep_reconciled`` into a versioned table: rows whose state doesn't change stay in their files, and a batch that
+    is run again changes nothing. ``stream`` names the stream in the table's ledger."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        if table.has(stream, batch_id):
+            return
+        complete = batch.where("succeeded").persist()
+        newest = complete.agg(F.max("taken")).first()[0]
+        changed = table.read().limit(0)
+        if newest is not None:
+            pods = complete.where((F.col("taken") == F.lit(newest)) & F.col("name").isNotNull())
+            held = table.read()
+            # Only a row that is marked now differs from before.
+            changed = reconcile(held.where("is_still_kubernetes_resource"), pods.select("name")).where("not is_still_kubernetes_resource")
+        table.upsert(changed, key, stream=stream, batch=batch_id)
+        complete.unpersist()
+
+    return snapshots.writeStream.outputMode("append").foreachBatch(each)
+
+
+def upsert_stream_once(states: DataFrame, key: str, table: VersionedTable, stream: str) -> DataStreamWriter:
+    """``upsert_stream`` into a versioned table, by the same ledger. A state older than the table's is left out, so
+    that batches may be dealt anew after a restart."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        if table.has(stream, batch_id):
+            return
+        rest = [c for c in batch.columns if c != key]
+        last = batch.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("last_ts", "last_seq")).alias("s")).select(key, "s.*")
+        at = F.struct("last_ts", "last_seq")
+        held = table.read().select(F.col(key).alias("__key"), at.alias("__at"))
+        joined = last.withColumn("__new", at).join(held, F.col(key) == F.col("__key"), "left")
+        newer = joined.where("__at is null or __new >= __at").drop("__key", "__at", "__new")
+        table.upsert(newer, key, stream=stream, batch=batch_id)
+
+    return states.writeStream.outputMode("update").foreachBatch(each)
