@@ -103,3 +103,13 @@ def test_packing():
     for x in (rng.integers(0, 2**63, 1000).astype(np.uint64), np.arange(7, dtype=np.uint64), np.array([2**64 - 1], np.uint64)):
         assert (lm.unpacked(lm.packed(x)) == x).all()
         assert (np.cumsum(lm.unpacked(lm.packed(np.diff(np.sort(x), prepend=np.uint64(0)))), dtype=np.uint64) == np.sort(x)).all()
+
+
+@pytest.mark.parametrize("buckets", [7, 8, 50, 256, 1024])
+def test_blocks_spread_over_buckets(buckets):
+    """Tasks' blocks, of which each has a few, come evenly to the buckets, powers of two too."""
+    numbers = [(task << 32) + i for task in range(40 * buckets // 10) for i in range(10)]
+    counts = [0] * buckets
+    for n in numbers:
+        counts[lm.bucket_of(n, buckets)] += 1
+    assert min(counts) > 0 and max(counts) < 2.2 * len(numbers) / buckets

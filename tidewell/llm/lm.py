@@ -111,6 +111,11 @@ class Automaton:
         return add(step), add(word), add((self.of_token > 0).astype(np.int64))
 
 
+def bucket_of(block: int, buckets: int) -> int:
+    """The bucket that a block's texts pass through. By a hash: a block's number is its task's times 2**32, plus a few."""
+    return xxhash.xxh64_intdigest(block.to_bytes(8, "little")) % buckets
+
+
 def packed(x: np.ndarray) -> bytes:
     """Numbers as compressed planes of their bytes."""
     planes = x.view(np.uint8).reshape(len(x), x.itemsize).T
@@ -206,7 +211,7 @@ def score_texts(
             spans = [(int(of[i]), packed(np.diff(grams.keys[i:j], prepend=np.uint64(0))), packed(counts[i:j])) for i, j in zip(edges, edges[1:], strict=False)]
             whole = _as_bytes(part.combine_chunks().to_batches()[0])
             lists = [[s[0] for s in spans], [block] * len(spans), [s[1] for s in spans], [s[2] for s in spans], [None] * len(spans)]
-            more = [block % buckets, block, None, None, whole]
+            more = [bucket_of(block, buckets), block, None, None, whole]
             yield pa.RecordBatch.from_arrays([pa.array([*x, y], f.type) for x, y, f in zip(lists, more, _EXCHANGED, strict=True)], schema=_EXCHANGED)
 
     def answer(table: pa.Table) -> pa.Table:
