@@ -139,3 +139,14 @@ def test_classes_lose_no_rule(spark):
     rows = [((i * i + 5, i * 7), [f"a{i % 2}", f"b{i % 2}", *(f"s{j}" for j in range(i % 2 * 40))], 1) for i in range(8)]
     found = {r.token: r["class"] for r in url_rules.token_classes(spark.createDataFrame(rows, "key struct<h0:long,h1:long>, tokens array<string>, n long"), 0.1).collect()}
     assert len(found) == 44 and (found["a0"], found["b0"], found["b1"], found["s39"]) == ("a0", "a0", "a1", "a1")
+
+
+def test_nested_folders(spark):
+    """Forty folders within each other: every one decides alone, so that none is combined with another."""
+    urls = [f"http://h{i % 5}.org/page/{i % 9}" for i in range(100)]
+    urls += ["http://x.net/es/" + "/".join(f"s{j}" for j in range(i)) for i in range(40)]
+    urls += ["http://q.org/a/s7/b", "http://q.org/a/b", "http://x.com/page/1"] + [f"http://x.com/page/{i}" for i in range(60)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    found = {r.url: (r.rule, r.verdict) for r in url_rules.judge_urls(pages).collect()}
+    assert found["http://q.org/a/s7/b"] == (None, "block") and found["http://q.org/a/b"] == (None, "allow")
+    assert found["http://x.net/es/s0/s1"] == ("net/es/", "block")

@@ -80,10 +80,22 @@ def as_classes(urls: DataFrame, classes: DataFrame) -> DataFrame:
 def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
     """(antecedent, anchor, support, confidence) of the rules for block in (tokens, blocked).
 
-    A combination is frequent if at least ``min_support`` of all URLs hold it: with m tokens in a URL
-    at most 2^m / min_support are, whatever the number of URLs.
+    A combination is frequent if at least ``min_support`` of all URLs hold it. Tokens of fewer blocked URLs
+    are in no rule, and those all of whose URLs are blocked are rules alone; with m others in a URL, at
+    most 2^m / min_support combinations are frequent, whatever the number of URLs.
     """
-    marked = labelled.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(_BLOCKED)))).otherwise(F.col("tokens")).alias("items"))
+    total = labelled.count()
+    counts = labelled.select(F.explode("tokens").alias("token"), "blocked").groupBy("token")
+    counts = counts.agg(F.count("*").alias("freq"), F.count_if("blocked").alias("n")).where((F.col("n") >= min_support * total) & (F.col("n") > 0))
+    counts = checkpointed(counts)
+    # A token that decides alone makes all other rules that hold it needless. As many tokens as below are left.
+    sure = counts.where("n = freq")
+    sure = sure.select(F.array("token").alias("antecedent"), F.col("token").alias("anchor"), (F.col("n") / total).alias("support"), F.lit(1.0).alias("confidence"))
+    left = [r.token for r in counts.where("n < freq").collect()]
+    if not left:
+        return sure
+    items = F.array_intersect("tokens", F.array(*map(F.lit, left)))
+    marked = labelled.select(F.when(F.col("blocked"), F.concat(items, F.array(F.lit(_BLOCKED)))).otherwise(items).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(marked)
     frequent = checkpointed(model.freqItemsets)
     rules = checkpointed(
@@ -102,7 +114,7 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float) -
     tokens = frequent.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     by_token = kept.withColumn("token", F.explode("antecedent")).join(tokens, "token")
     anchors = by_token.groupBy("antecedent", "support", "confidence").agg(F.min(F.struct("freq", "token")).alias("rarest"))
-    return anchors.select("antecedent", F.col("rarest.token").alias("anchor"), "support", "confidence")
+    return sure.unionByName(anchors.select("antecedent", F.col("rarest.token").alias("anchor"), "support", "confidence"))
 
 
 def judge_urls(
