@@ -119,5 +119,5 @@ def pods_of(pods: DataFrame, submissions: DataFrame, key: str = "id", name: str
 
 def containing(df: DataFrame, words: DataFrame, text: str, word: str) -> DataFrame:
     """Pairs of rows and words that a text holds literally; for word lists small enough to broadcast, which
-    Spark decides by their size."""
+    Spark decides by their size. ``substrings.texts_with_words`` is for two large sides."""
     return df.join(words, F.contains(F.col(text), F.col(word)))

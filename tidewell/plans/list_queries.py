@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.nest import attach_parent
 from ..operators.security import Principal, find_one, masked
+from ..session import shared_folder
+from ..sources.sketches import like_scan, sketch
 from .registry import Registry, inputs, submissions, table
 from .spec import CRUD, OBJECTS, SUBMISSIONS, ListSpec, Resource, content_range, count_rows, list_rows, order
 
@@ -179,3 +181,16 @@ def Q59_probe(spark, sf_dir):
     from ..sources.tables import probe
 
     return probe(spark)
+
+
+@REGISTRY.add(r"""
+SELECT doc_id, lang, source, length(text) AS n FROM documents
+WHERE text LIKE '%rning%al%' OR text LIKE '%_icense%' OR text LIKE '%@%.com%' OR text LIKE '%zq\_xj%' ESCAPE '\'
+""")
+def Q81_like_by_sketches(spark, sf_dir):
+    """Documents like one of several patterns, from files whose sketches don't rule all of them out."""
+    path = f"{shared_folder(spark)}/documents"
+    table(spark, sf_dir, "documents").repartitionByRange(24, "doc_id").write.parquet(path)
+    sketches = sketch(spark.read.parquet(path), "text")
+    found = like_scan(spark, path, sketches, "text", ["%rning%al%", "%_icense%", "%@%.com%", "%zq\\_xj%"])
+    return found.select("doc_id", "lang", "source", F.length("text").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import constraints, dataflow, nest
+from ..operators.substrings import texts_with_words
 from .registry import Registry, inputs, submissions, table
 
 REGISTRY = Registry()
@@ -244,3 +245,16 @@ def Q57_two_level_nest(spark, sf_dir):
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
     found = {"n_customers": F.count(F.lit(1)), "n_orders": F.sum("n_orders")}
     return nest.children_summary(nations, counted, "nation", "id", found, list(found))
+
+
+@REGISTRY.add(r"""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents),
+n AS (SELECT p_partkey AS id, p_name AS name FROM part)
+SELECT w.word, count(*) AS parts, min(n.id) AS first_part, max(n.id) AS last_part FROM w JOIN n ON contains(n.name, w.word) GROUP BY w.word
+""")
+def Q80_words_in_names(spark, sf_dir):
+    """The documents' words that part names hold anywhere, with the number of parts; both sides grow with their tables."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    words = table(spark, sf_dir, "documents").select(F.explode(found).alias("word"))
+    pairs = texts_with_words(table(spark, sf_dir, "part"), words, "p_partkey", "p_name", "word")
+    return pairs.groupBy("word").agg(F.count("*").alias("parts"), F.min("p_partkey").alias("first_part"), F.max("p_partkey").alias("last_part"))
