@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import geo, text, values
 from ..operators.mutate import change_type, move_column, rename_columns, replace_column
 from ..operators.security import has_any_role
+from ..operators import spatial
+from ..session import shared_folder
 from .registry import NOW, Registry, table
 
 REGISTRY = Registry()
@@ -208,3 +210,21 @@ def Q76_move_and_replace_columns(spark, sf_dir):
     renamed = rename_columns(orders, {"o_orderkey": "id", "o_custkey": "owner"})
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
     return move_column(customers, replace_column(renamed, "o_orderstatus", "parts", "int", 0), "segment", "id", "owner")[1]
+
+
+_LINES = _CORNERS.replace("embedding[3]::DOUBLE * 90", "(embedding[1] + embedding[3] / 8)::DOUBLE * 90").replace("embedding[4]::DOUBLE * 180", "(embedding[2] + embedding[4] / 8)::DOUBLE * 180")
+
+
+@REGISTRY.add(_LINES + """
+SELECT vec_id, lat_start, lon_start, lat_end, lon_end FROM c
+WHERE greatest(lat_start, lat_end) >= 2 AND least(lat_start, lat_end) <= 9.5 AND greatest(lon_start, lon_end) >= -20 AND least(lon_start, lon_end) <= 0
+""")
+def Q82_lines_in_box(spark, sf_dir):
+    """Short lines from a table that is laid out along a curve, as far as they meet a box."""
+    of = lambda i: F.element_at("embedding", i)
+    step = lambda x, scale: F.rint(x.cast("double") * scale * 64) / 64
+    ends = {"lat_start": step(of(1), 90), "lon_start": step(of(2), 180), "lat_end": step(of(1) + of(3) / 8, 90), "lon_end": step(of(2) + of(4) / 8, 180)}
+    lines = table(spark, sf_dir, "embeddings").select("vec_id", *(v.alias(k) for k, v in ends.items()))
+    path = f"{shared_folder(spark)}/lines"
+    spatial.replace_lines(spatial.with_curve(lines.withColumn("geom", geo.line_wkb(*ends))), path, 16)
+    return spatial.lines_in_box(spark.read.parquet(path), (2.0, 9.5, -20.0, 0.0)).select("vec_id", *ends)
