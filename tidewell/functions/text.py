@@ -70,3 +70,14 @@ def is_uuid(text: Column) -> Column:
 def allowed_file(filename: Column, kinds: tuple[str, ...]) -> Column:
     """Whether the extension, whatever its case, is in the list."""
     return F.lower(F.substring_index(filename, ".", -1)).isin(*kinds)
+
+
+def name_id(namespace: str, *parts: Column) -> Column:
+    """A name-based id (version 5) of a namespace's id and a name, the parts joined by ``/``: the same wherever and
+    whenever it is made, so that a task that is run again makes no second one. Null if a part is."""
+    name = F.concat(*(x for i, p in enumerate(parts) for x in ((F.lit("/"), p.cast("string")) if i else (p.cast("string"),))))
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), name.cast("binary")))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    third, fourth = F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3))
+    made = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), third, fourth, F.substring(h, 21, 12))
+    return F.when(name.isNotNull(), made)

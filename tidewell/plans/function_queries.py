@@ -228,3 +228,13 @@ def Q82_lines_in_box(spark, sf_dir):
     path = f"{shared_folder(spark)}/lines"
     spatial.replace_lines(spatial.with_curve(lines.withColumn("geom", geo.line_wkb(*ends))), path, 16)
     return spatial.lines_in_box(spark.read.parquet(path), (2.0, 9.5, -20.0, 0.0)).select("vec_id", *ends)
+
+
+@REGISTRY.add("""
+WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || concat(source, '/', doc_id)::BLOB) AS h FROM documents)
+SELECT doc_id, concat(h[1:8], '-', h[9:12], '-5', h[14:16], '-', translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab'), h[18:20], '-', h[21:32]) AS id FROM h
+""")
+def Q84_name_ids(spark, sf_dir):
+    """Name-based ids of documents, by source and number."""
+    namespace = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+    return table(spark, sf_dir, "documents").select("doc_id", text.name_id(namespace, F.col("source"), F.col("doc_id")).alias("id"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import constraints, dataflow, nest
 from ..operators.substrings import texts_with_words
+from ..session import shared_folder
+from ..sources.keys import Keys
 from .registry import Registry, inputs, submissions, table
 
 REGISTRY = Registry()
@@ -258,3 +262,17 @@ def Q80_words_in_names(spark, sf_dir):
     words = table(spark, sf_dir, "documents").select(F.explode(found).alias("word"))
     pairs = texts_with_words(table(spark, sf_dir, "part"), words, "p_partkey", "p_name", "word")
     return pairs.groupBy("word").agg(F.count("*").alias("parts"), F.min("p_partkey").alias("first_part"), F.max("p_partkey").alias("last_part"))
+
+
+@REGISTRY.add("""
+WITH b AS (SELECT l_orderkey, l_linenumber, count(*) AS occurrences FROM lineitem WHERE l_quantity > 40 GROUP BY ALL),
+e AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity <= 40)
+SELECT b.l_orderkey, b.l_linenumber, b.occurrences, e.l_orderkey IS NOT NULL AS stored FROM b LEFT JOIN e USING (l_orderkey, l_linenumber)
+WHERE e.l_orderkey IS NOT NULL OR b.occurrences > 1
+""")
+def Q83_insert_breaks_keys(spark, sf_dir):
+    """Line items of large quantity as a batch, against the keys of all others."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    keys = ["l_orderkey", "l_linenumber"]
+    stored = Keys.write(lines.where("l_quantity <= 40"), f"line_keys_{uuid.uuid4().hex}", keys, buckets=16, path=shared_folder(spark))
+    return stored.breaks(lines.where("l_quantity > 40").select(*keys))
