@@ -1,0 +1,101 @@
+import datetime as dt
+import json
+import os
+
+import pytest
+
+from tidewell.sources import objects
+from tidewell.sources.paged import PagedSnapshots
+from tidewell.sources.versions import VersionedTable
+from tidewell.streaming import jobs
+
+
+@pytest.fixture(scope="module")
+def store(tmp_path_factory):
+    """20,000 keys below several prefixes, of different depths."""
+    root = tmp_path_factory.mktemp("store")
+    keys = [f"p/inputs/{i % 97}/{i}.bin" for i in range(12_000)] + [f"p/outputs/{i % 11}/{i % 7}/deep/{i}" for i in range(5000)]
+    keys += [f"p/in{i}.txt" for i in range(500)] + [f"q/{i}" for i in range(2400)] + ["p/_hidden/.x"] + [f"top{i}" for i in range(99)]
+    for folder in {os.path.dirname(k) for k in keys}:
+        os.makedirs(root / folder, exist_ok=True)
+    for k in keys:
+        (root / k).write_bytes(b"x" * (len(k) % 5))
+    return str(root), keys
+
+
+@pytest.mark.parametrize("prefix", ["", "p/", "p/in", "p/inputs/1", "p/outputs/3/", "q", "q/1", "top", "p/_h", "nothing/here", "zzz"])
+def test_listing_is_complete_and_bounded(spark, store, prefix):
+    root, keys = store
+    found = objects.walk(spark, root, prefix).collect()
+    assert sorted(r.key for r in found if not r.is_folder) == sorted(k for k in keys if k.startswith(prefix))
+    assert all(r.key.startswith(prefix) for r in found)  # folders without the prefix were not even entered
+    assert {r.key: r["size"] for r in found if not r.is_folder} == {k: len(k) % 5 for k in keys if k.startswith(prefix)}
+
+
+def test_levels_are_listed_in_tasks(spark, store):
+    root, keys = store
+    folders = [r for r in objects.walk(spark, root, "p/inputs/", tasks=8).collect() if r.is_folder]
+    assert len(folders) == 97 and {r.level for r in folders} == {0}
+    listing = objects.list_objects(spark, root, "p/inputs/9")
+    assert listing.columns == ["key", "size", "last_modified"] and listing.where("last_modified is null").count() == 0
+
+
+def put(root, snapshot, pages, lost=(), done=True):
+    folder = f"{root}/{snapshot:06d}"
+    os.makedirs(folder)
+    for i, names in enumerate(pages):
+        if i not in lost:
+            lines = [json.dumps({"metadata": {"name": n}, "status": {"phase": "Running", "startTime": "2024"}}) for n in names]
+            with open(f"{folder}/page-{i}.json", "w") as f:
+                f.write("\n".join(lines))
+    if done:
+        with open(f"{folder}/done.json", "w") as f:
+            json.dump({"pages": len(pages), "taken": f"2024-01-01T00:00:{snapshot:02d}+00:00"}, f)
+
+
+@pytest.fixture()
+def source(spark):
+    key = "spark.sql.python.filterPushdown.enabled"
+    spark.conf.set(key, "true")
+    spark.dataSource.register(PagedSnapshots)
+    yield lambda path: spark.read.format("paged_snapshots").option("path", str(path)).load()
+    spark.conf.unset(key)
+
+
+def test_batch_pages_filters_and_lost_pages(spark, source, tmp_path):
+    assert source(tmp_path).count() == 0
+    put(tmp_path, 1, [["a", "b"], ["c"]])
+    put(tmp_path, 2, [["a"], ["d"], []], lost=[1])
+    put(tmp_path, 3, [["x"]], done=False)
+    put(tmp_path, 4, [["y"]], lost=[0])
+    rows = [(r.snapshot, r.succeeded, r.name) for r in source(tmp_path).collect()]
+    assert sorted(rows, key=str) == sorted([(1, True, "a"), (1, True, "b"), (1, True, "c"), (2, False, "a"), (2, False, None), (4, False, None)], key=str)
+    first = source(tmp_path).where("snapshot = 1 and name <> 'b'")
+    assert first.rdd.getNumPartitions() == 2 and {r.name for r in first.collect()} == {"a", "c"}
+    assert source(tmp_path).where("snapshot > 1 and snapshot <= 2 and snapshot in (2, 9)").count() == 2
+    assert {r.taken for r in first.collect()} == {dt.datetime(2024, 1, 1, 0, 0, 1)}
+
+
+def test_stream_reconciles_only_with_whole_snapshots(spark, source, tmp_path):
+    statuses = spark.createDataFrame(
+        [(str(i), f"job-{i}", "Running", True, True) for i in range(4)],
+        "id string, kubernetes_pod_name string, status string, is_running boolean, is_still_kubernetes_resource boolean",
+    )
+    table = VersionedTable.create(statuses, f"{tmp_path}/t", ["id"], files=2)
+    os.mkdir(f"{tmp_path}/s")
+
+    def run():
+        stream = spark.readStream.format("paged_snapshots").option("path", f"{tmp_path}/s").load().select("taken", "succeeded", "name")
+        jobs.keep_reconciled_once(stream, table, "pods").option("checkpointLocation", f"{tmp_path}/c").start().processAllAvailable()
+        for query in spark.streams.active:
+            query.stop()
+        return {r.id for r in table.read().where("status = 'Deleted'").collect()}
+
+    put(f"{tmp_path}/s", 1, [[f"job-{i}-0-0" for i in range(4)]])
+    assert run() == set()
+    put(f"{tmp_path}/s", 2, [["job-0-0-0"], ["job-1-0-0"]], lost=[1])  # what is lost isn't gone
+    assert run() == set()
+    put(f"{tmp_path}/s", 3, [["job-0-0-0"], ["job-1-0-0", "job-3-0-0"]])
+    assert run() == {"2"}
+    version = table.version().number
+    assert run() == {"2"} and table.version().number == version  # nothing is read twice
