@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import job_name
 from ..operators import shapes
-from ..operators.security import Principal, find_one
-from ..sources.snapshots import users_page, users_range
+from ..operators.nest import attach_parent
+from ..operators.security import Principal, find_one, roles_of_token
+from ..sources.objects import file_outputs
+from ..sources.snapshots import directory_users, job_states, list_users, users_page, users_range
 from .registry import Registry, submissions, table
 from .spec import CRUD, SUBMISSIONS, ListSpec, Resource, list_rows
 
@@ -141,3 +144,90 @@ SELECT 'job-7' AS kubernetes_pod_name, props AS logs FROM events WHERE user_id =
 """)
 def Q70_log_by_pod(spark, sf_dir):
     return shapes.job_log(_statuses(spark, sf_dir), "job-7")
+
+
+@REGISTRY.add("""
+WITH o AS (SELECT o_orderkey::VARCHAR AS id, o_custkey AS owner, o_orderpriority AS name FROM orders)
+SELECT id, owner, name FROM o WHERE id = '77' UNION ALL SELECT id, owner, name FROM o WHERE id IN ('5', '77', '78') AND name LIKE '%H%'
+""")
+def Q85_inferred_exact_fields(spark, sf_dir):
+    """An id that the schema marks as one matches whole, alone and in a list; other texts match in part."""
+    orders = submissions(spark, sf_dir).select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "owner", "name")
+    resource = Resource("submissions", orders.withMetadata("id", {"uuid": True}))
+    one = list_rows(resource, ListSpec.parse('{"id": "77"}'), ADMIN, CRUD)
+    return one.unionByName(list_rows(resource, ListSpec.parse('{"id": ["5", "77", "78"], "name": "H"}'), ADMIN, CRUD))
+
+
+@REGISTRY.add("""
+SELECT c_custkey AS id, c_name AS username, CASE WHEN c_nationkey % 3 = 0 THEN 'DEFAULT' ELSE upper(c_mktsegment) END AS login_method,
+  CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN c_mktsegment = 'BUILDING' END AS is_admin,
+  CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN true END AS is_user FROM customer
+""")
+def Q86_directory_users(spark, sf_dir):
+    """Users with how they log in and what they may; without a role both are unknown."""
+    users, members = _users(spark, sf_dir)
+    more = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lower("c_mktsegment").alias("method"), "c_nationkey")
+    attributes = F.when(F.col("c_nationkey") % 3 != 0, F.create_map(F.lit("login-method"), F.array("method")))
+    found = directory_users(users.join(more, "id").select("id", "username", attributes.alias("attributes")), members)
+    return found.select("id", "username", "login_method", "is_admin", "is_user")
+
+
+@REGISTRY.add("""
+SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat(lower(c_mktsegment), CASE WHEN c_nationkey = 7 THEN ',admin' ELSE '' END) END AS realm_roles,
+  CASE WHEN c_custkey % 5 = 0 THEN 'viewer' ELSE '' END AS client_roles, c_custkey % 3 <> 0 AND c_nationkey = 7 AS is_admin FROM customer
+""")
+def Q87_token_roles(spark, sf_dir):
+    """Roles out of token payloads, empty where a payload has none."""
+    segment, admin = F.lower("c_mktsegment"), F.when(F.col("c_nationkey") == 7, F.array(F.lit("admin"))).otherwise(F.array().cast("array<string>"))
+    payload = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"),
+        F.when(F.col("c_custkey") % 3 != 0, F.struct(F.concat(F.array(segment), admin).alias("roles"))).alias("realm_access"),
+        F.when(F.col("c_custkey") % 5 == 0, F.struct(F.array(F.lit("viewer")).alias("roles"))).alias("client_access"),
+    )
+    shown = roles_of_token(payload)
+    return shown.select("id", F.array_join("realm_roles", ",").alias("realm_roles"), F.array_join("client_roles", ",").alias("client_roles"), "is_admin")
+
+
+@REGISTRY.add("""
+SELECT l_partkey AS input_object_id, l_orderkey AS submission_id, l_linenumber AS processing_order, o_orderstatus AS status, o_custkey AS owner
+FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 10 <> 0) ON l_orderkey = o_orderkey
+""")
+def Q88_links_with_submissions(spark, sf_dir):
+    """Each link with its submission, where that is there."""
+    there = submissions(spark, sf_dir).where("id % 10 <> 0")
+    linked = attach_parent(_links(spark, sf_dir), there, "submission_id", "id", "submission")
+    return linked.select("input_object_id", "submission_id", "processing_order", F.col("submission.status").alias("status"), F.col("submission.owner").alias("owner"))
+
+
+@REGISTRY.add("SELECT c_custkey AS id, c_name AS username FROM customer WHERE c_custkey IN (3, 8, 41, 99999999)")
+def Q89_users_by_ids(spark, sf_dir):
+    return list_users(*_users(spark, sf_dir), {"id": [3, 8, 41, 99_999_999]})
+
+
+@REGISTRY.add("SELECT o_orderkey AS id, concat('job-', o_orderkey) AS stem, 5::INT AS digits FROM orders")
+def Q90_job_names(spark, sf_dir):
+    """Names of jobs: what stays of them without their random digits, and how many these are."""
+    named = submissions(spark, sf_dir).select("id", job_name("job", F.col("id").cast("string"), seed=1).alias("name"))
+    return named.select("id", F.regexp_replace("name", r"-\d+$", "").alias("stem"), F.length(F.regexp_extract("name", r"-(\d+)$", 1)).alias("digits"))
+
+
+@REGISTRY.add("""
+SELECT concat(doc_id, '.json') AS filename, n_chars AS size_bytes, concat('https://store/files/', lang, '/', doc_id, '.json') AS url
+FROM documents WHERE lang = 'en'
+""")
+def Q91_file_outputs(spark, sf_dir):
+    """A listing's objects as a submission's outputs."""
+    documents = table(spark, sf_dir, "documents").where("lang = 'en'")
+    key = F.concat(F.lit("p/outputs/en/"), F.col("doc_id").cast("string"), F.lit(".json"))
+    listing = documents.select(key.alias("key"), F.col("n_chars").alias("size"), F.lit(None).cast("timestamp").alias("last_modified"))
+    return file_outputs(listing, "https://store/files", "en").drop("last_modified")
+
+
+@REGISTRY.add("""
+SELECT concat('job-', user_id, '-0-', event_id) AS job_id, upper(event_type[1:1]) || event_type[2:] AS status, ts::VARCHAR AS time_started FROM events
+""")
+def Q92_job_states(spark, sf_dir):
+    """Events as pods of a cluster, as the states of their jobs."""
+    events = table(spark, sf_dir, "events")
+    name = F.concat_ws("-", F.lit("job"), F.col("user_id").cast("string"), F.lit("0"), F.col("event_id").cast("string"))
+    return job_states(events.select(name.alias("name"), F.initcap("event_type").alias("phase"), F.col("ts").cast("string").alias("start_time")))
