@@ -120,3 +120,20 @@ def test_a_long_item_in_many_blocks(spark):
     for size in (100, 10**6):
         found = {r.doc_id: (r.n_hit, r.items, [list(x) for x in r.spans]) for r in find_contamination(docs, items, block_words=size).collect()}
         assert found == {1: (180, ["long"], [[1, 181]]), 2: (0, [], []), 3: (3, ["other"], [[1, 4]]), 4: (0, [], [])}
+
+
+def test_many_blocks_leave_no_copy_of_the_corpus(spark):
+    from pathlib import Path
+
+    from tidewell.llm.common import _shared_folder, checkpointed
+
+    checkpointed(spark.range(1))
+    items = [(str(i), " ".join(f"w{i}_{j}" for j in range(12))) for i in range(10)]
+    docs = spark.createDataFrame([(i, f"text {i} " + items[i % 40][1] if i % 40 < 10 else f"no item in {i} " * 50) for i in range(400)], "doc_id long, text string")
+    held = lambda: {p: p.stat().st_size for p in Path(_shared_folder(spark).removeprefix("file:")).rglob("*.parquet")}
+    before = held()
+    found = find_contamination(docs, spark.createDataFrame(items, "item_id string, text string"), block_words=12)
+    assert {r.doc_id: r.items for r in found.where("n_hit > 0").collect()} == {i: [str(i % 40)] for i in range(400) if i % 40 < 10}
+    new = [p for p in held() if p not in before]
+    assert new and all("text" not in spark.read.parquet(str(p)).columns for p in new)
+    assert {c for p in new for c in spark.read.parquet(str(p)).columns} == {"mark", "items", "spans"}

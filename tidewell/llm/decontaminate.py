@@ -18,6 +18,7 @@ all documents share nor one long document makes a hot task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, annotate, checkpointed
+from .common import alnum_words, annotate, discard, distinct_columns, written
 
 #: Words of a piece of an item, and bytes of pieces that the driver takes from a task at once.
 _PIECE, _FETCH = 4096, 8 << 20
@@ -177,6 +178,7 @@ def find_contamination(
     window: int = 10,
     k: int = 5,
     block_words: int = 2_000_000,
+    hot_rows: int = 200_000,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Adds to each document n_words, n_hit, items (ids as strings, sorted) and spans.
@@ -192,22 +194,38 @@ def find_contamination(
     source = benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).cast("binary").alias("text"))
     length = max(window, min(_PIECE, block_words))
     blocks = _blocks(_pieces(source, window, length), block_words)
-    out, block, first = documents, next(blocks), True
+    block, after = next(blocks), next(blocks, None)
+    spark = documents.sparkSession
+    indexed = lambda block: spark.sparkContext.broadcast(BlockIndex(sorted(block, key=lambda x: (x[0] is None, x)), window, k))
+    if after is None:
+        return _scan(documents, indexed(block), text, True, keep)
+    # What a text holds is its own, so that copies are one. A pass yields the texts that hold something of its block.
+    mark = F.struct(*(F.xxhash64(F.lit(i), F.col(text)).alias(f"h{i}") for i in (0, 1)))
+    texts, parts = documents.select(mark.alias("mark"), F.col(text).alias("text")), []
     while block is not None:
-        after = next(blocks, None)
-        items = sorted(block, key=lambda x: (x[0] is None, x))
-        index = documents.sparkSession.sparkContext.broadcast(BlockIndex(items, window, k))
-        out = _scan(out, index, text, first, keep if after is None else None)
-        if after is not None:
-            out = checkpointed(out)  # so that one block's index is held at a time
-            index.destroy()
-        block, first = after, False
-    return out
+        index = indexed(block)
+        found = _scan(texts, index, "text", True, ["mark"]).where("n_hit > 0").groupBy("mark")
+        parts.append(written(found.agg(F.any_value("items").alias("items"), F.any_value("spans").alias("spans"))))
+        index.destroy()  # so that one block's index is held at a time
+        block, after = after, next(blocks, None)
+    both = reduce(DataFrame.unionByName, parts).groupBy("mark")
+    both = written(both.agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans")))
+    for part in parts:
+        discard(part)
+    # Where they are few, documents stay where they are; else they are shuffled once.
+    met = F.broadcast(both) if both.count() <= hot_rows else both
+    names = distinct_columns(documents, [f.name for f in FIELDS])
+    own = [c for c in names if keep is None or c in keep]
+    marked = documents.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("own"), mark.alias("mark"), F.col(text).alias("text"))
+    empty = {f.name: F.coalesce(F.col(f.name), F.array().cast(f.dataType)) for f in FIELDS[2:]}
+    joined = marked.join(met, "mark", "left").withColumns(empty)
+    out = _scan(joined, indexed([]), "text", False, ["own"])
+    return out.select(*(F.col("own")[c].alias(c) for c in own), *(f.name for f in FIELDS))
 
 
 def _scan(documents: DataFrame, index, text: str, first: bool, keep: list[str] | None) -> DataFrame:
-    """One pass over the documents; after the first, what earlier blocks found is carried on."""
-    before = [] if first else [f.name for f in FIELDS]
+    """One pass over the documents; where it isn't the ``first``, what was found before, as items and spans, is added."""
+    before = [] if first else ["items", "spans"]
 
     def rows():
         block = index.value
