@@ -204,7 +204,7 @@ def test_wide_groups_against_all_pairs(spark):
             own = np.unique(np.r_[keep, rng.integers(10_000, 10**6, rng.integers(0, 14))]).astype(np.uint64)
             sets[group + i] = set(own.tolist())
             data.append((group, group + i, [0, 0], own.tobytes()))
-    frame = spark.createDataFrame(data, "group long, node long, fps array<long>, shingles binary").repartition(5)
+    frame = spark.createDataFrame(data, "group long, node long, fps array<long>, text binary").repartition(5)
 
     def reached(links):
         label = {i: i for i in sets}
@@ -216,7 +216,7 @@ def test_wide_groups_against_all_pairs(spark):
     alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
     expected = reached([(i, j) for i in sets for j in sets if i < j and j - i < 500 and alike(i, j)])
     for rows in (1000, 20, 7):
-        links = [(r.a, r.b) for r in verify.similar_pairs(frame, 0.8, 1.0, rows).collect()]
+        links = [(r.a, r.b) for r in verify.similar_pairs(frame, lambda x: np.frombuffer(x, np.uint64), 0.8, 1.0, rows).collect()]
         assert all(alike(a, b) for a, b in links)
         assert reached(links) == expected
 
@@ -227,3 +227,17 @@ def test_a_hub_of_near_copies(spark):
     docs = spark.range(6000).selectExpr("id as doc_id", f"concat('{common} x', id) as text").repartition(8)
     found = simhash.similar_documents(docs, shard_rows=400, block_rows=300)
     assert [r.component_id for r in found.select("component_id").distinct().collect()] == [0]
+
+
+@pytest.mark.parametrize("similarity,least", [(0.8, 0.9), (0.85, 0.98), (0.9, 0.995)])
+def test_fingerprints_bring_pairs_together(similarity, least):
+    """How many pairs meet by the bounds of halves and whole fingerprints alone, however small the shards are."""
+    rng = np.random.default_rng(5)
+    hashes = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    met = 0
+    for _ in range(400):
+        one, more = hashes(300), hashes(round(300 / similarity) - 300)
+        x = np.bitwise_xor(*(simhash.fingerprints(np.unique(s), 10).view(np.uint64) for s in (one, np.r_[one, more])))
+        halves = np.bitwise_count(x.view(np.uint32)).reshape(-1, 2).min(1)
+        met += bool(((halves <= 2) & (np.bitwise_count(x) <= 13)).any())
+    assert met >= least * 400

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, checkpointed, join_counted, space_words, written
+from .common import annotate, checkpointed, join_counted, space_words
 from .components import connected_components
 from .verify import similar_pairs
 
@@ -322,13 +322,8 @@ def similar_documents(
     meant = checkpointed(reached.withColumnRenamed("root", "group").join(nodes.select("node", "least", "fps"), "node"))
     # Where they are few, documents stay where they are; else they are shuffled once.
     near = F.broadcast(meant) if meant.count() <= hot_rows else meant
-    texts = near.join(documents.select(F.col(id_col).alias("least"), F.col(text).alias("__text")), "least")
-
-    def hashes():
-        return lambda texts: [[shingle_hashes(x, shingle).tobytes() for x in texts]]
-
-    members = annotate(texts, hashes, [T.StructField("shingles", T.BinaryType())], "__text", ["group", "node", "fps"])
-    links = similar_pairs(written(members), similarity, apart, block_rows)
+    texts = near.join(documents.select(F.col(id_col).alias("least"), F.col(text).cast("binary").alias("text")), "least")
+    links = similar_pairs(texts.select("group", "node", "fps", "text"), partial(shingle_hashes, shingle=shingle), similarity, apart, block_rows, meant)
     roots = connected_components(links)
     linked = checkpointed(nodes.join(roots, "node").select("node", "least", "n", "root"))
     groups = checkpointed(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints")))
