@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, discard, join_counted, written
+from .common import discard, join_counted, written
 
 #: A visible character (no white space of any kind, no control character, no U+2581) before spaces and more text.
 BOUNDARY = r"(?<=[^\s\p{Z}\p{C}\x{85}\x{2581}])(?= +[^ ])"
@@ -223,24 +223,26 @@ def align_tokens(
     while True:
         key = F.xxhash64("piece", F.lit(seed)).alias("key")
         pieces = docs.select(F.explode(cut).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
-        pieces = written(pieces.select(key, "piece", "n"))
+        pieces = written(pieces.select(key, "piece", "n"), "zstd")
         if _distinct(pieces, "key"):
             break
         discard(pieces)
         seed += 1
     total = pieces.agg(F.sum("n")).first()[0] or 0
     is_hot = F.col("n") > share * total * F.ceil(F.octet_length("piece") / 16)
-    aligned = written(align_pieces(pieces.select("key", "piece", is_hot.alias("hot")), tokenizers))
+    aligned = written(align_pieces(pieces.select("key", "piece", is_hot.alias("hot")), tokenizers), "zstd")
     discard(pieces)
     hot, rest = aligned.where("hot").drop("hot"), aligned.where("not hot").drop("hot")
 
     placed = lambda d: d.select("doc", *(c for c in ("id", "copies") if c in d.columns), F.posexplode(cut).alias("pos", "piece")).withColumn("key", key).drop("piece")
     rare = placed(docs.select("doc", "text")).join(F.broadcast(hot.select("key")), "key", "left_anti")
-    rare = written(rare)
-    together = docs.repartition("doc")  # each document's pieces stay in one task from here on
+    rare = written(rare, "zstd")
+    # Each document's pieces are in one task from these shuffles on; the first takes each piece once.
+    each = docs.select("doc", "copies", F.array_distinct(cut).alias("pieces")).repartition("doc")
+    together = docs.repartition("doc")
 
     # How many documents hold a pair of ids linked.
-    once = together.select("doc", "copies", F.explode(F.array_distinct(cut)).alias("piece")).select("doc", "copies", key)
+    once = each.select("doc", "copies", F.explode("pieces").alias("piece")).select("doc", "copies", key)
     pairs = lambda links: F.array_distinct(F.flatten(F.collect_list(links)))
     common = once.join(F.broadcast(hot.select("key", "ok", "links")), "key", "left").groupBy("doc", "copies")
     common = common.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ok"), pairs("links").alias("pairs"))
@@ -253,9 +255,9 @@ def align_tokens(
     best = F.max("docs").over(Window.partitionBy(F.shiftright("pair", 31)))
     counts = counts.select("pair", "docs", (F.col("docs") == best).alias("best"))
     linked = aligned.select("key", "hot", F.explode("links").alias("pair"))
-    counts = checkpointed(counts.join(linked.groupBy("pair").agg(F.count("*").alias("n")), "pair"))
+    counts = written(counts.join(linked.groupBy("pair").agg(F.count("*").alias("n")), "pair"), "zstd")
     worth = join_counted(linked, counts, "pair", share=share).groupBy("key", "hot")
-    worth = written(worth.agg(F.count_if("best").alias("n_best"), F.sum("docs").alias("count_sum")))
+    worth = written(worth.agg(F.count_if("best").alias("n_best"), F.sum("docs").alias("count_sum")), "zstd")
 
     # The documents' sums and groups, in the order of their pieces.
     zero = {"n_best": F.coalesce("n_best", F.lit(0)), "count_sum": F.coalesce("count_sum", F.lit(0))}

@@ -58,12 +58,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Cuts lineage with a compressed Parquet table beside the checkpoints; for wider or longer tables."""
     spark = df.sparkSession
     checkpointed(spark.range(1).limit(0))
     path = f"{_shared_folder(spark)}/{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
