@@ -25,6 +25,11 @@ def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, folds: i
 
 
 def quality_model(documents: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> quality.QualityModel:
+    """Fitted on labelled texts outside the held-out fold.
+
+    Null labels, null ids and labels without a document teach nothing; of an id's labels the highest counts; null and
+    empty texts are texts without content; without labels of both kinds all texts score alike; empty tables too.
+    """
     labelled = labelled_texts(documents, labels, "quality", 4, 2, sample_rows, by_class=True)
     known = labels.where(~is_held_out("doc_id", 4, 2) & F.col("quality").isin(0, 1))
     share = known.agg(F.avg("quality")).first()[0]
@@ -32,11 +37,18 @@ def quality_model(documents: DataFrame, labels: DataFrame, sample_rows: int = 40
 
 
 def toxicity_model(documents: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> toxicity.ToxicityModel:
+    """Fitted on labelled texts outside the held-out fold.
+
+    Null labels, null ids and labels without a document teach nothing; of an id's labels the highest counts; null and
+    empty texts have no sentences; without labels the chance that remains is small; empty tables too.
+    """
     labelled = labelled_texts(documents, labels, "toxic", 5, 0, sample_rows, by_class=False)
     return toxicity.fit_toxicity(labelled, "text", "label", sample_rows)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, rows that repeat and null ids too: null and wordless texts have no words and no hits. Items with a
+    null id hit but aren't listed; empty benchmarks hit nothing."""
     documents, benchmark = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     found = decontaminate.find_contamination(documents.select("doc_id", "text"), benchmark, keep=["doc_id"])
     return found.select(
@@ -50,20 +62,28 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: null and wordless texts have fingerprint zero, linked like any other; a null id has the least id
+    of its component; rows that repeat stay; an empty table gives none."""
     groups = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: null texts and those without words have size 0 and give nothing; a null source is one, the last;
+    rows that repeat count each; an empty table gives none."""
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page: a null URL, or one without ``://``, has an empty host and path and is allowed; rows that repeat are judged
+    alike; an empty table gives none."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: null texts and those without a letter are ``und``; null ids count as held out; rows with a null
+    lang teach nothing; ties go to the lesser name; an empty table gives none."""
     documents = read(spark, sf_dir, "documents")
     profiles = langid.fit_profiles(documents.where(~is_held_out("doc_id", 3, 1)), by="doc_id")
     found = langid.identify_language(documents.select("doc_id", "text"), profiles, keep=["doc_id"])
@@ -71,19 +91,26 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page: null and empty html have an empty text; rows that repeat stay; an empty table gives none."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_text.extract_text(pages, keep=["page_id", "url"])
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that are null, hold null or non-finite components or another number of them than most take no part; each
+    row of an id that repeats has a list of its own; an empty table gives none."""
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: a null text is the empty one, an end alone; null ids are held out; rows that repeat are learned
+    from, and scored, each; an empty table gives none."""
     return lm.score_texts(read(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: null and empty texts score as texts without a marked word; null ids count as held out; rows that
+    repeat score alike; an empty table gives none."""
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity_model(documents, read(spark, sf_dir, "labels"))
     scored = toxicity.score_toxicity(documents, model, keep=["doc_id"])
@@ -91,6 +118,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: null and empty texts score the share of good labels; null ids count as held out; rows that repeat
+    score alike; an empty table gives none."""
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score_quality(documents, quality_model(documents, read(spark, sf_dir, "labels")), keep=["doc_id"])
     return scored.select("doc_id", is_held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, annotate, class_sample
+from .common import alnum_words, annotate, class_sample, discard, written
 
 #: A sentence ends behind ., !, ? or a line end; its place counts bytes of UTF-8.
 _SENTENCE = re.compile(rb"[^.!?\n]+[.!?\n]*")
@@ -135,6 +135,30 @@ def fit_toxicity(
     return ToxicityModel({f: float(w[i]) for f, i in index.items()}, float(b), rest, stems)
 
 
+def cross_validated(
+    labelled: DataFrame, settings: list[dict], text: str = "text", label: str = "toxic", folds: int = 4, threshold: float = 0.5
+) -> list[tuple[dict, int, int, int]]:
+    """(setting, caught, toxic, flagged) of each setting of ``fit_toxicity``, the best F1 first, equal ones in their order.
+
+    Each labelled text is scored by a model that was fitted without its fold, which a hash of the text decides, so that
+    copies are in one. Give it only rows that may be learned from: then a choice by it leaves held-out rows unseen.
+    Null texts and labels other than 0 and 1 count nowhere; an empty table has no counts.
+    """
+    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("text"), F.col(label).alias("label"))
+    rows = written(rows.withColumn("fold", F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(folds))))
+    out = []
+    for setting in settings:
+        sums = [0, 0, 0]
+        for fold in range(folds):
+            model = fit_toxicity(rows.where(F.col("fold") != fold), "text", "label", **setting)
+            scored = score_toxicity(rows.where(F.col("fold") == fold), model, "text", threshold, keep=["label"])
+            found = scored.selectExpr("count_if(predicted = 1 and label = 1)", "count_if(label = 1)", "count_if(predicted = 1)").first()
+            sums = [x + y for x, y in zip(sums, found, strict=True)]
+        out.append((setting, *sums))
+    discard(rows)
+    return sorted(out, key=lambda x: -2 * x[1] / max(x[2] + x[3], 1))
+
+
 class _Scorer:
     """Scores texts for one task; remembers the weights of up to ``memory`` words."""
 
