@@ -148,6 +148,32 @@ def _shard_links(points: np.ndarray, home: np.ndarray, bits: int, cells: int = 1
     return np.array(found, np.int64).reshape(-1, 2)
 
 
+def _nearest_links(points: np.ndarray, home: np.ndarray, bits: int, step: int = 2, held: int = 1 << 26) -> np.ndarray:
+    """(n, 2) indices: a spanning forest of the pairs that have a home point and differ in ``bits`` at most, nearer pairs
+    first, by ``step`` bits: two points stay connected by pairs that are hardly farther apart than they are.
+
+    Distances are kept for all steps if there are ``held`` at most, else computed at each.
+    """
+    label, homes, found = np.arange(len(points)), np.flatnonzero(home), []
+    tile = max(1, min(512, (1 << 21) // max(len(points), 1)))
+    away = lambda rows: np.bitwise_count(points[rows, None] ^ points[None, :])
+    kept = [away(homes[at : at + tile]) for at in range(0, len(homes), tile)] if len(homes) * len(points) <= held else None
+    for most in [*range(bits % step, bits, step), bits]:
+        for k, at in enumerate(range(0, len(homes), tile)):
+            rows = homes[at : at + tile]
+            near = (away(rows) if kept is None else kept[k]) <= most
+            near &= label[rows, None] != label[None, :]
+            for i in np.flatnonzero(near.any(1)):
+                others = np.flatnonzero(near[i])
+                others = np.r_[rows[i], others[label[others] != label[rows[i]]]]  # some may have been joined meanwhile
+                of = label[others]
+                if len(others) > 1:
+                    roots, first = np.unique(of, return_index=True)
+                    found += [(rows[i], j) for j in others[first[roots != label[rows[i]]]]]
+                    label[np.isin(label, roots[1:])] = roots[0]
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
 def hamming_links(fingerprints: DataFrame, bits: int = 3, shard_rows: int = 400, sample_rows: int = 100_000) -> DataFrame:
     """(a, b): a spanning forest of all pairs of distinct fingerprints that differ in ``bits`` at most.
 
@@ -246,7 +272,7 @@ def similar_documents(
     prints: int = 10,
     reach: int = 2,
     bits: int = 13,
-    apart: float = 0.22,
+    apart: float = 0.2,
     shard_rows: int = 3200,
     sample_rows: int = 100_000,
     hot_rows: int = 200_000,
@@ -258,9 +284,9 @@ def similar_documents(
     have a Jaccard similarity of ``similarity`` or more; component_id is the least id reachable over links.
     Texts of one set are one node of the graph, told by a 64-bit hash. Candidates are searched for by ``prints``
     fingerprints: pairs that meet in a shard and there differ in ``bits`` of 64 at most, of which a shard yields a
-    spanning forest. Whatever candidates connect is a group, within which all pairs are compared exactly, see
-    ``verify``, but for those whose fingerprints differ in over ``apart`` of all bits (0.15 at similarity 0.8, give or
-    take 0.014). Over 90 % of pairs of similarity 0.8 meet, 98 % of 0.85 and all of 0.9, fewer if they have under some
+    spanning forest, nearer pairs first: two texts stay connected by pairs that are hardly farther apart. Those whose fingerprints
+    differ in over ``apart`` of all bits (0.15 at similarity 0.8, give or take 0.014) are dropped. What the rest
+    connects is a group, within which all pairs are compared exactly, see ``verify``. Over 90 % of pairs of similarity 0.8 meet, 98 % of 0.85 and all of 0.9, fewer if they have under some
     20 words; no pair that is less similar than asked for is linked. Ids must tell rows apart. Edge cases: texts without words are one node, linked to no
     other; a null id is the least where any is null, so give ids that aren't; repeated rows
     stay; an empty table gives none; other columns are not read.
@@ -310,15 +336,18 @@ def similar_documents(
             half = (int(np.searchsorted(firsts, leaf, "right")) - 1) % 2
             for at, own in _divided(fps, home, half, reach, shard_rows):
                 at, own = np.sort(at), own[np.argsort(at)]
-                links = node[at[_shard_links(fps[at].view(np.uint64), own, bits)]]
+                links = node[at[_nearest_links(fps[at].view(np.uint64), own, bits)]]
                 if len(links):
                     pairs = [pa.array(links.min(1)), pa.array(links.max(1))]
                     yield pa.RecordBatch.from_arrays(pairs, ["a", "b"])
 
     dealt = nodes.select("node", "fps").mapInArrow(deal, "leaf int, fp array<long>, home array<boolean>, node array<long>")
     pairs = dealt.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(join, "a long, b long")
-    # What candidates reach, each reached from its least node: whatever links there are, both ends are in one group.
-    reached = connected_components(pairs.where("a <> b").distinct())
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("fps").alias(f"fps_{c}"))
+    differ = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    pairs = pairs.where("a <> b").distinct().join(of("a"), "a").join(of("b"), "b").where(differ <= apart * 64 * prints)
+    # What these reach, each from its least node, is a group.
+    reached = connected_components(pairs.select("a", "b"))
     meant = checkpointed(reached.withColumnRenamed("root", "group").join(nodes.select("node", "least", "fps"), "node"))
     # Where they are few, documents stay where they are; else they are shuffled once.
     near = F.broadcast(meant) if meant.count() <= hot_rows else meant
