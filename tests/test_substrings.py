@@ -92,3 +92,19 @@ def test_rows_without_trigrams(spark, tmp_path):
 def test_trigrams_of_patterns():
     assert sketches.trigrams_of("%abcd_ef%g") == {"abc", "bcd"} and sketches.trigrams_of("a\\%b\\_c") == {"a%b", "%b_", "b_c"}
     assert sketches.trigrams_of("ab%cd") == set()
+
+
+def test_sketches_hold_the_very_trigrams(spark, tmp_path):
+    rows = [(1, "naïve 😀😀 blue"), (2, None), (3, "ab"), (4, "cd中文字"), (5, "")]
+    spark.createDataFrame(rows, "id long, t string").coalesce(1).write.parquet(f"{tmp_path}/s")
+    made = sketches.sketch(spark.read.parquet(f"{tmp_path}/s"), "t", bitmaps=3)
+    own = sorted({b for _, t in rows for i in range(len(t or "") - 2) for b in sketches._bits([t[i : i + 3]], 3).tolist()})
+    held = [r.bitmap * sketches.BITS + 8 * at + i for r in made.collect() for at, byte in enumerate(r.bits) for i in range(8) if byte >> i & 1]
+    assert sorted(held) == own and len(own) > 10  # none across two rows
+
+
+def test_sketches_make_no_row_a_trigram(spark, files):
+    made = sketches.sketch(spark.read.parquet(files[0]), "t")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+    assert made.groupBy("path", "bitmap").count().where("count > 1").count() == 0

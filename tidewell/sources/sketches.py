@@ -9,8 +9,11 @@ without a sketch, and those that were written since.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of one bitmap of Spark's bitmap functions.
@@ -33,27 +36,78 @@ def trigrams_of(pattern: str, escape: str = "\\") -> set[str]:
     return {p[i : i + 3] for p in parts for i in range(len(p) - 2)}
 
 
-def _bit(trigram: Column, bitmaps: int) -> Column:
-    return F.pmod(F.xxhash64(trigram), F.lit(bitmaps * BITS))
+def _bits(texts: list[str], bitmaps: int) -> np.ndarray:
+    """The bits of all trigrams of some texts, repeats included."""
+    # A lone surrogate, which no text holds, keeps the texts apart.
+    code = np.frombuffer("\ud800".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    if len(code) < 3:
+        return np.empty(0, np.uint32)
+    mixed = code[:-2] * np.uint32(0x9E3779B1) + code[1:-1] * np.uint32(0x85EBCA77) + code[2:] * np.uint32(0xC2B2AE3D)
+    mixed ^= mixed >> 15
+    mixed *= np.uint32(0x27D4EB2F)
+    mixed ^= mixed >> 13
+    apart = code == 0xD800
+    return mixed[~(apart[:-2] | apart[1:-1] | apart[2:])] % np.uint32(bitmaps * BITS)
+
+
+def _batches(texts: list[bytes | None], size: int = 1 << 20) -> Iterator[list[str]]:
+    """Texts that aren't null, about ``size`` bytes at once, or one."""
+    batch, held = [], 0
+    for text in texts:
+        if text is not None:
+            batch.append(text.decode("utf-8", "replace"))
+            held += len(text)
+            if held >= size:
+                yield batch
+                batch, held = [], 0
+    if batch:
+        yield batch
 
 
 def sketch(files: DataFrame, column: str, bitmaps: int = 8) -> DataFrame:
     """(path, size, modified, bitmaps, bitmap, bits): the sketches of the files that ``files`` reads.
 
     About 8 * 32,768 bits, 32 KB a file, let a quarter of random trigrams pass at 75,000 distinct ones. Bits are
-    set in the scan's tasks and merged by file and bitmap, so that a file of any size, and of any number of
-    tasks, makes no large group.
+    set in the scan's tasks, which yield a row for each of a file's bitmaps, and merged by file and bitmap; so a
+    trigram is never a row, and a file of any size, and of any number of tasks, makes no large group.
     """
-    trigrams = F.regexp_extract_all(F.col(column), F.lit("(?s)(?=(.{3}))"), F.lit(1))
     meta = F.col("_metadata")
     rows = files.select(
-        meta["file_path"].alias("path"), meta["file_size"].alias("size"), meta["file_modification_time"].alias("modified"), F.array_distinct(trigrams).alias("t")
+        meta["file_path"].alias("path"), meta["file_size"].alias("size"), meta["file_modification_time"].alias("modified"), F.col(column).cast("string").alias("text")
     )
-    # A file without a trigram has a sketch too: an empty one.
-    bits = rows.select("path", "size", "modified", F.explode_outer("t").alias("t")).select("path", "size", "modified", _bit(F.col("t"), bitmaps).alias("bit"))
-    number = F.coalesce(F.expr(f"bit div {BITS}"), F.lit(0)).cast("int").alias("bitmap")
-    made = bits.groupBy("path", "size", "modified", number).agg(F.bitmap_construct_agg(F.col("bit") % BITS).alias("bits"))
-    return made.withColumn("bitmaps", F.lit(bitmaps))
+
+    def bits_of_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, held = None, np.zeros(bitmaps * BITS, bool)
+
+        def made() -> pa.RecordBatch:
+            of = held.reshape(bitmaps, BITS)
+            # A file without a trigram has a sketch too: an empty one.
+            kept = np.flatnonzero(of.any(1)) if of.any() else np.array([0])
+            packed = [np.packbits(of[i], bitorder="little").tobytes() for i in kept]
+            own = [pa.array([x.as_py()] * len(kept), x.type) for x in file]
+            return pa.RecordBatch.from_arrays([*own, pa.array(kept, pa.int32()), pa.array(packed, pa.binary())], ["path", "size", "modified", "bitmap", "bits"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            path = batch.column("path").dictionary_encode().indices.to_numpy()
+            starts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist()]
+            text = batch.column("text")
+            text = text.cast(pa.large_binary() if pa.types.is_large_string(text.type) else pa.binary())
+            for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                own = [batch.column(c)[start] for c in ("path", "size", "modified")]
+                if file is not None and own != file:  # a task reads file after file
+                    yield made()
+                    held[:] = False
+                file = own
+                for texts in _batches(text[start:end].to_pylist()):
+                    held[_bits(texts, bitmaps)] = True
+        if file is not None:
+            yield made()
+
+    parts = rows.mapInArrow(bits_of_files, "path string, size long, modified timestamp, bitmap int, bits binary")
+    merged = parts.groupBy("path", "size", "modified", "bitmap").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return merged.withColumn("bitmaps", F.lit(bitmaps))
 
 
 def may_match(sketches: DataFrame, patterns: list[str]) -> DataFrame:
@@ -64,10 +118,9 @@ def may_match(sketches: DataFrame, patterns: list[str]) -> DataFrame:
         return sketches.select(*files, F.lit(True).alias("possible")).distinct()
     spark = sketches.sparkSession
     kinds = [r.bitmaps for r in sketches.select("bitmaps").distinct().collect()]
-    wanted = spark.createDataFrame([(k, i, t) for k in kinds for i, t in asked], "bitmaps int, pattern int, trigram string")
-    wanted = wanted.withColumn("bit", F.pmod(F.xxhash64("trigram"), F.col("bitmaps") * BITS))
     # Bounded by the length of the patterns: a row for each trigram.
-    wanted = wanted.select("bitmaps", "pattern", F.expr(f"bit div {BITS}").cast("int").alias("bitmap"), (F.col("bit") % BITS).cast("int").alias("bit")).distinct()
+    bits = {(k, i, int(_bits([t], k)[0])) for k in kinds for i, t in asked}
+    wanted = spark.createDataFrame([(k, i, *divmod(bit, BITS)) for k, i, bit in sorted(bits)], "bitmaps int, pattern int, bitmap int, bit int")
     byte = F.conv(F.hex(F.substr("bits", F.expr("bit div 8") + 1, F.lit(1))), 16, 10).cast("int")
     held = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, bit % 8)")) != 0, F.lit(False))
     met = sketches.join(F.broadcast(wanted), ["bitmaps", "bitmap"])
