@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell.operators import paging
 from tidewell.operators.paging import By, Order, locate, page
 from tidewell.operators.security import Principal
 from tidewell.plans import list_queries, spec
@@ -72,3 +73,26 @@ def test_edges(spark):
     nan = float("nan")
     rows = spark.createDataFrame([(i, nan if i % 2 else float(i)) for i in range(60)], "id long, a double")
     assert [r.id for r in page(rows, [By("a", True), By("id")], 0, 60, small=4, fan=3).collect()] == [*range(1, 60, 2), *range(58, -1, -2)]
+
+
+def test_both_ends_are_found_in_the_same_few_passes(spark, monkeypatch):
+    ranges, of = [], Order.rows
+    monkeypatch.setattr(Order, "rows", lambda self, *a, **k: ranges.append(a) or of(self, *a, **k))
+    df = spark.range(60_000).selectExpr("id", "hash(id) as a").repartition(4).cache()
+    expected = sorted(((r.a, r.id) for r in df.collect()))[54_000:54_050]
+    found = page(df, [By("a"), By("id")], 54_000, 50, small=60)
+    assert [(r.a, r.id) for r in found.collect()] == expected
+    assert len(ranges) <= 5  # the whole, at most three smaller ranges, and the page
+
+
+def test_far_places_among_ties(spark):
+    rows = [(i % 7, i // 3) for i in range(2000)] + [(3, 5)] * 500
+    df = spark.createDataFrame(rows, "a long, b long").repartition(5).cache()
+    order = Order(df, [By("a", True), By("b")])
+    expected = sorted(rows, key=lambda r: (-r[0], r[1]))
+    places = [0, 1, 700, 1300, 1301, 2499]
+    found = paging.locate_all(order, places, 2500, small=30, fan=5)
+    assert [found[p].key[:2] for p in places] == [expected[p] for p in places]
+    for p in places:
+        same = [i for i, r in enumerate(expected) if r == expected[p]]
+        assert (found[p].before, found[p].equal) == (same[0], len(same))
