@@ -96,3 +96,10 @@ def test_far_places_among_ties(spark):
     for p in places:
         same = [i for i, r in enumerate(expected) if r == expected[p]]
         assert (found[p].before, found[p].equal) == (same[0], len(same))
+
+
+def test_a_page_of_whole_keys_is_one_scan(spark):
+    df = spark.range(3000).selectExpr("id", "id % 4 as day").repartition(3).cache()
+    found = page(df, [By("day"), By("id")], 2000, 400, small=50)
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.day, r.id) for r in found.collect()] == sorted((i % 4, i) for i in range(3000))[2000:2400]
