@@ -108,3 +108,18 @@ def test_sketches_make_no_row_a_trigram(spark, files):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "MapInArrow" in plan
     assert made.groupBy("path", "bitmap").count().where("count > 1").count() == 0
+
+
+def test_grams_of_texts_are_not_sorted(spark):
+    texts = spark.range(3000).selectExpr("id", "concat('every text holds this ', id) as t")
+    words = spark.createDataFrame([("holds",), ("text 1",), ("is",)], "w string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if no side were small
+    try:
+        found = texts_with_words(texts, words, "id", "t", "w", rows_per_task=100)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        merges = [line for line in plan.splitlines() if "SortMergeJoin" in line and "gram" in line and "LeftOuter" not in line]
+        assert not merges and "ShuffledHashJoin" in plan
+        assert {r.w: r.n for r in found.groupBy("w").agg(F.count("*").alias("n")).collect()} == {"holds": 3000, "is": 3000}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
