@@ -103,3 +103,16 @@ def test_a_page_of_whole_keys_is_one_scan(spark):
     found = page(df, [By("day"), By("id")], 2000, 400, small=50)
     assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.day, r.id) for r in found.collect()] == sorted((i % 4, i) for i in range(3000))[2000:2400]
+
+
+def test_a_row_meets_few_bounds_and_a_small_page_is_read_once(spark, monkeypatch):
+    met, of = [], paging._range_of
+    monkeypatch.setattr(paging, "_range_of", lambda order, bounds, low, high: met.append(len(bounds)) or of(order, bounds, low, high))
+    df = spark.range(20_000).selectExpr("id", "hash(id) % 9 as day").repartition(4).cache()
+    expected = sorted((r.day, r.id) for r in df.collect())
+    for start, count in [(17_990, 30), (12_000, 7_000)]:
+        found = page(df, [By("day"), By("id")], start, count, small=100, fan=4)
+        assert [(r.day, r.id) for r in found.collect()] == expected[start : start + count]
+    assert 0 < max(met) <= 7
+    found = page(df, [By("day"), By("id")], 17_990, 30)
+    assert "rangepartitioning" not in found._jdf.queryExecution().executedPlan().toString().lower()

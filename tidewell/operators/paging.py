@@ -1,17 +1,15 @@
 """Deep pages: the place of a row in a large order, found by counts.
 
 ``offset`` sends every row before the page to one task. Here the rows at the page's two ends are found first: a
-bounded sample of the rows in question divides the order into ranges, most finely about where it has the wanted
+bounded sample of the rows in question divides the order into ranges, closely about where it has the wanted
 places, one pass counts the rows of each range, the counts say which ranges hold the places, and these are divided
 again until they are small. Then the page is a range filter, which reaches the scan, and only its own rows are sorted.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from dataclasses import dataclass
 from functools import reduce
-from itertools import accumulate
 from operator import and_, or_
 from typing import Any
 
@@ -106,18 +104,18 @@ class Place:
     equal: int
 
 
-def locate(order: Order, place: int, total: int, small: int = 50_000, fan: int = 24) -> Place:
+def locate(order: Order, place: int, total: int, small: int = 50_000, fan: int = 512) -> Place:
     """The row at ``place`` (from 0, below ``total``)."""
     return locate_all(order, [place], total, small, fan)[place]
 
 
-def locate_all(order: Order, places: list[int], total: int, small: int = 50_000, fan: int = 24) -> dict[int, Place]:
+def locate_all(order: Order, places: list[int], total: int, small: int = 50_000, fan: int = 512) -> dict[int, Place]:
     """The rows at some places, found together as long as one range holds them.
 
-    A round is two passes over a range: a sample of some 128 * ``fan`` rows, and a count of the rows between at most
-    ``fan`` of them for each place. Half of these divide the sample evenly, so that the range shrinks whatever the
-    sample is worth; the others lie about where the sample has the place, so that a round leaves about a three
-    hundredth of the rows. At most 256 * ``fan`` keys are collected.
+    A round is two passes over a range: a sample of some 128 * ``fan`` rows, which one task sorts, and a count of the
+    rows between at most seven of them. Four lie about where the sample has the first and last wanted place, so that
+    a round leaves about a hundredth of the rows; three divide the sample evenly, so that the range shrinks whatever
+    the sample is worth. A row meets few bounds, as many make a method that the JVM compiles late or not at all.
     """
     found: dict[int, Place] = {}
     ranges = [(None, None, 0, total, sorted(set(places)))]
@@ -127,7 +125,7 @@ def locate_all(order: Order, places: list[int], total: int, small: int = 50_000,
         if n <= small:
             found |= _few(order, rows, base, wanted)
             continue
-        bounds = _bounds(order, rows, base, n, wanted, fan)
+        bounds = _bounds(order, rows, base, n, wanted, 128 * fan)
         counts = dict(rows.select(_range_of(order, bounds, 0, len(bounds)).alias("range")).groupBy("range").count().collect())
         start = base
         for i in range(2 * len(bounds) + 1):
@@ -151,31 +149,31 @@ def _few(order: Order, rows: DataFrame, base: int, wanted: list[int]) -> dict[in
     return {p: Place(tuple(r)[:-2], r[-2], r[-1]) for r in found for p in wanted if r[-2] <= p < r[-2] + r[-1]}
 
 
-def _bounds(order: Order, rows: DataFrame, base: int, n: int, wanted: list[int], fan: int) -> list[Key]:
-    """Keys of a sample of the range's ``n`` rows, in order: some evenly, others about the wanted places."""
+def _bounds(order: Order, rows: DataFrame, base: int, n: int, wanted: list[int], size: int) -> list[Key]:
+    """Keys of a sample of ``size`` of the range's ``n`` rows, in order: some evenly, others about the wanted places."""
     # Chosen by a hash of place and row, so that rows chosen before don't decide; repeated rows come together.
-    chance = int(min(1.0, 128 * fan / n) * (1 << 30))
-    chosen = F.pmod(F.xxhash64("__hash", F.lit(base), F.lit(n)), F.lit(1 << 30)) < chance
+    share = min(1.0, size / n)
+    chosen = F.pmod(F.xxhash64("__hash", F.lit(base), F.lit(n)), F.lit(1 << 30)) < int(share * (1 << 30))
     names = [b.name for b in order.by]
     sample = rows.where(chosen).groupBy(*names).agg(F.count("*").alias("__n"))
-    found = [(tuple(r)[:-1], r[-1]) for r in sample.orderBy(*order.columns()).limit(256 * fan).collect()]
-    if not found:  # none was chosen, as where most rows are alike
-        return order.keys(rows.select(*names).limit(1))
-    ends = list(accumulate(x for _, x in found))
-    m, half = ends[-1], max(1, fan // 2)
-    asked = [m * (2 * i + 1) / (2 * half) for i in range(half)]
+    so_far = Window.orderBy(*order.columns()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sample = sample.withColumns({"__end": F.sum("__n").over(so_far), "__m": F.sum("__n").over(Window.partitionBy())})
+    m = F.col("__m")
+    asked = [m * (i / 4) for i in (1, 2, 3)]
     for p in {min(wanted), max(wanted)}:
         part = (p - base + 0.5) / n
-        # Four standard deviations of the sample's count before the place, to each side.
-        reach = 4 * (m * part * (1 - part)) ** 0.5 + 1
-        asked += [m * part + reach * (2 * i / max(1, half - 1) - 1) for i in range(half)]
-    at = {min(bisect_right(ends, max(0.0, x)), len(found) - 1) for x in asked}
-    return [found[i][0] for i in sorted(at)]
+        # Four standard deviations of the sample's count before the place, to each side; none if all rows are in it.
+        reach = 4 * F.sqrt(m * (part * (1 - part) * (1 - share))) + int(share < 1)
+        asked += [m * part - reach, m * part + reach]
+    at = [F.greatest(F.lit(0.0), F.least(x, m - 0.5)) for x in asked]
+    holds = [(F.col("__end") - F.col("__n") <= x) & (x < F.col("__end")) for x in at]
+    found = sample.where(reduce(or_, holds)).select("__end", *names).collect()
+    # None was chosen, as where most rows are alike: any key divides them.
+    return [tuple(r)[1:] for r in sorted(found, key=lambda r: r[0])] or order.keys(rows.select(*names).limit(1))
 
 
 def _range_of(order: Order, bounds: list[Key], low: int, high: int) -> Column:
-    """2 * i + 1 for rows of the i-th bound's key, 2 * i for those between it and the bound before; by halving, as
-    a condition for each bound makes a method that the JVM doesn't compile."""
+    """2 * i + 1 for rows of the i-th bound's key, 2 * i for those between it and the bound before; by halving."""
     if low == high:
         return F.lit(2 * low)
     at = (low + high) // 2
@@ -183,7 +181,7 @@ def _range_of(order: Order, bounds: list[Key], low: int, high: int) -> Column:
     return F.when(order.before(key), _range_of(order, bounds, low, at)).when(order.equal(key), F.lit(2 * at + 1)).otherwise(_range_of(order, bounds, at + 1, high))
 
 
-def page(df: DataFrame, by: list[By], start: int, count: int, total: int | None = None, small: int = 50_000, fan: int = 24) -> DataFrame:
+def page(df: DataFrame, by: list[By], start: int, count: int, total: int | None = None, small: int = 50_000, fan: int = 512) -> DataFrame:
     """Rows ``start`` to ``start + count - 1`` in order; the rows that don't belong to it are never sorted.
 
     Rows that are equal in the order's columns come by a hash of the row: the pages of a table that doesn't change
@@ -203,7 +201,9 @@ def page(df: DataFrame, by: list[By], start: int, count: int, total: int | None
     else:
         rows = order.rows(first.key, last.key)
         rows = rows.unionByName(_some(order, first, first.before + first.equal - start)).unionByName(_some(order, last, end - last.before))
-    return rows.orderBy(*order.columns()).select(*(F.col(f"`{c}`") for c in df.columns))
+    # A small page is one partition: a sort of several reads all rows once more, to divide them.
+    rows = rows.repartition(1).sortWithinPartitions(*order.columns()) if end - start <= small else rows.orderBy(*order.columns())
+    return rows.select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def _some(order: Order, place: Place, n: int) -> DataFrame:
