@@ -90,3 +90,31 @@ def test_query(spark, sf_dir):
         assert (got.n_a, got.n_b, got.n_groups, got.n_links) == r[1:5]
         assert got.groups_sha256 == (hashlib.sha256(r[7].encode()).hexdigest() if r[7] else "")
         assert got.count_sum >= r[6]
+
+
+def test_steps_leave_no_shuffles_behind(spark, monkeypatch):
+    import time
+
+    from tidewell.llm import common
+
+    def left():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_") and f.endswith(".data")}
+
+    made, of = [], align.written
+
+    def noted(df, *args, **kwargs):
+        before = left()
+        table = of(df, *args, **kwargs)
+        until = time.time() + 15
+        while left() - before and time.time() < until:  # files go a little after the query
+            time.sleep(0.2)
+        made.append(left() - before)
+        return table
+
+    monkeypatch.setattr(align, "written", noted)
+    rows = list(enumerate(odd_texts(30, 7)))
+    align.align_tokens(spark.createDataFrame(rows, "doc_id long, text string"), share=0.02)
+    assert len(made) >= 6 and not any(made)
+    before = spark.conf.get(common._TIDY)
+    assert common.written(spark.range(100).groupBy("id").count(), tidy=True).count() == 100 and spark.conf.get(common._TIDY) == before

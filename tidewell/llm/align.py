@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import discard, join_counted, written
 
 #: A visible character (no white space of any kind, no control character, no U+2581) before spaces and more text.
-BOUNDARY = r"(?<=[^\s\p{Z}\p{C}\x{85}\x{2581}])(?= +[^ ])"
+#: The spaces are looked for first, as most places have none.
+BOUNDARY = r"(?= +[^ ])(?<=[^\s\p{Z}\p{C}\x{85}\x{2581}])"
 
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 #: A token as one long: side (0 for A), id, bytes, from the highest bit down.
@@ -144,6 +145,8 @@ def align_pieces(pieces: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     by = ["key", "hot"]
     # One shuffle, of arrays: all windows and groupings below are by the key and more.
     encoded = pieces.select(*by, _encoder(tokenizers)("piece").alias("tokens")).repartition("key")
+    # Few rows are put in order here, so that the many that come of them need no sorting but a look.
+    encoded = encoded.sortWithinPartitions(*by)
     tokens = encoded.select(*by, F.posexplode_outer("tokens").alias("pos", "token"))
     part = lambda down, bits: F.shiftright("token", down).bitwiseAND((1 << bits) - 1)
     tokens = tokens.select(*by, "pos", part(_ID + _SIZE, 1).alias("side"), part(_SIZE, _ID).alias("id"), part(0, _SIZE).alias("size"))
@@ -162,22 +165,26 @@ def align_pieces(pieces: DataFrame, tokenizers: Tokenizers) -> DataFrame:
             "group": F.sum(F.col("cut").cast("int")).over(back),
         }
     )
-    # A token is its group's last on its side if it ends at a cut.
-    said = lambda c, side, last: F.when(
-        F.col(c).isNotNull(),
-        F.struct((-F.col("group")).alias("group"), F.lit(side).alias("side"), "end", F.concat(F.col(c).cast("string"), F.when(F.col("cut"), last).otherwise(",")).alias("said")),
-    )
+    # A token as one long, by its end: a sort of longs puts a side in order. It is its group's last on its side if it
+    # ends at a cut.
+    cut = F.col("cut").cast("long")
+    in_order = lambda c: F.sort_array(F.collect_list(F.shiftleft(F.col("end"), 32) + F.shiftleft(F.col(c).cast("long"), 1) + cut))
     links = F.collect_list(F.when(F.col("end").isNotNull(), pair_of(F.col("to_a"), F.col("to_b"))))
-    groups = F.array_sort(F.flatten(F.collect_list(F.array_compact(F.array(said("a", 0, "|"), said("b", 1, ";"))))))
-    return ends.groupBy(*by).agg(
+    pieces = ends.groupBy(*by).agg(
         F.bool_and(F.col("end").isNotNull()).alias("ok"),
         F.count("a").alias("n_a"),
         F.count("b").alias("n_b"),
-        F.count_if("cut").alias("n_groups"),
+        F.coalesce(F.max("group"), F.lit(0)).cast("long").alias("n_groups"),
         F.count("end").alias("n_links"),
         links.alias("links"),
-        F.array_join(F.transform(groups, lambda x: x["said"]), "").alias("groups"),
+        in_order("a").alias("in_a"),
+        in_order("b").alias("in_b"),
     )
+    ids = lambda x: F.shiftright(x, 1).bitwiseAND((1 << _ID) - 1).cast("string")
+    said = lambda side: F.array_join(F.transform(side, lambda x: F.concat(ids(x), F.when(x.bitwiseAND(1) == 1, ";").otherwise(","))), "")
+    groups_of = lambda side: F.split(F.rtrim(said(side), F.lit(";")), ";", -1)
+    groups = F.array_join(F.zip_with(groups_of("in_a"), groups_of("in_b"), lambda x, y: F.concat(x, F.lit("|"), y, F.lit(";"))), "")
+    return pieces.withColumn("groups", F.when(F.col("n_groups") > 0, groups).otherwise("")).drop("in_a", "in_b")
 
 
 def _pieces(text: Column, whole: bool) -> Column:
@@ -216,28 +223,29 @@ def align_tokens(
         seed += 1
     docs = keyed.withColumn("copies", F.lit(1).cast("long"))
     if (most or 0) > 1:
-        docs = written(keyed.groupBy("doc").agg(F.any_value("id").alias("id"), F.any_value("text").alias("text"), F.count("*").alias("copies")))
+        docs = written(keyed.groupBy("doc").agg(F.any_value("id").alias("id"), F.any_value("text").alias("text"), F.count("*").alias("copies")), tidy=True)
     cut = _pieces(F.col("text"), whole)
 
     seed = 0
     while True:
         key = F.xxhash64("piece", F.lit(seed)).alias("key")
         pieces = docs.select(F.explode(cut).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
-        pieces = written(pieces.select(key, "piece", "n"), "zstd")
+        pieces = written(pieces.select(key, "piece", "n"), "zstd", tidy=True)
         if _distinct(pieces, "key"):
             break
         discard(pieces)
         seed += 1
     total = pieces.agg(F.sum("n")).first()[0] or 0
     is_hot = F.col("n") > share * total * F.ceil(F.octet_length("piece") / 16)
-    aligned = written(align_pieces(pieces.select("key", "piece", is_hot.alias("hot")), tokenizers), "zstd")
+    aligned = written(align_pieces(pieces.select("key", "piece", is_hot.alias("hot")), tokenizers), "zstd", tidy=True)
     discard(pieces)
     hot, rest = aligned.where("hot").drop("hot"), aligned.where("not hot").drop("hot")
 
     placed = lambda d: d.select("doc", *(c for c in ("id", "copies") if c in d.columns), F.posexplode(cut).alias("pos", "piece")).withColumn("key", key).drop("piece")
     rare = placed(docs.select("doc", "text")).join(F.broadcast(hot.select("key")), "key", "left_anti")
-    rare = written(rare, "zstd")
-    together = docs.repartition("doc")  # each document's pieces stay in one task from here on
+    rare = written(rare, "zstd", tidy=True)
+    # Each document's pieces stay in one task, and together, from here on.
+    together = docs.repartition("doc").sortWithinPartitions("doc")
 
     # How many documents hold a pair of ids linked.
     once = together.select("doc", "copies", F.explode(F.array_distinct(cut)).alias("piece")).select("doc", "copies", key)
@@ -253,9 +261,9 @@ def align_tokens(
     best = F.max("docs").over(Window.partitionBy(F.shiftright("pair", 31)))
     counts = counts.select("pair", "docs", (F.col("docs") == best).alias("best"))
     linked = aligned.select("key", "hot", F.explode("links").alias("pair"))
-    counts = written(counts.join(linked.groupBy("pair").agg(F.count("*").alias("n")), "pair"), "zstd")
+    counts = written(counts.join(linked.groupBy("pair").agg(F.count("*").alias("n")), "pair"), "zstd", tidy=True)
     worth = join_counted(linked, counts, "pair", share=share).groupBy("key", "hot")
-    worth = written(worth.agg(F.count_if("best").alias("n_best"), F.sum("docs").alias("count_sum")), "zstd")
+    worth = written(worth.agg(F.count_if("best").alias("n_best"), F.sum("docs").alias("count_sum")), "zstd", tidy=True)
 
     # The documents' sums and groups, in the order of their pieces.
     zero = {"n_best": F.coalesce("n_best", F.lit(0)), "count_sum": F.coalesce("count_sum", F.lit(0))}
@@ -264,10 +272,11 @@ def align_tokens(
     text_of = F.collect_list(F.when(F.col("groups").isNotNull(), F.struct("pos", "groups"))).alias("parts")
     common = placed(together).join(F.broadcast(full(hot, F.broadcast(worth.where("hot")))), "key", "left").groupBy("doc", "copies").agg(F.any_value("id").alias("id"), *own, text_of)
     others = rare.join(full(rest, worth.where("not hot")), "key").groupBy("doc").agg(*own, text_of)
-    others = others.select("doc", *(F.col(c).alias(f"{c}2") for c in [*SUMS, "ok", "parts"]))
+    others = written(others.select("doc", *(F.col(c).alias(f"{c}2") for c in [*SUMS, "ok", "parts"])), "zstd", tidy=True)
+    discard(rare)
     both = common.join(others, "doc", "left")
     fine = F.coalesce("ok", F.lit(True)) & F.coalesce("ok2", F.lit(True))
-    parts = F.array_sort(F.when(F.col("parts2").isNull(), F.col("parts")).otherwise(F.concat("parts", "parts2")))
+    parts = F.sort_array(F.when(F.col("parts2").isNull(), F.col("parts")).otherwise(F.concat("parts", "parts2")))
     groups = F.rtrim(F.array_join(F.transform(parts, lambda x: x["groups"]), ""), F.lit(";"))
     sums = [F.when(fine, F.coalesce(c, F.lit(0)) + F.coalesce(f"{c}2", F.lit(0))).otherwise(0).cast("long").alias(c) for c in SUMS]
     out = both.select("id", "copies", *sums, F.when(fine, groups).otherwise("").alias("groups"))

@@ -58,12 +58,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Cuts lineage with a compressed Parquet table beside the checkpoints; for wider or longer tables."""
+#: Spark deletes the files of a query's shuffles as it ends, not when the driver happens to collect garbage.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, compression: str = "snappy", tidy: bool = False) -> DataFrame:
+    """Cuts lineage with a compressed Parquet table beside the checkpoints; for wider or longer tables.
+
+    If ``tidy``, the write's own shuffles are deleted at its end; no later query reads them.
+    """
     spark = df.sparkSession
     checkpointed(spark.range(1).limit(0))
     path = f"{_shared_folder(spark)}/{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
-    df.write.parquet(path, compression=compression)
+    before = spark.conf.get(_TIDY)
+    spark.conf.set(_TIDY, "true" if tidy else before)
+    try:
+        # Planned under this setting, which a frame keeps from where it was made.
+        df.select("*").write.parquet(path, compression=compression)
+    finally:
+        spark.conf.set(_TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
