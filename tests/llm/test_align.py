@@ -118,3 +118,11 @@ def test_steps_leave_no_shuffles_behind(spark, monkeypatch):
     assert len(made) >= 6 and not any(made)
     before = spark.conf.get(common._TIDY)
     assert common.written(spark.range(100).groupBy("id").count(), tidy=True).count() == 100 and spark.conf.get(common._TIDY) == before
+
+
+def test_rounds_take_every_key_once(spark):
+    keys = spark.range(200).selectExpr("xxhash64(id) as key")
+    parts = []
+    found = align._in_rounds(lambda part: parts.append(keys.where(part).count()) or keys.where(part), 3)
+    assert sorted(r.key for r in found.collect()) == sorted(r.key for r in keys.collect())
+    assert len(parts) == 3 and max(parts) < 120

@@ -18,9 +18,9 @@ more than a ``share`` of all occurrences, for each 16 bytes that they are long,
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cached_property, lru_cache
+from functools import cached_property, lru_cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -196,6 +196,13 @@ def _distinct(rows: DataFrame, key: str) -> bool:
     return not rows.groupBy(key).count().where("count > 1").limit(1).count()
 
 
+def _in_rounds(step: Callable[[Column], DataFrame], rounds: int = 4) -> DataFrame:
+    """All rows of ``step``, which gets a condition on keys; a part of the keys after the other, so that the shuffles of
+    one part alone are on disk."""
+    parts = [written(step(F.pmod("key", F.lit(rounds)) == i), "zstd", tidy=True) for i in range(rounds)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def align_tokens(
     documents: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizers: Tokenizers | None = None, share: float = 2e-6
 ) -> DataFrame:
@@ -252,8 +259,9 @@ def align_tokens(
     pairs = lambda links: F.array_distinct(F.flatten(F.collect_list(links)))
     common = once.join(F.broadcast(hot.select("key", "ok", "links")), "key", "left").groupBy("doc", "copies")
     common = common.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ok"), pairs("links").alias("pairs"))
-    others = rare.select("doc", "key").join(rest.select("key", "ok", "links"), "key").groupBy("doc")
-    others = others.agg(F.bool_and("ok").alias("ok2"), pairs("links").alias("pairs2"))
+    to_docs = lambda part: rare.where(part).select("doc", "key").join(rest.where(part).select("key", "ok", "links"), "key").groupBy("doc")
+    held_rare = _in_rounds(lambda part: to_docs(part).agg(F.bool_and("ok").alias("ok2"), pairs("links").alias("pairs2")))
+    others = held_rare.groupBy("doc").agg(F.bool_and("ok2").alias("ok2"), pairs("pairs2").alias("pairs2"))
     none = F.array().cast("array<long>")
     held = common.join(others, "doc", "left").where(F.col("ok") & F.coalesce("ok2", F.lit(True)))
     held = held.select("copies", F.explode(F.array_distinct(F.concat("pairs", F.coalesce("pairs2", none)))).alias("pair"))
@@ -262,6 +270,7 @@ def align_tokens(
     counts = counts.select("pair", "docs", (F.col("docs") == best).alias("best"))
     linked = aligned.select("key", "hot", F.explode("links").alias("pair"))
     counts = written(counts.join(linked.groupBy("pair").agg(F.count("*").alias("n")), "pair"), "zstd", tidy=True)
+    discard(held_rare)
     worth = join_counted(linked, counts, "pair", share=share).groupBy("key", "hot")
     worth = written(worth.agg(F.count_if("best").alias("n_best"), F.sum("docs").alias("count_sum")), "zstd", tidy=True)
 
@@ -270,10 +279,14 @@ def align_tokens(
     full = lambda part, worth: part.drop("links").join(worth.drop("hot"), "key", "left").withColumns(zero)
     own = [*(F.sum(c).alias(c) for c in SUMS), F.bool_and("ok").alias("ok")]
     text_of = F.collect_list(F.when(F.col("groups").isNotNull(), F.struct("pos", "groups"))).alias("parts")
-    common = placed(together).join(F.broadcast(full(hot, F.broadcast(worth.where("hot")))), "key", "left").groupBy("doc", "copies").agg(F.any_value("id").alias("id"), *own, text_of)
-    others = rare.join(full(rest, worth.where("not hot")), "key").groupBy("doc").agg(*own, text_of)
-    others = written(others.select("doc", *(F.col(c).alias(f"{c}2") for c in [*SUMS, "ok", "parts"])), "zstd", tidy=True)
-    discard(rare)
+    to_docs = lambda part: rare.where(part).join(full(rest.where(part), worth.where("not hot").where(part)), "key").groupBy("doc")
+    others = _in_rounds(lambda part: to_docs(part).agg(*own, text_of))
+    hot = written(full(hot, F.broadcast(worth.where("hot"))), "zstd", tidy=True)
+    for table in (rare, aligned, counts, worth):
+        discard(table)
+    common = placed(together).join(F.broadcast(hot), "key", "left").groupBy("doc", "copies").agg(F.any_value("id").alias("id"), *own, text_of)
+    others = others.groupBy("doc").agg(*own, F.flatten(F.collect_list("parts")).alias("parts"))
+    others = others.select("doc", *(F.col(c).alias(f"{c}2") for c in [*SUMS, "ok", "parts"]))
     both = common.join(others, "doc", "left")
     fine = F.coalesce("ok", F.lit(True)) & F.coalesce("ok2", F.lit(True))
     parts = F.sort_array(F.when(F.col("parts2").isNull(), F.col("parts")).otherwise(F.concat("parts", "parts2")))
