@@ -126,3 +126,40 @@ def test_rounds_take_every_key_once(spark):
     found = align._in_rounds(lambda part: parts.append(keys.where(part).count()) or keys.where(part), 3)
     assert sorted(r.key for r in found.collect()) == sorted(r.key for r in keys.collect())
     assert len(parts) == 3 and max(parts) < 120
+
+
+def test_texts_are_cut_at_boundaries():
+    """Against an expression: a visible character before spaces and more text; of each text alone."""
+    import re
+    import unicodedata
+
+    visible = lambda c: unicodedata.category(c)[0] not in "ZC" and c != "▁"
+
+    def cut(text):
+        spaced, at = " " + text, [0]
+        at += [m.start() for m in re.finditer("(?<=[^ ]) +(?=[^ ])", spaced) if visible(spaced[m.start() - 1])]
+        return [spaced[i:j] for i, j in zip(at, [*at[1:], None])]  # noqa: B905
+
+    texts = [*odd_texts(300, 9), None, "", " ", "  ", "a", " a ", "a ", "é  b", "中 文", "x▁ y", None, "\x00 a", "end "]
+    for some in (texts, texts[::-1], [" "], ["a b"], [None], []):
+        pieces, n = align.cut_texts([x and x.encode() for x in some])
+        made = iter(pieces.to_pylist())
+        assert [[next(made) for _ in range(k)] for k in n] == [cut(x) if x else [] for x in some]
+        assert not list(made)
+        pieces, n = align.cut_texts([x and x.encode() for x in some], whole=True)
+        assert pieces.to_pylist() == [" " + x for x in some if x] and n.tolist() == [int(bool(x)) for x in some]
+
+
+@pytest.mark.parametrize("block_bytes", [1, 4000])
+def test_blocks_change_no_result(spark, block_bytes):
+    rows = list(enumerate([*odd_texts(250, 11), None, ""]))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(map(tuple, align.align_tokens(frame, share=0.01, block_bytes=block_bytes).collect()), key=str) == plain(rows)
+
+
+def test_a_block_asks_once_for_each_piece(spark):
+    """What goes to documents and back grows with the distinct pieces of a block, not with all occurrences."""
+    frame = spark.createDataFrame([(i, "one two three " * 2000) for i in range(300)], "id long, text string").selectExpr("id", "cast(text as binary) as text").coalesce(1)
+    blocks = frame.mapInArrow(align._blocks(5_000_000, False), "block long, pieces array<string>, counts array<long>, rows array<binary>").collect()
+    assert sum(len(b.pieces) for b in blocks) <= 5 * len(blocks) and len(blocks) < 4
+    assert sum(sum(b.counts) for b in blocks) == 300 * 6000

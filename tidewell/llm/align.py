@@ -10,14 +10,17 @@ is encoded and aligned once. In a piece:
 - the running count of cuts numbers the groups;
 - between two ends in a row, of either side, lies one overlap of one token of each: its link.
 
-Documents meet their pieces again by the pieces' 64-bit keys, which are verified to be distinct. Pieces that make up
-more than a ``share`` of all occurrences, for each 16 bytes that they are long, are broadcast: these are fewer than
-1 / ``share`` times 16 bytes in all. Occurrences of the others are sent to their piece and back to their document.
+Documents are cut once, in blocks of about ``block_bytes`` of text. A block is one row: its distinct pieces, and its
+documents as numbers of these. It asks once for each of its pieces, by the pieces' 64-bit keys, which are verified to be
+distinct, and puts its documents together from the answers. Pieces that make up more than a ``share`` of all
+occurrences, for each 16 bytes that they are long, are broadcast: these are fewer than 1 / ``share`` times 16 bytes in
+all. The others meet those who ask in a shuffle, in which none is frequent.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache, reduce
@@ -25,14 +28,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, join_counted, written
-
-#: A visible character (no white space of any kind, no control character, no U+2581) before spaces and more text.
-#: The spaces are looked for first, as most places have none.
-BOUNDARY = r"(?= +[^ ])(?<=[^\s\p{Z}\p{C}\x{85}\x{2581}])"
+from .lm import _as_bytes, packed, unpacked
 
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 #: A token as one long: side (0 for A), id, bytes, from the highest bit down.
@@ -187,57 +188,169 @@ def align_pieces(pieces: DataFrame, tokenizers: Tokenizers) -> DataFrame:
     return pieces.withColumn("groups", F.when(F.col("n_groups") > 0, groups).otherwise("")).drop("in_a", "in_b")
 
 
-def _pieces(text: Column, whole: bool) -> Column:
-    spaced = F.concat(F.lit(" "), text)
-    return F.array(spaced) if whole else F.split(spaced, BOUNDARY, -1)
+@lru_cache(100_000)
+def _visible(char: bytes) -> bool:
+    """No white space of any kind, no control or unassigned character, no U+2581."""
+    c = char.decode("utf-8", "replace")
+    return unicodedata.category(c)[0] not in "ZC" and c != "\u2581"
+
+
+def cut_texts(texts: list[bytes], whole: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """(pieces of all texts, number of each text's pieces), with a space before each text; an empty text has none.
+
+    A piece ends at a visible character before spaces and more text, or with its text (only so, if ``whole``).
+    """
+    some = [x for x in texts if x]
+    joined = b"".join(y for x in some for y in (b" ", x))
+    data = np.frombuffer(joined, np.uint8)
+    stops = np.cumsum([len(x) + 1 for x in some], dtype=np.int64)
+    starts = np.r_[0, stops[:-1]] if some else stops
+    at = starts
+    if some and not whole:
+        spaces = data == 32
+        change = np.flatnonzero(spaces[1:] != spaces[:-1]) + 1
+        # All begins with a space: runs of others and of spaces follow in turn.
+        runs, after = change[1::2], change[2::2]
+        runs = runs[: len(after)]
+        text_of = np.searchsorted(starts, runs, "right") - 1
+        fine = (runs > starts[text_of]) & (after < stops[text_of])
+        runs = runs[fine]
+        before = data[runs - 1]
+        fine = (before > 32) & (before < 127)
+        for i in np.flatnonzero(before > 127).tolist():
+            end = int(runs[i])
+            begin = end - 1
+            while data[begin] & 0xC0 == 0x80:
+                begin -= 1
+            fine[i] = _visible(joined[begin:end])
+        at = np.sort(np.concatenate([starts, runs[fine]]), kind="stable")
+    offsets = np.r_[at, len(data)].astype(np.int32)
+    pieces = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(joined))
+    n = np.zeros(len(texts), np.int64)
+    n[[i for i, x in enumerate(texts) if x]] = np.diff(np.searchsorted(at, np.r_[starts, len(data)])) if some else 0
+    return pieces, n
+
+
+def _blocks(block_bytes: int, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's rows (id, text) in blocks (block, pieces, counts, rows)."""
+
+    def block_of(number: int, ids: list[pa.Array], texts: list[bytes | None]) -> pa.RecordBatch:
+        pieces, n = cut_texts(texts, whole)
+        coded = pieces.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        rows = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(n)], ["id", "n"])
+        rows = pa.array([[_as_bytes(rows), packed(codes)]], pa.list_(pa.binary()))
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        counts = pa.array(np.bincount(codes, minlength=len(coded.dictionary)))
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), one(coded.dictionary), one(counts), rows], ["block", "pieces", "counts", "rows"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                ids.append(part.column(0))
+                texts += part.column(1).to_pylist()
+                size += sum(len(x) for x in texts[-part.num_rows :] if x)
+                if size >= block_bytes:
+                    yield block_of(number, ids, texts)
+                    number, ids, texts, size = number + 1, [], [], 0
+        if ids:
+            yield block_of(number, ids, texts)
+
+    return work
+
+
+def _documents(block: pa.Table, answers: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Table]:
+    """(ids, number of pieces of each document, all of these as places in the answers, answers in the order of codes);
+    a document has none where its tokens don't give it back."""
+    (stored,) = block["rows"].to_pylist()
+    rows = pa.ipc.open_stream(stored[0]).read_all()
+    n, codes = rows["n"].to_numpy(), unpacked(stored[1], np.int32)
+    answers = answers.sort_by("code")
+    if len(answers) != (codes.max() + 1 if len(codes) else 0):
+        raise RuntimeError("a block's pieces and their answers don't agree")
+    doc = np.repeat(np.arange(len(n)), n)
+    bad = np.zeros(len(n), bool)
+    if len(codes):
+        bad[doc[~answers["ok"].to_numpy()[codes]]] = True
+    return rows["id"].combine_chunks(), np.where(bad, 0, n), codes[~bad[doc]], answers
+
+
+def _held_pairs(block: pa.Table, answers: pa.Table) -> pa.Table:
+    """(pair, docs): how many documents of a block hold each pair."""
+    _, n, codes, answers = _documents(block, answers)
+    made = [np.zeros(0, np.int64)] * 2
+    if len(codes):
+        links = answers["links"].combine_chunks()
+        own, size = links.offsets.to_numpy()[:-1].astype(np.int64), links.value_lengths().to_numpy().astype(np.int64)
+        pairs, of_link = np.unique(links.values.to_numpy(), return_inverse=True)
+        once = np.unique(np.repeat(np.arange(len(n)), n) * len(answers) + codes)
+        doc, code = np.divmod(once, len(answers))
+        each = size[code]
+        at = np.arange(each.sum()) + np.repeat(own[code] - np.r_[0, np.cumsum(each)[:-1]], each)
+        held = np.unique(np.repeat(doc, each) * len(pairs) + of_link[at]) % len(pairs)
+        docs = np.bincount(held, minlength=len(pairs))
+        made = [pairs[docs > 0], docs[docs > 0]]
+    return pa.table(made, names=["pair", "docs"])
+
+
+def _put_together(block: pa.Table, answers: pa.Table) -> pa.Table:
+    """(id, the sums, groups) of each document of a block."""
+    ids, n, codes, answers = _documents(block, answers)
+    ends = np.cumsum(n)
+    sums = []
+    for c in SUMS:
+        so_far = np.r_[0, np.cumsum(answers[c].to_numpy()[codes])].astype(np.int64)
+        sums.append(pa.array(so_far[ends] - so_far[ends - n]))
+    # Texts that are taken stand one after the other: those of a document are one.
+    taken = pa.concat_arrays([*answers["groups"].chunks, pa.array([], pa.string())]).take(pa.array(codes))
+    offsets = np.frombuffer(taken.buffers()[1], np.int32)[: len(codes) + 1] if len(codes) else np.zeros(1, np.int32)
+    offsets = np.r_[0, offsets[ends]].astype(np.int32)
+    groups = pa.StringArray.from_buffers(len(n), pa.py_buffer(offsets), taken.buffers()[2] if len(codes) else pa.py_buffer(b""))
+    return pa.table([ids, *sums, groups], names=["id", *SUMS, "groups"])
 
 
 def _distinct(rows: DataFrame, key: str) -> bool:
     return not rows.groupBy(key).count().where("count > 1").limit(1).count()
 
 
-def _in_rounds(step: Callable[[Column], DataFrame], rounds: int = 4) -> DataFrame:
+def _in_rounds(step: Callable[[Column], DataFrame], rounds: int = 4, key: str = "key") -> DataFrame:
     """All rows of ``step``, which gets a condition on keys; a part of the keys after the other, so that the shuffles of
     one part alone are on disk."""
-    parts = [written(step(F.pmod("key", F.lit(rounds)) == i), "zstd", tidy=True) for i in range(rounds)]
+    parts = [written(step(F.pmod(key, F.lit(rounds)) == i), "zstd", tidy=True) for i in range(rounds)]
     return reduce(DataFrame.unionByName, parts)
 
 
 def align_tokens(
-    documents: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizers: Tokenizers | None = None, share: float = 2e-6
+    documents: DataFrame,
+    id_col: str = "doc_id",
+    text: str = "text",
+    tokenizers: Tokenizers | None = None,
+    share: float = 2e-6,
+    block_bytes: int = 5_000_000,
 ) -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of every document row.
 
     A's tokens are those of a space and the text, B's those of the text. groups lists the ids between the ends at
     which tokens of both end, as ``a1,a2|b1;a3|b2``. n_links counts the pairs of tokens whose bytes overlap; a pair of
     ids counts as many documents as hold it linked; count_sum is its sum over the links, n_best the links whose pair
-    has the highest count of A's id. Edge cases: a text that is null or empty, or that its tokens don't give back, has
+    has the highest count of A's id. ``block_bytes`` bounds memory and changes no result; a block holds at least one
+    text. Edge cases: a text that is null or empty, or that its tokens don't give back, has
     none, so that all is zero and groups is ''; rows that are alike are counted, and returned, as often as they are
     there; a null id is one like others; an empty table gives none; other columns are not read.
     """
     tokenizers = tokenizers or Tokenizers()
-    whole = not tokenizers.separable
-    source = documents.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    known = F.coalesce(F.col("text") != "", F.lit(False))
-    # Rows that are alike are one with a number; most tables have none, and stay where they are.
-    seed = 0
-    while True:
-        keyed = source.where(known).select("id", "text", F.xxhash64("id", "text", F.lit(seed)).alias("doc"))
-        check = keyed.groupBy("doc").agg(F.count("*").alias("n"), *(f(F.xxhash64("text", "id", F.lit("other"))).alias(x) for f, x in ((F.min, "low"), (F.max, "high"))))
-        most, clash = check.agg(F.max("n"), F.bool_or(F.col("low") != F.col("high"))).first()
-        if not clash:
-            break
-        seed += 1
-    docs = keyed.withColumn("copies", F.lit(1).cast("long"))
-    if (most or 0) > 1:
-        docs = written(keyed.groupBy("doc").agg(F.any_value("id").alias("id"), F.any_value("text").alias("text"), F.count("*").alias("copies")), tidy=True)
-    cut = _pieces(F.col("text"), whole)
+    source = documents.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    made = source.mapInArrow(_blocks(block_bytes, not tokenizers.separable), "block long, pieces array<string>, counts array<long>, rows array<binary>")
+    blocks = written(made, "zstd", tidy=True)
 
+    counted = blocks.select(F.explode(F.arrays_zip("pieces", "counts")).alias("x")).groupBy(F.col("x.pieces").alias("piece")).agg(F.sum("x.counts").alias("n"))
     seed = 0
     while True:
         key = F.xxhash64("piece", F.lit(seed)).alias("key")
-        pieces = docs.select(F.explode(cut).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
-        pieces = written(pieces.select(key, "piece", "n"), "zstd", tidy=True)
+        pieces = written(counted.select(key, "piece", "n"), "zstd", tidy=True)
         if _distinct(pieces, "key"):
             break
         discard(pieces)
@@ -246,53 +359,36 @@ def align_tokens(
     is_hot = F.col("n") > share * total * F.ceil(F.octet_length("piece") / 16)
     aligned = written(align_pieces(pieces.select("key", "piece", is_hot.alias("hot")), tokenizers), "zstd", tidy=True)
     discard(pieces)
-    hot, rest = aligned.where("hot").drop("hot"), aligned.where("not hot").drop("hot")
 
-    placed = lambda d: d.select("doc", *(c for c in ("id", "copies") if c in d.columns), F.posexplode(cut).alias("pos", "piece")).withColumn("key", key).drop("piece")
-    rare = placed(docs.select("doc", "text")).join(F.broadcast(hot.select("key")), "key", "left_anti")
-    rare = written(rare, "zstd", tidy=True)
-    # Each document's pieces stay in one task, and together, from here on.
-    together = docs.repartition("doc").sortWithinPartitions("doc")
+    def by_block(part: Column, known: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+        """``work`` of each block and what is known (key, hot and more) of its pieces."""
+        own = blocks.where(part)
+        asked = own.select("block", F.posexplode("pieces").alias("code", "piece")).select("block", "code", key)
+        hot, rest = known.where("hot").drop("hot"), known.where("not hot").drop("hot")
+        rare = asked.join(F.broadcast(hot.select("key")), "key", "left_anti").join(rest.hint("shuffle_merge"), "key")
+        answers = asked.join(F.broadcast(hot), "key").unionByName(rare).drop("key")
+        return own.select(F.col("block").alias("of"), "rows").groupBy("of").cogroup(answers.groupBy("block")).applyInArrow(work, schema)
 
     # How many documents hold a pair of ids linked.
-    once = together.select("doc", "copies", F.explode(F.array_distinct(cut)).alias("piece")).select("doc", "copies", key)
-    pairs = lambda links: F.array_distinct(F.flatten(F.collect_list(links)))
-    common = once.join(F.broadcast(hot.select("key", "ok", "links")), "key", "left").groupBy("doc", "copies")
-    common = common.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ok"), pairs("links").alias("pairs"))
-    to_docs = lambda part: rare.where(part).select("doc", "key").join(rest.where(part).select("key", "ok", "links"), "key").groupBy("doc")
-    held_rare = _in_rounds(lambda part: to_docs(part).agg(F.bool_and("ok").alias("ok2"), pairs("links").alias("pairs2")))
-    others = held_rare.groupBy("doc").agg(F.bool_and("ok2").alias("ok2"), pairs("pairs2").alias("pairs2"))
-    none = F.array().cast("array<long>")
-    held = common.join(others, "doc", "left").where(F.col("ok") & F.coalesce("ok2", F.lit(True)))
-    held = held.select("copies", F.explode(F.array_distinct(F.concat("pairs", F.coalesce("pairs2", none)))).alias("pair"))
-    counts = held.groupBy("pair").agg(F.sum("copies").alias("docs"))
+    links = aligned.select("key", "hot", "ok", "links")
+    held = _in_rounds(lambda part: by_block(part, links, _held_pairs, "pair long, docs long"), 2, "block")
+    counts = held.groupBy("pair").agg(F.sum("docs").alias("docs"))
     best = F.max("docs").over(Window.partitionBy(F.shiftright("pair", 31)))
     counts = counts.select("pair", "docs", (F.col("docs") == best).alias("best"))
     linked = aligned.select("key", "hot", F.explode("links").alias("pair"))
     counts = written(counts.join(linked.groupBy("pair").agg(F.count("*").alias("n")), "pair"), "zstd", tidy=True)
-    discard(held_rare)
-    worth = join_counted(linked, counts, "pair", share=share).groupBy("key", "hot")
+    discard(held)
+    worth = join_counted(linked, counts, "pair", share=share).groupBy("key")
     worth = written(worth.agg(F.count_if("best").alias("n_best"), F.sum("docs").alias("count_sum")), "zstd", tidy=True)
+    discard(counts)
 
-    # The documents' sums and groups, in the order of their pieces.
-    zero = {"n_best": F.coalesce("n_best", F.lit(0)), "count_sum": F.coalesce("count_sum", F.lit(0))}
-    full = lambda part, worth: part.drop("links").join(worth.drop("hot"), "key", "left").withColumns(zero)
-    own = [*(F.sum(c).alias(c) for c in SUMS), F.bool_and("ok").alias("ok")]
-    text_of = F.collect_list(F.when(F.col("groups").isNotNull(), F.struct("pos", "groups"))).alias("parts")
-    to_docs = lambda part: rare.where(part).join(full(rest.where(part), worth.where("not hot").where(part)), "key").groupBy("doc")
-    others = _in_rounds(lambda part: to_docs(part).agg(*own, text_of))
-    hot = written(full(hot, F.broadcast(worth.where("hot"))), "zstd", tidy=True)
-    for table in (rare, aligned, counts, worth):
+    # The documents' sums and groups, in the order of their pieces. Pieces that no document holds have no worth.
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_best", "count_sum")}
+    known = written(aligned.drop("links").join(worth, "key", "left").withColumns(zero), "zstd", tidy=True)
+    for table in (aligned, worth):
+        discard(table)
+    sums = ", ".join(f"{c} long" for c in SUMS)
+    out = _in_rounds(lambda part: by_block(part, known, _put_together, f"id {kind}, {sums}, groups string"), key="block")
+    for table in (blocks, known):
         discard(table)
-    common = placed(together).join(F.broadcast(hot), "key", "left").groupBy("doc", "copies").agg(F.any_value("id").alias("id"), *own, text_of)
-    others = others.groupBy("doc").agg(*own, F.flatten(F.collect_list("parts")).alias("parts"))
-    others = others.select("doc", *(F.col(c).alias(f"{c}2") for c in [*SUMS, "ok", "parts"]))
-    both = common.join(others, "doc", "left")
-    fine = F.coalesce("ok", F.lit(True)) & F.coalesce("ok2", F.lit(True))
-    parts = F.sort_array(F.when(F.col("parts2").isNull(), F.col("parts")).otherwise(F.concat("parts", "parts2")))
-    groups = F.rtrim(F.array_join(F.transform(parts, lambda x: x["groups"]), ""), F.lit(";"))
-    sums = [F.when(fine, F.coalesce(c, F.lit(0)) + F.coalesce(f"{c}2", F.lit(0))).otherwise(0).cast("long").alias(c) for c in SUMS]
-    out = both.select("id", "copies", *sums, F.when(fine, groups).otherwise("").alias("groups"))
-    out = out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
-    empty = source.where(~known).select("id", *(F.lit(0).cast("long").alias(c) for c in SUMS), F.lit("").alias("groups"))
-    return out.unionByName(empty).withColumnRenamed("id", id_col)
+    return out.withColumn("groups", F.rtrim("groups", F.lit(";"))).withColumnRenamed("id", id_col)
