@@ -113,3 +113,20 @@ def test_blocks_spread_over_buckets(buckets):
     for n in numbers:
         counts[lm.bucket_of(n, buckets)] += 1
     assert min(counts) > 0 and max(counts) < 2.2 * len(numbers) / buckets
+
+
+def test_memory_of_a_block():
+    """A block's grams take at most 40 bytes a gram on the way; an inverse by np.unique takes more."""
+    import inspect
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 50_000, 1000).astype(np.uint64) for _ in range(200)]
+    tracemalloc.start()
+    grams = lm.Grams(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(grams.at) and grams.at.itemsize == 4
+    keys, at = np.unique(np.concatenate([np.concatenate(texts), *(lm.pair_keys(np.r_[lm.END, x[:-1]], x) for x in texts)]), return_inverse=True)
+    assert (grams.keys == keys).all() and (grams.at == at).all()
+    assert inspect.signature(lm.score_texts).parameters["block_tokens"].default <= 1_000_000

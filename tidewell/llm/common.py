@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +63,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Queries made and run in here delete their shuffles at their end."""
+    before = spark.conf.get(_TIDY)
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TIDY, before)
+
+
 def written(df: DataFrame, compression: str = "snappy", tidy: bool = False) -> DataFrame:
     """Cuts lineage with a compressed Parquet table beside the checkpoints; for wider or longer tables.
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, space_words
+from .common import is_held_out, space_words, tidied
 
 #: The end of a text, which is no word: words hold no white space.
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
@@ -77,7 +77,16 @@ class Grams:
         tokens = np.concatenate(texts)
         before = np.roll(tokens, 1)
         before[self.starts] = END
-        self.keys, self.at = np.unique(np.concatenate([tokens, pair_keys(before, tokens)]), return_inverse=True)
+        grams = np.concatenate([tokens, pair_keys(before, tokens)])
+        del tokens, before
+        # As np.unique would give both, in less memory: a block's grams are the most that a task holds.
+        order = np.argsort(grams)
+        grams = grams[order]
+        first = np.r_[True, grams[1:] != grams[:-1]]
+        self.keys = grams[first]
+        del grams
+        self.at = np.empty(len(order), np.int32)
+        self.at[order] = np.cumsum(first, dtype=np.int32) - 1
 
     def counts(self, learned: np.ndarray) -> np.ndarray:
         """How often the texts marked as learned have each key."""
@@ -168,9 +177,10 @@ def totals(rows: DataFrame, block_tokens: int) -> tuple[int, int, int]:
             n = np.r_[n, sum(len(x) for x, y in zip(keys, of, strict=True) if not y)]
             yield pa.RecordBatch.from_arrays([pa.array([*distinct.view(np.int64), None], pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
 
-    found = rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     known = F.when(F.col("key").isNotNull(), F.col("n"))
-    n, v, everything = found.agg(F.sum(known), F.count("key"), F.sum("n")).first()
+    with tidied(rows.sparkSession):
+        found = rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        n, v, everything = found.agg(F.sum(known), F.count("key"), F.sum("n")).first()
     return n or 0, v, everything or 0
 
 
@@ -181,7 +191,7 @@ def score_texts(
     folds: int = 5,
     held_out_fold: int = 1,
     prior: float = 1000.0,
-    block_tokens: int = 2_000_000,
+    block_tokens: int = 1_000_000,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document row.
 
