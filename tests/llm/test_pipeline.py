@@ -241,3 +241,75 @@ def test_fingerprints_bring_pairs_together(similarity, least):
         halves = np.bitwise_count(x.view(np.uint32)).reshape(-1, 2).min(1)
         met += bool(((halves <= 2) & (np.bitwise_count(x) <= 13)).any())
     assert met >= least * 400
+
+
+def owed(points, home, bits=13, both=33):
+    """Pairs with a home point of which a half differs in 2 bits at most, by comparing all."""
+    out = set()
+    for i in np.flatnonzero(home):
+        away = np.bitwise_count(points ^ points[i])
+        half = np.bitwise_count((points[:, 0] ^ points[i, 0]).view(np.uint32)).reshape(-1, 2).min(1)
+        near = (half <= 2) & (away[:, 0] <= bits) & (away.sum(1, dtype=int) <= both)
+        out |= {(min(i, j), max(i, j)) for j in np.flatnonzero(near).tolist() if i != j}
+    return out
+
+
+@pytest.mark.parametrize("common", [300, 20])
+def test_matched_pairs_are_those_owed(common):
+    """Pairs of a large shard are found by equal pieces: with few near each all pairs, else what connects them."""
+    rng = np.random.default_rng(2)
+    flipped = lambda x, share: x ^ np.packbits(rng.random((len(x), 128)) < share, axis=1).view(np.uint64)
+    base = rng.integers(0, 2**63, (3000, 2)).astype(np.uint64)
+    hub = flipped(np.repeat(base[:1], 400, 0), 0.03)
+    points = np.r_[base, flipped(base, 0.1), base[:50], hub]
+    home = rng.random(len(points)) < 0.6
+    found = simhash._Links(points, 13, 33)
+    found.put_matched(home, 0, 2, 200, common)
+    links = found.links()
+    assert (home[links].any(1)).all() and (links[:, 0] < links[:, 1]).all()
+    assert (np.bitwise_count(points[links[:, 0]] ^ points[links[:, 1]]).sum(1) <= 33).all()
+    pairs = owed(points, home)
+    single = {x for x in pairs if x[0] not in (0, 3000) and 0 < x[0] < 6000 and x[1] < 6000}
+    assert len(single) > 1000 and single <= set(map(tuple, links.tolist()))
+    label = list(range(len(points)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a, b in links.tolist():
+        a, b = root(a), root(b)
+        label[max(a, b)] = min(a, b)
+    assert all(root(a) == root(b) for a, b in pairs)
+    assert len(links) <= 4 * len(points)
+
+
+def test_search_of_a_shard_compares_few_pairs(monkeypatch):
+    """A point of a shard of 200,000 is compared with some dozens of others, not with thousands."""
+    rng = np.random.default_rng(4)
+    points = rng.integers(0, 2**63, (200_000, 2)).astype(np.uint64)
+    compared, count = [], np.bitwise_count
+    monkeypatch.setattr(simhash.np, "bitwise_count", lambda x: compared.append(x.size) or count(x))
+    found = simhash._Links(points, 13, 33)
+    found.put_matched(np.ones(len(points), bool), 1, 2, 3200)
+    assert sum(compared) <= 100 * len(points)
+
+
+def test_documents_are_dealt_alike_however_many(spark, monkeypatch):
+    """Trees have as many leaves in a larger table, so that no more copies of a document are dealt."""
+    made, grow = [], simhash.VantageTree.__init__
+
+    def counted(self, *args, **more):
+        grow(self, *args, **more)
+        made.append(self.n)
+
+    monkeypatch.setattr(simhash.VantageTree, "__init__", counted)
+    leaves = []
+    for n in (2000, 8000):
+        docs = spark.range(n).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 12), x -> sha2(concat(id, ' ', x), 256))) as text")
+        found = simhash.similar_documents(docs.repartition(4), prints=2, shard_rows=50)
+        assert found.where("doc_id = component_id").count() == found.count() == n
+        leaves.append(sum(made) / len(made))
+        made.clear()
+    assert max(leaves) <= 40 and leaves[1] <= 1.3 * leaves[0]

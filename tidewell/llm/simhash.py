@@ -16,13 +16,15 @@ by tiles; a shard yields a spanning forest of its links, never all pairs of a gr
 ``similar_documents`` finds texts of a Jaccard similarity of 0.8 or more, whose fingerprints differ in
 about 10 of 64 bits, too many for triangle bounds. It gives each text several fingerprints, and a tree to
 each half of each. Two texts meet if one half differs in ``reach`` bits at most; groups of texts that meet are then
-compared by their exact similarity.
+compared by their exact similarity. A radius of 2 makes many visits at each level of a tree, so trees keep some
+``shards`` leaves however many documents there are, and shards are searched by equal pieces of halves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations, pairwise, product
 
 import numpy as np
 import pyarrow as pa
@@ -148,30 +150,145 @@ def _shard_links(points: np.ndarray, home: np.ndarray, bits: int, cells: int = 1
     return np.array(found, np.int64).reshape(-1, 2)
 
 
-def _nearest_links(points: np.ndarray, home: np.ndarray, bits: int, step: int = 2, held: int = 1 << 26) -> np.ndarray:
-    """(n, 2) indices: a spanning forest of the pairs that have a home point and differ in ``bits`` at most, nearer pairs
-    first, by ``step`` bits: two points stay connected by pairs that are hardly farther apart than they are.
+def _masks(reach: int) -> list[int]:
+    """Masks of 32 bits; two halves that differ in ``reach`` bits at most agree in all bits of one of them.
 
-    Distances are kept for all steps if there are ``held`` at most, else computed at each.
+    Bits are cut into ``reach`` + 2 pieces, of which two make a mask.
     """
-    label, homes, found = np.arange(len(points)), np.flatnonzero(home), []
-    tile = max(1, min(512, (1 << 21) // max(len(points), 1)))
-    away = lambda rows: np.bitwise_count(points[rows, None] ^ points[None, :])
-    kept = [away(homes[at : at + tile]) for at in range(0, len(homes), tile)] if len(homes) * len(points) <= held else None
-    for most in [*range(bits % step, bits, step), bits]:
-        for k, at in enumerate(range(0, len(homes), tile)):
-            rows = homes[at : at + tile]
-            near = (away(rows) if kept is None else kept[k]) <= most
-            near &= label[rows, None] != label[None, :]
-            for i in np.flatnonzero(near.any(1)):
-                others = np.flatnonzero(near[i])
-                others = np.r_[rows[i], others[label[others] != label[rows[i]]]]  # some may have been joined meanwhile
-                of = label[others]
-                if len(others) > 1:
-                    roots, first = np.unique(of, return_index=True)
-                    found += [(rows[i], j) for j in others[first[roots != label[rows[i]]]]]
-                    label[np.isin(label, roots[1:])] = roots[0]
-    return np.array(found, np.int64).reshape(-1, 2)
+    edges = [32 * i // (reach + 2) for i in range(reach + 3)]
+    return [sum((1 << j) - (1 << i) for i, j in two) for two in combinations(pairwise(edges), 2)]
+
+
+class _Links:
+    """Of pairs of ``points`` put in, a spanning forest, nearer pairs first, and each point's ``few`` nearest ones.
+
+    Points have two fingerprints, pairs differ in ``bits`` of the first and ``both`` of both at most. Of a point that has
+    over ``crowd`` partners, which many paths connect, the forest's pairs alone stay. Over ``held`` pairs
+    are cut down to these, which loses nothing of those of all.
+    """
+
+    def __init__(self, points: np.ndarray, bits: int, both: int, few: int = 3, crowd: int = 64, held: int = 1 << 20):
+        self.points, self.bits, self.both, self.few, self.crowd, self.held, self.n = points, bits, both, few, crowd, held, 0
+        self.crowded = np.zeros(len(points), bool)
+        self.pairs = [np.zeros((0, 2), np.int64)]
+
+    def put(self, a: np.ndarray, b: np.ndarray) -> None:
+        near = np.flatnonzero((self._away(a, b) <= self.both) & (a != b))
+        self.pairs.append(np.c_[a[near], b[near]])
+        self.n += len(near)
+        if self.n > self.held:
+            self.pairs = [self.links()]
+            self.n = len(self.pairs[0])
+
+    def _away(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.points[a] ^ self.points[b]).sum(1, dtype=np.uint8)
+
+    def links(self) -> np.ndarray:
+        """(n, 2) indices of the points."""
+        pairs, n = np.concatenate(self.pairs), len(self.points)
+        a, b = np.divmod(np.unique(pairs.min(1) * n + pairs.max(1)), max(n, 1))
+        away = self._away(a, b)
+        order = np.argsort(away, kind="stable")
+        a, b, away = a[order], b[order], away[order]
+        ends = np.c_[a, b].ravel()  # nearer pairs first, so that a point's nearest ones are its first
+        order = np.argsort(ends, kind="stable")
+        first = np.flatnonzero(np.diff(ends[order], prepend=-1))
+        partners = np.diff(first, append=len(ends))
+        self.crowded[ends[order[first[partners > self.crowd]]]] = True
+        rank = np.arange(len(ends)) - np.repeat(first, partners)
+        keep = np.zeros(len(a), bool)
+        keep[order[rank < self.few] // 2] = True
+        keep &= ~(self.crowded[a] | self.crowded[b])
+        root, label = list(range(n)), np.arange(n)
+
+        def of(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for at in np.split(np.arange(len(a)), np.flatnonzero(np.diff(away)) + 1):
+            at = at[label[a[at]] != label[b[at]]]
+            for k, i, j in zip(at.tolist(), a[at].tolist(), b[at].tolist(), strict=True):
+                i, j = of(i), of(j)
+                if i != j:
+                    root[max(i, j)] = min(i, j)
+                    keep[k] = True
+            if len(at):
+                label = np.array(root)
+                while (label != label[label]).any():
+                    label = label[label]
+        return np.c_[a, b][keep]
+
+    def put_all(self, at: np.ndarray, home: np.ndarray, step: int = 4, kept: int = 1 << 26) -> None:
+        """Of all pairs of these points that have a home point, puts in each home point's nearest ones and a spanning
+        forest, nearer pairs first, by ``step`` bits.
+
+        Distances are kept for all steps if there are ``kept`` at most, else computed at each.
+        """
+        points, label, homes = np.ascontiguousarray(self.points[at].T), np.arange(len(at)), np.flatnonzero(home)
+        tile = max(1, min(512, (1 << 21) // max(len(at), 1)))
+        tiles, partners = [homes[k : k + tile] for k in range(0, len(homes), tile)], np.zeros(len(at), np.int64)
+
+        def away(rows: np.ndarray) -> np.ndarray:
+            one, other = (np.bitwise_count(x[rows, None] ^ x[None, :]) for x in points)
+            one[one > self.bits] = 255 - 64
+            one += other
+            one[np.arange(len(rows)), rows] = 255
+            return one
+
+        all_away = [away(rows) for rows in tiles] if len(homes) * len(at) <= kept else None
+        for k, rows in enumerate(tiles):
+            of = away(rows) if all_away is None else all_away[k]
+            near = of <= self.both
+            partners[rows] += near.sum(1)
+            partners += np.where(home, 0, near.sum(0))
+            few = np.argpartition(of, min(self.few, len(at)) - 1, 1)[:, : self.few]
+            i, j = np.nonzero(np.take_along_axis(of, few, 1) <= self.both)
+            self.put(at[rows[i]], at[few[i, j]])
+        self.crowded[at[partners > self.crowd]] = True
+        for most in [*range(self.both % step, self.both, step), self.both]:
+            for k, rows in enumerate(tiles):
+                near = (away(rows) if all_away is None else all_away[k]) <= most
+                near &= label[rows, None] != label[None, :]
+                for i in np.flatnonzero(near.any(1)):
+                    others = np.flatnonzero(near[i])
+                    others = np.r_[rows[i], others[label[others] != label[rows[i]]]]  # some may have been joined meanwhile
+                    of = label[others]
+                    if len(others) > 1:
+                        roots, first = np.unique(of, return_index=True)
+                        first = others[first[roots != label[rows[i]]]]
+                        self.put(np.full(len(first), at[rows[i]]), at[first])
+                        label[np.isin(label, roots[1:])] = roots[0]
+
+    def put_matched(self, home: np.ndarray, half: int, reach: int, shard_rows: int, common: int = 300) -> None:
+        """Puts in the pairs with a home point that in a half of the first fingerprint agree in one of ``_masks``.
+
+        Those are all that differ in ``reach`` bits of a half at most, and more. Points that share a mask's value with
+        over ``common`` are compared among themselves by tiles, in parts that ``_divided`` makes.
+        """
+        first = np.ascontiguousarray(self.points[:, 0])
+        halves, often = first.view(np.uint32).reshape(-1, 2), np.zeros(len(first), bool)
+        for i, mask in product((0, 1), _masks(reach)):
+            key = halves[:, i] & np.uint32(mask)
+            order = np.argsort(key)
+            key, fps = key[order], first[order]
+            edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+            sizes = np.diff(edges)
+            often[order[np.repeat(sizes > common, sizes)]] = True
+            rows = np.flatnonzero(home[order] & np.repeat((sizes > 1) & (sizes <= common), sizes))
+            starts = np.repeat(edges[:-1], sizes)[rows]
+            sizes = np.repeat(sizes, sizes)[rows]
+            ends = np.cumsum(sizes)
+            cuts = np.searchsorted(ends, np.arange(self.held, ends[-1], self.held)) if len(rows) else []
+            for row, start, size in zip(*(np.split(x, cuts) for x in (rows, starts, sizes)), strict=True):
+                x = np.repeat(row, size)
+                y = np.arange(len(x)) + np.repeat(start - np.r_[0, np.cumsum(size)[:-1]].astype(np.int64), size)
+                near = np.flatnonzero(np.bitwise_count(fps[x] ^ fps[y]) <= self.bits)
+                self.put(order[x[near]], order[y[near]])
+        at = np.flatnonzero(often)
+        for i, is_home in _divided(first[at], home[at], half, reach, shard_rows):
+            self.put_all(at[i], is_home)
 
 
 def hamming_links(fingerprints: DataFrame, bits: int = 3, shard_rows: int = 400, sample_rows: int = 100_000) -> DataFrame:
@@ -272,8 +389,11 @@ def similar_documents(
     prints: int = 10,
     reach: int = 2,
     bits: int = 13,
+    both: int = 27,
     apart: float = 0.2,
     shard_rows: int = 3200,
+    shards: int = 16,
+    most_rows: int = 500_000,
     sample_rows: int = 100_000,
     hot_rows: int = 200_000,
     block_rows: int = 1000,
@@ -283,8 +403,10 @@ def similar_documents(
     Documents are linked if the sets of their word shingles (of texts of fewer words: of the whole text)
     have a Jaccard similarity of ``similarity`` or more; component_id is the least id reachable over links.
     Texts of one set are one node of the graph, told by a 64-bit hash. Candidates are searched for by ``prints``
-    fingerprints: pairs that meet in a shard and there differ in ``bits`` of 64 at most, of which a shard yields a
-    spanning forest, nearer pairs first: two texts stay connected by pairs that are hardly farther apart. Those whose fingerprints
+    fingerprints: pairs that meet in a shard and there differ in ``bits`` of 64 at most, and in ``both`` with a second
+    fingerprint, of which a shard yields a spanning forest, nearer pairs first, and each text's nearest ones: two texts stay
+    connected by pairs that are hardly farther apart. Trees have about ``shards`` leaves, and more only if these held over
+    ``most_rows``. Those whose fingerprints
     differ in over ``apart`` of all bits (0.15 at similarity 0.8, give or take 0.014) are dropped. What the rest
     connects is a group, within which all pairs are compared exactly, see ``verify``. Over 90 % of pairs of similarity 0.8 meet, 98 % of 0.85 and all of 0.9, fewer if they have under some
     20 words; no pair that is less similar than asked for is linked. Ids must tell rows apart. Edge cases: texts without words are one node, linked to no
@@ -309,7 +431,8 @@ def similar_documents(
     chosen = F.pmod(F.xxhash64("node", F.lit("tree")), F.lit(1 << 30)) < int(keep * (1 << 30))
     sample = np.array([r.fps for r in nodes.where(chosen).select("fps").limit(sample_rows).toLocalIterator()], np.int64).reshape(-1, prints)
     halves = np.ascontiguousarray(sample).view(np.uint32)
-    trees = [VantageTree(halves[:, i], max(8, int(shard_rows * keep)), seed=i) for i in range(2 * prints)]
+    leaf_rows = min(max(shard_rows, total // shards), most_rows)
+    trees = [VantageTree(halves[:, i], max(8, int(leaf_rows * keep)), seed=i) for i in range(2 * prints)]
     shared, firsts = spark.sparkContext.broadcast(trees), np.cumsum([0, *(t.n for t in trees)])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,27 +444,29 @@ def similar_documents(
                 dealt = list(tree.deal(np.ascontiguousarray(halves[:, i]), reach))
                 at, home = np.concatenate([x[1] for x in dealt]), np.concatenate([x[2] for x in dealt])
                 ends = pa.array(np.r_[0, np.cumsum([len(x[1]) for x in dealt])].astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (fps[at, i // 2], home, node[at])]
-                yield pa.RecordBatch.from_arrays([pa.array(firsts[i] + np.array([x[0] for x in dealt], np.int32), pa.int32()), *lists], ["leaf", "fp", "home", "node"])
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (fps[at, i // 2], fps[at, (i // 2 + 1 + i % 2) % prints], home, node[at])]
+                yield pa.RecordBatch.from_arrays([pa.array(firsts[i] + np.array([x[0] for x in dealt], np.int32), pa.int32()), *lists], ["leaf", "fp", "other", "home", "node"])
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaves = np.repeat(batch.column(0).to_numpy(), pa.compute.list_value_length(batch.column(1)).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(leaves), *(batch.column(i).flatten() for i in (1, 2, 3))], ["leaf", "fp", "home", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaves), *(batch.column(i).flatten() for i in (1, 2, 3, 4))], ["leaf", "fp", "other", "home", "node"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for leaf, fps, home, node in _by_leaf(points(batches), 4):
+        for leaf, fp, other, home, node in _by_leaf(points(batches), 5):
             order = np.argsort(node)
-            fps, home, node = fps[order], home[order], node[order]
-            half = (int(np.searchsorted(firsts, leaf, "right")) - 1) % 2
-            for at, own in _divided(fps, home, half, reach, shard_rows):
-                at, own = np.sort(at), own[np.argsort(at)]
-                links = node[at[_nearest_links(fps[at].view(np.uint64), own, bits)]]
-                if len(links):
-                    pairs = [pa.array(links.min(1)), pa.array(links.max(1))]
-                    yield pa.RecordBatch.from_arrays(pairs, ["a", "b"])
-
-    dealt = nodes.select("node", "fps").mapInArrow(deal, "leaf int, fp array<long>, home array<boolean>, node array<long>")
+            node, home = node[order], home[order]
+            found = _Links(np.c_[fp, other][order].view(np.uint64), bits, both)
+            if home.sum() * len(node) <= 1 << 23:
+                found.put_all(np.arange(len(node)), home)
+            else:
+                found.put_matched(home, (int(np.searchsorted(firsts, leaf, "right")) - 1) % 2, reach, shard_rows)
+            links = node[found.links()]
+            if len(links):
+                pairs = [pa.array(links.min(1)), pa.array(links.max(1))]
+                yield pa.RecordBatch.from_arrays(pairs, ["a", "b"])
+
+    dealt = nodes.select("node", "fps").mapInArrow(deal, "leaf int, fp array<long>, other array<long>, home array<boolean>, node array<long>")
     pairs = dealt.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(join, "a long, b long")
     of = lambda c: nodes.select(F.col("node").alias(c), F.col("fps").alias(f"fps_{c}"))
     differ = F.aggregate(F.zip_with("fps_a", "fps_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
